@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import mixing, urls
+from barloom.llm import mixing, quality, urls
 from barloom.llm.shared import table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_of_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(urls.RULES), "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -17,5 +22,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing}
-ORACLES = {"op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing}
+ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
