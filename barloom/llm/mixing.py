@@ -91,6 +91,24 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return mixed.withColumn("taken", F.col("epochs") * F.col("size") + F.col("cut_words"))
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """docs -> each row as often as the mix takes it, with all its columns.
+
+    Documents stay whole: the one at a source's cut is taken once more if at least half of it is within the budget.
+    Rows meet their share by doc_id, source, size and a number among rows that have all three alike; texts are
+    shuffled once.
+    """
+    key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("source", F.lit("\x00")), "_size")
+    sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_key", key)
+    mixed = mix(sized.select("doc_id", "source", F.col("_size").alias("size")))
+    times = F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("cut_words") >= F.col("size")), 1).otherwise(0)
+    taken = mixed.select("doc_id", "source", F.col("size").alias("_size"), times.alias("_times")).withColumn("_key", key).select("_key", "_times")
+    taken = taken.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("_times"))))
+    rows = sized.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64("text"))))
+    met = rows.join(taken.where("_times > 0"), ["_key", "_n"])
+    return met.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, pieces, quality, simhash, urls
+from barloom.llm import mixing, pieces, quality, secret_scan, simhash, urls
 from barloom.llm.shared import table
 
 
@@ -31,6 +31,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(urls.RULES), "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -40,5 +46,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing}
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing}
 ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
