@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, pieces, quality, secret_scan, simhash, urls
+from barloom.llm import mixing, order_minhash, pieces, quality, secret_scan, simhash, urls
 from barloom.llm.shared import table
 
 
@@ -46,5 +46,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing}
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        order_minhash.hexadecimal_column("signature").alias("fingerprint"), order_minhash.hexadecimal_column("edited_signature").alias("edited_fingerprint"),
+        order_minhash.alike("signature", "edited_signature").alias("near_edited"), order_minhash.alike("signature", "next_signature").alias("near_next"),
+    )
+
+
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing, "op10_order_minhash": op10_order_minhash}
 ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
