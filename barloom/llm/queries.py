@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, order_minhash, pieces, quality, secret_scan, simhash, urls
+from barloom.llm import langid, mixing, order_minhash, pieces, quality, secret_scan, simhash, urls
 from barloom.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = pieces.encode_decode(docs, piece_model(), keep_text=False)
@@ -55,5 +59,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing, "op10_order_minhash": op10_order_minhash}
+QUERIES = {"op1_language_id": op1_language_id, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing, "op10_order_minhash": op10_order_minhash}
 ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
