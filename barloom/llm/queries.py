@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import langid, mixing, order_minhash, pieces, pii, quality, secret_scan, simhash, urls
+from barloom.llm import langid, lm, mixing, order_minhash, pieces, pii, quality, secret_scan, simhash, urls
 from barloom.llm.shared import table
 
 
@@ -52,6 +52,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,5 +69,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op9_mixing": op9_mixing, "op10_order_minhash": op10_order_minhash}
+QUERIES = {"op1_language_id": op1_language_id, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op8_lm_scoring": op8_lm_scoring, "op9_mixing": op9_mixing, "op10_order_minhash": op10_order_minhash}
 ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
