@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from barloom.plans import market
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (market,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(0)
+flagship = market.top_of_last_day
