@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.plans import market
+from barloom.plans import adapters, market, reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (market,):
+for _part in (market, adapters, reports):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 
