@@ -95,18 +95,19 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """docs -> each row as often as the mix takes it, with all its columns.
 
     Documents stay whole: the one at a source's cut is taken once more if at least half of it is within the budget.
-    Rows meet their share by doc_id, source, size and a number among rows that have all three alike; texts are
-    shuffled once.
+    Rows that are alike in doc_id, source and size share evenly what the mix takes of them. Texts are shuffled once,
+    by these three; the number of a row among those alike needs no further shuffle.
     """
-    key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("source", F.lit("\x00")), "_size")
-    sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_key", key)
+    key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("source", F.lit("\x00")), "_size").alias("_key")
+    sized = docs.withColumn("_size", word_count(F.col("text")))
     mixed = mix(sized.select("doc_id", "source", F.col("_size").alias("size")))
     times = F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("cut_words") >= F.col("size")), 1).otherwise(0)
-    taken = mixed.select("doc_id", "source", F.col("size").alias("_size"), times.alias("_times")).withColumn("_key", key).select("_key", "_times")
-    taken = taken.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("_times"))))
-    rows = sized.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64("text"))))
-    met = rows.join(taken.where("_times > 0"), ["_key", "_n"])
-    return met.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    taken = mixed.select("doc_id", "source", F.col("size").alias("_size"), times.alias("_times")).select(key, "_times").groupBy("_key").agg(F.sum("_times").alias("_all"), F.count("*").alias("_alike"))
+    met = sized.select("*", key).join(taken.where("_all > 0"), "_key")
+    number = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64("text")))
+    share = F.floor(F.col("_all") / F.col("_alike")) + F.when(number <= F.col("_all") % F.col("_alike"), 1).otherwise(0)
+    each = met.withColumn("_share", share.cast("int")).where("_share > 0")
+    return each.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -30,6 +30,8 @@ SPREADS = 4
 GAMMA = 1.02
 #: Groups with fewer rows take the sketch of their language, languages with fewer that of all rows.
 LEAST_ROWS = 100
+#: Groups of language and source whose thresholds are broadcast; each takes some 200 bytes.
+BROADCAST_GROUPS = 50_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -111,10 +113,13 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list("e")).alias("limits"))
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """Output of ``measure``, stored -> with base_failed and kept. Null languages and sources form groups of their own."""
-    limits = thresholds(sketches(measured)).alias("t")
-    joined = measured.alias("m").join(limits, F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
+def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """Output of ``measure`` and stored thresholds -> with base_failed and kept. Null languages and sources form groups of their own.
+
+    Thresholds of up to ``BROADCAST_GROUPS`` groups are broadcast; more of them are joined as Spark sees fit.
+    """
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
+    joined = measured.alias("m").join(limits.alias("t"), F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     over = F.lit(False)
     for m in SLACK:
@@ -123,13 +128,18 @@ def judge(measured: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """docs with text, lang and source -> all rows and columns, with base measures, base_failed and kept."""
-    return judge(stored(measure(docs).drop("base_failed", "kept")))
+    """docs with text, lang and source -> all rows and columns, with base measures, base_failed and kept.
+
+    Documents are measured twice, for the sketches and for the verdicts, so that texts are neither stored nor moved.
+    """
+    measured = measure(docs.drop("base_failed", "kept"))
+    return judge(measured, stored(thresholds(sketches(measured))))
 
 
 def quality_of_documents(docs: DataFrame) -> DataFrame:
-    """As ``quality_rules``, without the texts: these are read once and not stored."""
-    return judge(stored(measure(docs.select("doc_id", "text", "lang", "source")).drop("text")))
+    """As ``quality_rules``, without the texts: these are measured once, and the measures stored."""
+    measured = stored(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+    return judge(measured, stored(thresholds(sketches(measured))))
 
 
 ORACLE = r"""

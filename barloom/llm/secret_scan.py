@@ -56,10 +56,11 @@ ENCODINGS = (
 )
 SETS = [frozenset(a) for _, a in ENCODINGS]
 PLACES = [{c: i for i, c in enumerate(a)} for _, a in ENCODINGS]
-#: Encodings of prose: a run of letters alone is never called random, whatever it scores.
-PROSE = {i for i, (name, _) in enumerate(ENCODINGS) if name in ("letters", "LETTERS")}
+#: Alphabets that only differ in what prose lacks, or in case, share their decoys.
+NAMES = [name for name, _ in ENCODINGS]
+FAMILY = [NAMES.index({"HEX": "hex", "BASE36": "base36", "base64url": "base64"}.get(name, name)) for name in NAMES]
 #: Encodings that decoys are read in: those of candidates, but digits alone, of which prose has none.
-READ_AS = [i for i, (name, _) in enumerate(ENCODINGS) if name not in ("decimal", "letters", "LETTERS")]
+READ_AS = sorted({FAMILY[i] for i, name in enumerate(NAMES) if name not in ("decimal", "letters", "LETTERS")})
 #: Upper ends of the length classes; longer ones form the last.
 LENGTHS = (24, 32, 48, 64, 96, 128, 256)
 #: Scores are counted in steps of a tenth in -log10, up to 9.
@@ -67,7 +68,7 @@ STEPS, MOST_STEPS = 10, 90
 #: Share of false discoveries that is accepted.
 FALSE_DISCOVERIES = 0.01
 #: One decoy for so many characters of text, so that their number grows with the table.
-DECOY_EVERY = 1000
+DECOY_EVERY = 250
 MARK = "[SECRET]"
 
 
@@ -130,12 +131,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, encoding, length class, step)"""
+    """(start, end, encoding, length class, step). Letters alone, in whatever case, are taken for prose and never for random."""
     out = []
     for m in CANDIDATE.finditer(text):
         token = m[0].rstrip("=") or m[0]
-        code = encoding(token)
-        if code not in PROSE:
+        if not token.isalpha():
+            code = encoding(token)
             out.append((m.start(), m.end(), code, _class(len(token)), _step(battery(token, code))))
     return out
 
@@ -199,7 +200,7 @@ def limits(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[tuple[in
     own, null = ({(r.code, r.size, r.step): r.n for r in x.collect()} for x in (got, prose))
     p = {}
     for code, size, step in own:
-        known = [(s, n) for (c, z, s), n in null.items() if c == code and z <= size]
+        known = [(s, n) for (c, z, s), n in null.items() if c == FAMILY[code] and z <= size]
         p[code, size, step] = (sum(n for s, n in known if s <= step) + 1) / (sum(n for _, n in known) + 1)
     n, rank, limit = sum(own.values()), 0, -1.0
     for key in sorted(p, key=p.get):
@@ -213,19 +214,25 @@ def limits(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[tuple[in
     return out
 
 
-def with_spans(scanned: DataFrame) -> DataFrame:
-    """Stored output of ``scan`` -> ``spans``: the fixed ones, and random tokens that none of them overlaps."""
-    found = limits(scanned)
+def with_spans(scanned: DataFrame, found: dict[tuple[int, int], int]) -> DataFrame:
+    """Output of ``scan`` and limits -> ``spans``: the fixed ones, and random tokens that none of them overlaps."""
     limit = F.create_map(*[F.lit(x) for (c, s), step in sorted(found.items()) for x in (c * 100 + s, step)]) if found else F.create_map().cast("map<int,int>")
-    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    random = F.filter("tokens", lambda t: (t["step"] <= F.coalesce(F.element_at(limit, t["code"] * 100 + t["size"]), F.lit(-1))) & free(t))
-    more = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
+    # Both arrays are bound to one element, so that neither is made anew for each token.
+    both = F.transform(F.array(F.struct("base", "tokens")), lambda x: F.filter(x["tokens"], lambda t: (t["step"] <= F.coalesce(F.element_at(limit, t["code"] * 100 + t["size"]), F.lit(-1))) & ~F.exists(x["base"], lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    more = F.transform(F.element_at(both, 1), lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
     return scanned.withColumn("spans", F.array_sort(F.concat("base", more))).drop("tokens", "decoys")
 
 
 def find_secrets(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """docs with ``text`` -> with ``base`` and ``spans``, arrays of (start, kind, end) in code points, end exclusive, kinds as in ``KINDS``."""
-    return with_spans(stored(scan(docs.drop("spans"), keep_text)))
+    """docs with ``text`` -> with ``base`` and ``spans``, arrays of (start, kind, end) in code points, end exclusive, kinds as in ``KINDS``.
+
+    With texts, these are scanned twice, for the limits and for the spans, and not stored.
+    """
+    docs = docs.drop("spans")
+    if keep_text:
+        return with_spans(scan(docs), limits(stored(scan(docs.select("text"), False).select("tokens", "decoys"))))
+    scanned = stored(scan(docs, False))
+    return with_spans(scanned, limits(scanned))
 
 
 def joined(spans: Column) -> Column:

@@ -93,29 +93,37 @@ def with_fingerprints(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     return kept.mapInArrow(run, kept.select(*names).schema.add("fp", "long"))
 
 
-def _blocks(code: Column, fields: list[tuple[int, int]]) -> Column:
-    """A code made of bit fields (shift, width) of another, the first in front."""
-    out = F.lit(0).cast("long")
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """Places of codes in Gray order; a code is its rank xor half its rank."""
+    for s in (1, 2, 4, 8, 16, 32):
+        codes = codes ^ (codes >> np.uint64(s))
+    return codes
+
+
+def reordered(codes: np.ndarray, fields: list[tuple[int, int]]) -> np.ndarray:
+    """Codes made of bit fields (shift, width) of others, the first in front."""
+    out = np.zeros(len(codes), np.uint64)
     for shift, width in fields:
-        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        out = (out << np.uint64(width)) | ((codes >> np.uint64(shift)) & np.uint64((1 << width) - 1))
     return out
 
 
-def _gray_rank(code: Column) -> Column:
-    """Place of a code in Gray order; a code is its rank xor half its rank."""
-    for s in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, s))
-    return code
-
-
-def _placed(rows: DataFrame, code: Column, front: int, width: int, shared: int) -> DataFrame:
-    """Rows (slot, fp, ...) -> one for each pair of 4 blocks: the blocks of the pair behind the first ``front`` bits, the others last."""
-    each = []
-    for k, pair in enumerate(combinations(range(4), 2)):
-        order = [*pair, *(b for b in range(4) if b not in pair)]
-        fields = [(64 - front, front)] * bool(front) + [(64 - front - width * (b + 1), width) for b in order]
-        each.append(F.struct((F.col("slot") * 6 + k).cast("int").alias("slot"), _gray_rank(_blocks(code, fields)).alias("rank"), F.col("fp").alias("fp")))
-    out = rows.select(F.explode(F.array(*each)).alias("x")).select("x.slot", "x.rank", "x.fp")
+def _placed(rows: DataFrame, front: int, width: int, shared: int) -> DataFrame:
+    """Rows (slot, fp, code) -> (slot, rank, fp), one for each pair of 4 blocks: the blocks of the pair come behind the first ``front`` bits of the code, the others last.
+
+    Rows that share their first ``shared`` bits come together, in Gray order.
+    """
+    orders = [[*pair, *(b for b in range(4) if b not in pair)] for pair in combinations(range(4), 2)]
+    fields = [[(64 - front, front)] * bool(front) + [(64 - front - width * (b + 1), width) for b in order] for order in orders]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, fp, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for k, f in enumerate(fields):
+                rank = gray_rank(reordered(code.view(np.uint64), f)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((slot * len(fields) + k).astype(np.int32)), pa.array(rank), pa.array(fp)], ["slot", "rank", "fp"])
+
+    out = rows.select("slot", "fp", "code").mapInArrow(run, "slot int, rank long, fp long")
     return out.withColumn("top", F.shiftrightunsigned("rank", 64 - shared)).repartition("slot", "top").sortWithinPartitions("slot", "rank").select("slot", "rank", "fp")
 
 
@@ -230,9 +238,9 @@ def _search(placed: DataFrame, shared: int, large: int | None) -> DataFrame:
 
 def links(fingerprint: DataFrame) -> DataFrame:
     """Distinct ``fp`` -> links (fp, other) whose components are those of all pairs within the radius."""
-    first = stored(_search(_placed(fingerprint.select(F.lit(0).alias("slot"), "fp"), F.col("fp"), 0, 16, 32), 32, LARGE))
-    code = F.col("other").bitwiseXOR(F.shiftrightunsigned("other", 1))
-    second = _search(_placed(first.where("large"), code, 32, 8, 48), 48, None)
+    first = stored(_search(_placed(fingerprint.select(F.lit(0).alias("slot"), "fp", F.col("fp").alias("code")), 0, 16, 32), 32, LARGE))
+    large = first.where("large").select("slot", "fp", F.col("other").bitwiseXOR(F.shiftrightunsigned("other", 1)).alias("code"))
+    second = _search(_placed(large, 32, 8, 48), 48, None)
     return first.where(~F.col("large")).union(second).select("fp", "other")
 
 
@@ -259,12 +267,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with its smallest doc_id, with all its columns.
 
-    Of several rows with that doc_id and fingerprint one stays. Rows are stored with their fingerprint, so that texts
-    are hashed once and a lost executor rereads them.
+    Of rows that repeat its doc_id and text one stays. Texts are read twice and shuffled once, to meet the ids of those
+    that stay; rows are told apart by doc_id and a hash of their text.
     """
-    rows = stored(with_fingerprints(docs))
-    classes = near_duplicates(rows.select("doc_id", "fp"))
-    ids = rows.select("doc_id", "fp").join(classes, "fp")
-    keep = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp").alias("k")
-    met = rows.alias("r").join(keep, F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.fp") == F.col("k.fp")), "left_semi")
-    return met.dropDuplicates(["doc_id", "fp"]).drop("fp")
+    id_, hash_ = F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("_hash")
+    rows = stored(with_fingerprints(docs.select("doc_id", "text", id_, hash_), keep_text=False))
+    ids = rows.join(near_duplicates(rows), "fp")
+    keep = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "_id", "_hash")).alias("k")).select("k._id", "k._hash")
+    return docs.select("*", id_, hash_).join(keep.distinct(), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
