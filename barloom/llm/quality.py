@@ -131,9 +131,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """docs with text, lang and source -> all rows and columns, with base measures, base_failed and kept.
 
     Documents are measured twice, for the sketches and for the verdicts, so that texts are neither stored nor moved.
+    The verdict refers to a row number, which Spark can't make twice: a filter on ``kept`` would else be moved below
+    the measures and repeat their expressions many times over.
     """
     measured = measure(docs.drop("base_failed", "kept"))
-    return judge(measured, stored(thresholds(sketches(measured))))
+    limits = stored(thresholds(sketches(measured)))
+    judged = judge(measured.withColumn("_row", F.monotonically_increasing_id()), limits)
+    return judged.withColumn("kept", F.col("kept") & (F.col("_row") >= 0)).drop("_row")
 
 
 def quality_of_documents(docs: DataFrame) -> DataFrame:
