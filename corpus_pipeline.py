@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, pieces, quality, secret_scan, simhash
+from barloom.llm import mixing, near_copies, pieces, quality, secret_scan
 from barloom.llm.queries import piece_model
 from barloom.llm.shared import shared_folder, word_count
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more. op5's contract binds its query alone."""
+    return near_copies.drop_near_copies(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
