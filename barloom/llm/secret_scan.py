@@ -5,19 +5,22 @@ encodings that holds all its characters is inferred. Three tests ask whether it
 alphabet: chi-squared over its symbols, runs above and below the middle, and serial correlation of neighbours. The
 smallest of their p-values, times three, is the token's score: secrets score high, words near zero.
 
-How often words reach a score depends on length and encoding. So each document also gives decoys: pieces of its own
-letters, cut to the lengths of candidates. Counts of decoys' scores by encoding and length give each candidate a
-p-value under "this is prose", and the Benjamini-Hochberg rule over the p-values of all candidates of the table sets
-the one limit up to which they are secrets. Only counts over fixed bins travel to the driver.
+How often words reach a score depends on length and encoding. So all text between candidates also gives decoys: for each
+encoding and length class, its letters and digits that are in the alphabet, cut into pieces as long as the shortest
+candidates of the class. Counts of decoys' scores give each candidate a p-value under "this is prose"; a fitted tail
+carries it on below what the decoys reach. The Benjamini-Hochberg rule over the p-values of all candidates of the table
+sets the one limit up to which they are secrets. Only counts over fixed bins travel to the driver.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -58,8 +61,8 @@ SETS = [frozenset(a) for _, a in ENCODINGS]
 PLACES = [{c: i for i, c in enumerate(a)} for _, a in ENCODINGS]
 #: Alphabets that only differ in what prose lacks, or in case, share their decoys.
 NAMES = [name for name, _ in ENCODINGS]
-FAMILY = [NAMES.index({"HEX": "hex", "BASE36": "base36", "base64url": "base64"}.get(name, name)) for name in NAMES]
-#: Encodings that decoys are read in: those of candidates, but digits alone, of which prose has none.
+FAMILY = [NAMES.index({"HEX": "hex", "LETTERS": "letters", "BASE36": "base36", "base64url": "base64"}.get(name, name)) for name in NAMES]
+#: Encodings that decoys are read in.
 READ_AS = sorted({FAMILY[i] for i, name in enumerate(NAMES) if name not in ("decimal", "letters", "LETTERS")})
 #: Upper ends of the length classes; longer ones form the last.
 LENGTHS = (24, 32, 48, 64, 96, 128, 256)
@@ -67,8 +70,10 @@ LENGTHS = (24, 32, 48, 64, 96, 128, 256)
 STEPS, MOST_STEPS = 10, 90
 #: Share of false discoveries that is accepted.
 FALSE_DISCOVERIES = 0.01
-#: One decoy for so many characters of text, so that their number grows with the table.
-DECOY_EVERY = 250
+#: Decoys that the fitted tail starts from, and those that its slope reaches to.
+TAIL_FROM, TAIL_TO = 10, 100
+#: Bytes of text that decoys are made from at once.
+AT_ONCE = 1_000_000
 MARK = "[SECRET]"
 
 
@@ -135,27 +140,102 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         token = m[0].rstrip("=") or m[0]
-        if not token.isalpha():
-            code = encoding(token)
-            out.append((m.start(), m.end(), code, _class(len(token)), _step(battery(token, code))))
+        if token.isalpha():
+            continue
+        code = encoding(token)
+        out.append((m.start(), m.end(), code, _class(len(token)), _step(battery(token, code))))
     return out
 
 
-def decoys(text: str) -> list[tuple[int, int, int, int]]:
-    """(encoding, length class, step, count) of what prose looks like in an encoding: the letters of a stretch of text that are in its alphabet.
+def _table(code: int) -> np.ndarray:
+    """Byte -> place in the alphabet, 255 for none. Case is ignored where the alphabet has one case alone."""
+    out = np.full(256, 255, np.uint8)
+    for c, i in PLACES[code].items():
+        out[ord(c)] = i
+        if c.swapcase() not in PLACES[code]:
+            out[ord(c.swapcase())] = i
+    return out
+
 
-    Stretches lie ``DECOY_EVERY`` apart from a hashed start. Encodings and length classes take turns from a hashed one.
+TABLES = {code: _table(code) for code in READ_AS}
+#: Least deviation of each step from 1 on, for tests of one side and of two, corrected as in ``battery``.
+ONE_SIDE, TWO_SIDES = (np.array([-NormalDist().inv_cdf(10 ** (-k / STEPS) / 3 / sides) for k in range(1, MOST_STEPS + 1)]) for sides in (1, 2))
+
+
+def _steps(counts: np.ndarray, high: np.ndarray, changes: np.ndarray, serial: np.ndarray, n: int) -> np.ndarray:
+    """Steps of ``battery`` for many pieces of n characters."""
+    size = counts.shape[1]
+    chi, df = (counts.astype(np.int64) ** 2).sum(1) * size / n - n, size - 1
+    z = (np.cbrt(np.maximum(chi, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    out = np.searchsorted(ONE_SIDE, z, "right")
+    mean = 2 * high * (n - high) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    mixed = var > 0
+    z = np.where(mixed, np.abs(1 + changes - mean) / np.sqrt(np.where(mixed, var, 1)), 0)
+    runs = np.where((high == 0) | (high == n), _step(min(1.0, 3 * 2.0 ** (1 - n))), np.searchsorted(TWO_SIDES, z, "right"))
+    z = np.abs(serial) / ((size * size - 1) / 12 * math.sqrt(n - 1))
+    return np.maximum(np.maximum(out, runs), np.searchsorted(TWO_SIDES, z, "right"))
+
+
+def _pieces(x: np.ndarray, first: np.ndarray, many: np.ndarray, length: int, size: int, sizes: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of letters, the first of each text and their number -> (length class, steps) of all pieces of ``length``, its double and so on."""
+    whole = many // length
+    owner = np.repeat(np.arange(len(many)), whole)
+    start = first[owner] + length * (np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole))
+    own = len(start)
+    if length == LEAST:  # what is left at a text's end is part of a last piece
+        rest = (many >= length) & (many % length > 0)
+        start = np.concatenate((start, (first + many)[rest] - length))
+    if not len(start):
+        return
+    piece = x[start[:, None] + np.arange(length)]
+    counts = np.bincount((piece + size * np.arange(len(piece))[:, None]).ravel(), minlength=size * len(piece)).reshape(-1, size)
+    above, off = 2 * piece.astype(np.int16) >= size, piece - np.float32((size - 1) / 2)
+    high, changes, serial = above.sum(1), (above[:, 1:] != above[:, :-1]).sum(1), (off[:, 1:] * off[:, :-1]).sum(1, dtype=np.float64)
+    ends = [off[:own, 0], off[:own, -1]]
+    yield sizes[length], _steps(counts, high, changes, serial, length)
+    while 2 * length in sizes and own:
+        # The pieces of a text are joined two by two, an odd one at its end is left.
+        place = np.arange(own) - np.repeat(np.cumsum(whole) - whole, whole)
+        a = np.flatnonzero((place % 2 == 0) & (np.append(owner[1:], -1) == owner))
+        if not len(a):
+            return
+        b = a + 1
+        left, right = ends[1][a], ends[0][b]
+        counts, high = counts[a] + counts[b], high[a] + high[b]
+        changes = changes[a] + changes[b] + ((left >= 0.0) != (right >= 0.0))
+        serial = serial[a] + serial[b] + left * right
+        ends, owner, whole, length, own = [ends[0][a], ends[1][b]], owner[a], whole // 2, 2 * length, len(a)
+        yield sizes[length], _steps(counts, high, changes, serial, length)
+
+
+def decoys(texts: list[str]) -> list[tuple[int, int, int, int]]:
+    """(encoding, length class, step, count) of what prose looks like in each encoding: the letters and digits of all text that are in its alphabet.
+
+    Candidates are left out, as they are what is tested. Pieces are as long as the longest candidate of the class before,
+    so no candidate of their class is shorter.
     """
-    out = []
-    turn = zlib.crc32(text[:200].encode("utf-8", "replace"))
-    for k, at in enumerate(range(turn % DECOY_EVERY, len(text), DECOY_EVERY)):
-        which = (turn // DECOY_EVERY + k) % (len(READ_AS) * (len(LENGTHS) + 1))
-        code, most = READ_AS[which % len(READ_AS)], (*LENGTHS, 2 * LENGTHS[-1])[which // len(READ_AS)]
-        stretch, chars = text[at : at + 10 * most], SETS[code]
-        own = "".join([c for c in (stretch.lower() if "A" not in chars else stretch.upper() if "a" not in chars else stretch) if c in chars])[:most]
-        if len(own) >= LEAST:
-            out.append((code, _class(len(own)), _step(battery(own, code)), 1))
-    return out
+    total: Counter = Counter()
+    raw = [CANDIDATE.sub(" ", t).encode("ascii", "replace") for t in texts]
+    sizes = {n: k for k, n in enumerate((LEAST, *LENGTHS))}
+    begin = 0
+    while begin < len(raw):
+        end, n = begin, 0
+        while end < len(raw) and (end == begin or n + len(raw[end]) <= AT_ONCE):
+            n, end = n + len(raw[end]), end + 1
+        blob, upto = np.frombuffer(b"".join(raw[begin:end]), np.uint8), np.cumsum([0, *map(len, raw[begin:end])])
+        for code in READ_AS:
+            x = TABLES[code][blob]
+            held = x != 255
+            place = np.concatenate(([0], np.cumsum(held)))[upto]
+            x = x[held]
+            for length in (LEAST, 24, 32):
+                for k, steps in _pieces(x, place[:-1], np.diff(place), length, len(PLACES[code]), sizes):
+                    for step, many in enumerate(np.bincount(steps).tolist()):
+                        if many:
+                            total[code, k, step] += many
+        begin = end
+    return [(*key, n) for key, n in total.items()]
 
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -163,8 +243,11 @@ TOKEN = "array<struct<start:int,end:int,code:int,size:int,step:int>>"
 DECOY = "array<struct<code:int,size:int,step:int,n:int>>"
 
 
-def scan(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """docs with ``text`` -> with ``base``, ``tokens`` and ``decoys``, arrays of spans, candidates and decoys. Null text counts as empty."""
+def scan(docs: DataFrame, keep_text: bool = True, null: bool = True) -> DataFrame:
+    """docs with ``text`` -> with ``base``, ``tokens`` and ``decoys``, arrays of spans, candidates and decoys. Null text counts as empty.
+
+    Decoys are counts over several rows, and stand in the first of them; without ``null`` there are none.
+    """
     kept = docs.drop("base", "tokens", "decoys")
     names = [c for c in kept.columns if keep_text or c != "text"]
     shapes = [pa.list_(pa.struct([(n, pa.int32()) for n in fields])) for fields in (("start", "kind", "end"), ("start", "end", "code", "size", "step"), ("code", "size", "step", "n"))]
@@ -177,7 +260,7 @@ def scan(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             found = [
                 [base_spans(t) if hint else [] for t, hint in zip(texts, fixed, strict=True)],
                 [candidates(t) if hint else [] for t, hint in zip(texts, long, strict=True)],
-                [decoys(t) if t else [] for t in texts],
+                [decoys([t for t in texts if t]) if null and not k else [] for k in range(len(texts))],
             ]
             arrays = [pa.array([[dict(zip([f.name for f in s.value_type], x, strict=True)) for x in row] for row in rows], s) for rows, s in zip(found, shapes, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *arrays], [*names, "base", "tokens", "decoys"])
@@ -188,20 +271,41 @@ def scan(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def tail(counts: dict[int, int]) -> list[float]:
+    """Decoys by step -> for each step the share of prose that has it or a lesser one.
+
+    One is added to both counts. Below the step that ``TAIL_FROM`` decoys reach, the share falls on as it does from there
+    to ``TAIL_TO`` decoys, but not below what is seen: as the logarithm of such a share is concave, that is too much
+    rather than too little. The last step has all greater scores in it and takes no part. So the number of decoys, which
+    grows with the table, doesn't limit how small a share can be.
+    """
+    upto = np.cumsum([counts.get(s, 0) for s in range(MOST_STEPS + 1)])
+    out = ((upto + 1) / (upto[-1] + 1)).tolist()
+    low, high = (int(np.searchsorted(upto, n)) for n in (TAIL_FROM, TAIL_TO))
+    high = min(high, MOST_STEPS - 1)
+    if low < high:
+        slope = math.log(upto[high] / upto[low]) / (high - low)
+        for s in range(low):
+            out[s] = min(out[s], max(float(upto[s] / upto[-1]), out[low] * math.exp(slope * (s - low))))
+    return out
+
+
 def limits(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[tuple[int, int], int]:
     """(encoding, length class) -> the largest step that counts as random.
 
-    A candidate's p-value is the share of decoys of its encoding that score as random as it does, with one added to both
-    counts. Decoys of its length class and all shorter ones count: longer prose only looks less random. Steps of all classes are put in order of p-value; the largest p at most rate * rank / n
-    is the limit of all. There are at most 12 * 8 * 91 counts, whatever the table.
+    A candidate's p-value is the share of decoys of its encoding that score as random as it does. Those of its length class
+    or a shorter one bound it, as longer prose only looks less random; the least bound is taken. Steps of all classes are
+    put in order of p-value; the largest p at most rate * rank / n is the limit of all. There are at most 12 * 8 * 91
+    counts, whatever the table.
     """
     got = scanned.select(F.explode("tokens").alias("t")).groupBy("t.code", "t.size", "t.step").agg(F.count("*").alias("n"))
     prose = scanned.select(F.explode("decoys").alias("t")).groupBy("t.code", "t.size", "t.step").agg(F.sum("t.n").alias("n"))
     own, null = ({(r.code, r.size, r.step): r.n for r in x.collect()} for x in (got, prose))
-    p = {}
-    for code, size, step in own:
-        known = [(s, n) for (c, z, s), n in null.items() if c == FAMILY[code] and z <= size]
-        p[code, size, step] = (sum(n for s, n in known if s <= step) + 1) / (sum(n for _, n in known) + 1)
+    by: dict[tuple[int, int], dict[int, int]] = {}
+    for (code, size, step), n in null.items():
+        by.setdefault((code, size), {})[step] = n
+    tails = {key: tail(counts) for key, counts in by.items()}
+    p = {(code, size, step): min([t[step] for (c, z), t in tails.items() if c == FAMILY[code] and z <= size], default=1.0) for code, size, step in own}
     n, rank, limit = sum(own.values()), 0, -1.0
     for key in sorted(p, key=p.get):
         rank += own[key]
@@ -230,7 +334,7 @@ def find_secrets(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """
     docs = docs.drop("spans")
     if keep_text:
-        return with_spans(scan(docs), limits(stored(scan(docs.select("text"), False).select("tokens", "decoys"))))
+        return with_spans(scan(docs, null=False), limits(stored(scan(docs.select("text"), False).select("tokens", "decoys"))))
     scanned = stored(scan(docs, False))
     return with_spans(scanned, limits(scanned))
 
