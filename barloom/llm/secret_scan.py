@@ -63,7 +63,7 @@ PLACES = [{c: i for i, c in enumerate(a)} for _, a in ENCODINGS]
 NAMES = [name for name, _ in ENCODINGS]
 FAMILY = [NAMES.index({"HEX": "hex", "LETTERS": "letters", "BASE36": "base36", "base64url": "base64"}.get(name, name)) for name in NAMES]
 #: Encodings that decoys are read in.
-READ_AS = sorted({FAMILY[i] for i, name in enumerate(NAMES) if name not in ("decimal", "letters", "LETTERS")})
+READ_AS = sorted(set(FAMILY))
 #: Upper ends of the length classes; longer ones form the last.
 LENGTHS = (24, 32, 48, 64, 96, 128, 256)
 #: Scores are counted in steps of a tenth in -log10, up to 9.
@@ -136,12 +136,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, encoding, length class, step). Letters alone, in whatever case, are taken for prose and never for random."""
+    """(start, end, encoding, length class, step)."""
     out = []
     for m in CANDIDATE.finditer(text):
         token = m[0].rstrip("=") or m[0]
-        if token.isalpha():
-            continue
         code = encoding(token)
         out.append((m.start(), m.end(), code, _class(len(token)), _step(battery(token, code))))
     return out

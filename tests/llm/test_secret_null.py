@@ -52,3 +52,19 @@ def test_one_token_among_many_candidates(spark, size):
     rows[7] = (7, f"{rows[7][1]} {key} {prose(rng, 30)}")
     got = found(spark, rows)
     assert got.pop(7) == [key] and not any(got.values())
+
+
+def test_letters_and_digits_alone(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 300)) for i in range(150)]
+    rows += [(500 + i, " ".join(str(rng.randrange(1900, 2030)) for _ in range(200))) for i in range(60)]
+    keys = ["".join(rng.choices(a, k=n)) for a, n in ((string.ascii_lowercase, 100), (string.ascii_uppercase, 100), (string.digits, 120), (string.ascii_letters, 60))]
+    rows += [(1000 + i, f"{prose(rng, 30)} {k} {prose(rng, 30)}") for i, k in enumerate(keys)]
+    rows += [(2000, prose(rng, 9) + " thegovernmentquestionhistoryofthepublicmarketandpeople"), (2001, prose(rng, 9) + " 19991999200020002001200120022002200320032004")]
+    got = found(spark, rows)
+    # 24 digits or more are the fixed pattern's; what the tests say of them stands in the limits.
+    assert [got[1000 + i] for i in (0, 1, 3)] == [[keys[i]] for i in (0, 1, 3)]
+    found_at = scans.limits(scans.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    (_, _, code, size, step), (*_, other, least, high) = scans.candidates(keys[2])[0], scans.candidates(rows[-1][1])[0]
+    assert code == other == 0 and step <= found_at[code, size] and high > found_at.get((other, least), -1)
+    assert not any(v for i, v in got.items() if not 1000 <= i < 2000)
