@@ -1,6 +1,5 @@
 """Language identification, encoding and Order MinHash against held-out accuracy, the library and plain versions."""
 
-import os
 import random
 import zlib
 
@@ -35,20 +34,39 @@ def test_labels_of_held_out_documents_teach_nothing(spark):
     assert run(rows) == run(other)
 
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+def model() -> str:
+    return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 
 
-@pytest.mark.skipif(not os.path.exists(MODEL), reason="the vocabulary isn't here")
 def test_encoding_is_the_librarys(spark):
     import sentencepiece
 
-    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=model())
+    rng = random.Random(3)
     texts = ["", None, " ", "a", "  a  b ", "\n\na\nb", "▁a", "<s> </s>", "\x00", "ﬁ Ａ é", "日本語\U0001f600", "=" * 300, "tttthhheee" * 40, "naïve  word\tword", "naïve  word\tword"]
+    texts += ["x \n b", "a▁b\n▁", "b\nb ", "▁▁", *("".join(rng.choices("ab▁ \n\té=日xyz", k=rng.randint(1, 60))) for _ in range(500))]
     docs = spark.createDataFrame([(i, t, [0]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
-    got = {r.doc_id: r for r in pieces.encode_decode(docs, MODEL).collect()}
+    got = {r.doc_id: r for r in pieces.encode_decode(docs, model()).collect()}
     for i, t in enumerate(texts):
         ids = [*library.encode(t or ""), 2]
         assert got[i].ids == ids and got[i].decoded == library.decode(ids) and got[i].text == t
+    empty = pieces.encode_decode(docs.limit(0), model())
+    assert empty.columns == ["doc_id", "text", "ids", "decoded"] and empty.count() == 0
+
+
+def test_long_units_and_little_memory(monkeypatch):
+    """A text of ten million characters without spaces, and units that are forgotten between batches."""
+    with open(model(), "rb") as f:
+        vocabulary = pieces.Vocabulary(f.read())
+    rng = random.Random(5)
+    block = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789", k=100_000))
+    ids, begin, decoded = vocabulary.encode([block * 100, "a b"])
+    assert decoded == [block * 100, "a b"] and ids[begin[1] - 1] == 2 and begin[2] == len(ids)
+    own = [*vocabulary.library.encode(block), 2]
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 1000)
+    for _ in range(3):
+        ids, begin, decoded = vocabulary.encode([block, "c d " * 50])
+        assert ids[: begin[1]].tolist() == own and decoded == [block, "c d " * 50] and len(vocabulary.known) < 10
 
 
 def plain_signature(text: str) -> np.ndarray:
