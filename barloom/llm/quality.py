@@ -2,8 +2,11 @@
 
 Each document is measured once. Quantiles of the measures are kept per language and source in mergeable sketches:
 counts of logarithmic buckets, so that sketches of parts add up to the sketch of the whole and a quantile has a
-relative error of at most ``GAMMA`` - 1. A group with few rows takes the merged sketch of its language, then that of the whole
-table. A document is rejected when a measure lies far above the middle of its group.
+relative error of at most ``GAMMA`` - 1. A group's quantiles are drawn towards those of its language, and these towards
+those of the whole table, by ``PRIOR`` rows' weight, so that small groups need no rule of their own. A document is
+rejected when a measure lies further above the middle of its group than ``SPREADS`` times the way from the middle to
+the 85 % quantile. Neither quantile moves much while fewer than 15 % of a group are junk, and what is usual in a source,
+such as capitals in German or symbols in code, is usual there.
 
 Everything is DataFrame functions. Arrays of words stay inside their row: nothing is exploded by word.
 """
@@ -22,14 +25,17 @@ WINDOW = 8
 LEAST_WORDS = 20
 #: A base rule: a larger percentage of words in repeated windows fails.
 MOST_REPEATED = 30
-#: Measures in thousandths, and how far above the middle of its group each may always be.
-SLACK = {"symbols": 30, "echoes": 200, "capitals": 300, "line_copies": 600}
-#: Multiple of the spread (median less the 10 % quantile) that is added to it.
-SPREADS = 4
+#: Adaptive measures. The first four are rates in millionths with one event added, over a length with some added, so that
+#: short texts aren't judged by one event and a rate varies where most documents have no event. The last is in thousandths.
+MEASURES = ("symbols", "echoes", "capitals", "line_copies", "word_length")
+#: What is added to the lengths: characters, words, characters, lines.
+ADDED = {"symbols": 1000, "echoes": 100, "capitals": 1000, "line_copies": 2}
+#: Quantiles of a sketch that make a limit, and how many times their distance is added to the first.
+MIDDLE, UPPER, SPREADS = 0.5, 0.85, 6
 #: Ratio of the limits of a sketch's neighbouring buckets.
 GAMMA = 1.02
-#: Groups with fewer rows take the sketch of their language, languages with fewer that of all rows.
-LEAST_ROWS = 100
+#: Rows that the parent's quantiles count as when a group's are drawn towards them.
+PRIOR = 50
 #: Groups of language and source whose thresholds are broadcast; each takes some 200 bytes.
 BROADCAST_GROUPS = 50_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -42,14 +48,14 @@ def _neighbours(hashes: str, step: int) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with ``text`` -> with the base measures and ``thousandths``, a struct of the adaptive ones.
+    """docs with ``text`` -> with the base measures and ``adaptive``, a struct of the others.
 
-    Null and empty texts have no words, and zero everywhere. Windows are compared by a 64-bit hash; within one
+    Null and empty texts have no words, and zero in the base measures. Windows are compared by a 64-bit hash; within one
     document of n words two windows are confused with a probability below n * n / 2 ** 65.
     Columns of ``docs`` that have a measure's name are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    made = [*BASE, "thousandths", "_words", "_lines", "_h1", "_h2", "_h4", "_h8", "_sorted", "_starts"]
+    made = [*BASE, "adaptive", "_capitals", "_words", "_lines", "_h1", "_h2", "_h4", "_h8", "_sorted", "_starts"]
     df = docs.drop(*made).withColumns({"_words": F.regexp_extract_all(text, F.lit(WORD), 0), "_lines": F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))})
     df = df.withColumns({
         "_h1": F.transform("_words", lambda x: F.xxhash64(x)),
@@ -73,43 +79,50 @@ def measure(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
     m = F.greatest(F.size("_h1") - 1, F.lit(0))
     echoes = F.size(F.filter(F.zip_with(F.slice("_h1", 1, m), F.slice("_h1", 2, m), lambda a, b: a == b), lambda x: x))
-    share = lambda part, whole: F.coalesce(F.floor(F.try_divide(part * 1000, whole)), F.lit(0)).cast("long")
-    df = df.withColumn("thousandths", F.struct(
-        share(F.col("n_symbols"), F.col("word_chars")).alias("symbols"),
-        share(echoes, F.col("n_words")).alias("echoes"),
-        share(F.col("_capitals"), F.col("word_chars")).alias("capitals"),
-        share(F.col("n_dup_lines"), F.size("_lines")).alias("line_copies"),
+    rate = lambda name, events, length: F.floor((events + 1).cast("long") * 1_000_000 / (length + ADDED[name])).cast("long").alias(name)
+    df = df.withColumn("adaptive", F.struct(
+        rate("symbols", F.col("n_symbols"), F.col("word_chars")),
+        rate("echoes", echoes, F.col("n_words")),
+        rate("capitals", F.col("_capitals"), F.col("word_chars")),
+        rate("line_copies", F.col("n_dup_lines"), F.size("_lines")),
+        F.coalesce(F.floor(F.try_divide(F.col("word_chars") * 1000, F.col("n_words"))), F.lit(0)).cast("long").alias("word_length"),
     ))
     return df.drop("_lines", "_capitals", "_h1", "_h2", "_h4", "_h8", "_sorted", "_starts")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket) -> number of rows. Sketches of parts merge by adding up the counts."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"thousandths.{m}").alias("x")) for m in SLACK]))
+    """(lang, source, measure, bucket) -> number of rows that pass the base rules. Sketches of parts merge by adding up the counts."""
+    # A filter would be moved below the measures and repeat their expressions.
+    each = F.explode(F.when(~base_failed(), F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"adaptive.{m}").alias("x")) for m in MEASURES])))
     rows = measured.select("lang", "source", each.alias("m")).select("lang", "source", "m.measure", "m.x")
     bucket = F.when(F.col("x") <= 0, F.lit(-1)).otherwise(F.ceil(F.ln("x") / F.ln(F.lit(GAMMA)))).cast("int")
     return rows.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches merged by the columns ``by`` -> rows, median and 10 % quantile of each measure, at the limits of buckets."""
+    """Sketches merged by the columns ``by`` -> rows, the middle and the upper quantile of each measure, at the limits of buckets."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "measure")
     merged = merged.withColumns({"rows": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))})
     value = F.when(F.col("bucket") < 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket").cast("double")))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, value))
-    return merged.groupBy(*by, "measure").agg(F.first("rows").alias("rows"), at(0.5).alias("middle"), at(0.1).alias("low"))
+    return merged.groupBy(*by, "measure").agg(F.first("rows").alias("rows"), at(MIDDLE).alias("middle"), at(UPPER).alias("upper"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source) -> ``limits``, a map from measure to the largest value that passes."""
     own, lang, whole = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
-    limit = F.col("middle") + SPREADS * (F.col("middle") - F.col("low"))
-    own, lang, whole = (x.select(*[c for c in x.columns if c not in ("rows", "middle", "low")], F.col("rows").alias(f"{k}_rows"), limit.alias(k)) for x, k in ((own, "own"), (lang, "by_lang"), (whole, "by_all")))
     both = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure"))).join(whole.alias("w"), F.col("o.measure") == F.col("w.measure"))
-    chosen = F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).when(F.col("by_lang_rows") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.col("by_all"))
-    slack = F.element_at(F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("o.measure"))
-    rows = both.select("o.lang", "o.source", F.struct(F.col("o.measure").alias("k"), (chosen + slack).alias("v")).alias("e"))
+
+    def drawn(rows: Column, value: Column, parent: Column) -> Column:
+        return (rows * value + PRIOR * parent) / (rows + PRIOR)
+
+    middle, upper = (drawn(F.col("o.rows"), F.col(f"o.{q}"), drawn(F.col("l.rows"), F.col(f"l.{q}"), F.col(f"w.{q}"))) for q in ("middle", "upper"))
+    rows = both.select("o.lang", "o.source", F.struct(F.col("o.measure").alias("k"), (middle + SPREADS * (upper - middle)).alias("v")).alias("e"))
     return rows.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list("e")).alias("limits"))
 
 
@@ -118,24 +131,26 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
     Thresholds of up to ``BROADCAST_GROUPS`` groups are broadcast; more of them are joined as Spark sees fit.
     """
+    limits = limits.select(*[F.col(c).alias(f"_t_{c}") for c in limits.columns])
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
-    joined = measured.alias("m").join(limits.alias("t"), F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    joined = measured.drop(*limits.columns).join(limits, F.col("lang").eqNullSafe(F.col("_t_lang")) & F.col("source").eqNullSafe(F.col("_t_source")), "left")
     over = F.lit(False)
-    for m in SLACK:
-        over = over | (F.col(f"thousandths.{m}") > F.element_at("limits", m))
-    return joined.select("m.*", failed.alias("base_failed"), (~failed & ~F.coalesce(over, F.lit(False))).alias("kept"))
+    for m in MEASURES:
+        over = over | (F.col(f"adaptive.{m}") > F.element_at("_t_limits", m))
+    judged = joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~F.coalesce(over, F.lit(False))})
+    return judged.drop(*limits.columns)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """docs with text, lang and source -> all rows and columns, with base measures, base_failed and kept.
+    """docs with text, lang and source -> all rows and columns, with base measures, ``adaptive``, base_failed and kept.
 
-    Documents are measured twice, for the sketches and for the verdicts, so that texts are neither stored nor moved.
-    The verdict refers to a row number, which Spark can't make twice: a filter on ``kept`` would else be moved below
-    the measures and repeat their expressions many times over.
+    Columns of ``docs`` with one of these names are replaced, as is one named _row. Documents are measured twice, for the
+    sketches and for the verdicts, so that texts are neither stored nor moved. The verdict refers to a row number, which
+    Spark can't make twice: a filter on ``kept`` would else be moved below the measures and repeat their expressions
+    many times over.
     """
-    measured = measure(docs.drop("base_failed", "kept"))
-    limits = stored(thresholds(sketches(measured)))
+    measured = measure(docs.drop("base_failed", "kept", "_row"))
+    limits = stored(thresholds(stored(sketches(measured))))
     judged = judge(measured.withColumn("_row", F.monotonically_increasing_id()), limits)
     return judged.withColumn("kept", F.col("kept") & (F.col("_row") >= 0)).drop("_row")
 
@@ -143,7 +158,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def quality_of_documents(docs: DataFrame) -> DataFrame:
     """As ``quality_rules``, without the texts: these are measured once, and the measures stored."""
     measured = stored(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"))
-    return judge(measured, stored(thresholds(sketches(measured))))
+    return judge(measured, stored(thresholds(stored(sketches(measured)))))
 
 
 ORACLE = r"""
@@ -158,24 +173,26 @@ m AS (SELECT n.r, doc_id, lang, source, n AS n_words, length(text) - len(regexp_
              len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
              coalesce(covered, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{Lu}')) AS caps,
              len(list_filter(range(2, n + 1), lambda i: w[i] = w[i - 1])) AS echoes FROM n LEFT JOIN c ON n.r = c.r),
-t AS (SELECT *, coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbols_t, coalesce(1000 * echoes // nullif(n_words, 0), 0) AS echoes_t,
-             coalesce(1000 * caps // nullif(word_chars, 0), 0) AS capitals_t, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS line_copies_t FROM m),
+t AS (SELECT *, (n_symbols + 1) * 1000000 // (word_chars + 1000) AS symbols_m, (echoes + 1) * 1000000 // (n_words + 100) AS echoes_m,
+             (caps + 1) * 1000000 // (word_chars + 1000) AS capitals_m, (n_dup_lines + 1) * 1000000 // (n_lines + 2) AS line_copies_m,
+             coalesce(1000 * word_chars // nullif(n_words, 0), 0) AS word_length_m, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 u AS (SELECT lang, source, measure, CASE WHEN x <= 0 THEN -1 ELSE CAST(ceil(ln(x) / ln(1.02::DOUBLE)) AS INT) END AS bucket FROM t,
-      LATERAL (SELECT unnest(['symbols', 'echoes', 'capitals', 'line_copies']) AS measure, unnest([symbols_t, echoes_t, capitals_t, line_copies_t]) AS x)),
-o AS (SELECT lang, source, measure, bucket, row_number() OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS k, count(*) OVER (PARTITION BY lang, source, measure) AS rows,
+      LATERAL (SELECT unnest(['symbols', 'echoes', 'capitals', 'line_copies', 'word_length']) AS measure, unnest([symbols_m, echoes_m, capitals_m, line_copies_m, word_length_m]) AS x) WHERE NOT base_failed),
+o AS (SELECT lang, source, measure, CASE WHEN bucket < 0 THEN 0 ELSE pow(1.02::DOUBLE, bucket) END AS v,
+             row_number() OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS k, count(*) OVER (PARTITION BY lang, source, measure) AS rows,
              row_number() OVER (PARTITION BY lang, measure ORDER BY bucket) AS kl, count(*) OVER (PARTITION BY lang, measure) AS rows_l,
              row_number() OVER (PARTITION BY measure ORDER BY bucket) AS ka, count(*) OVER (PARTITION BY measure) AS rows_a FROM u),
-q AS (SELECT lang, source, measure, any_value(rows) AS rows, min(bucket) FILTER (k >= rows * 0.5) AS mid, min(bucket) FILTER (k >= rows * 0.1) AS low FROM o GROUP BY ALL),
-ql AS (SELECT lang, measure, any_value(rows_l) AS rows, min(bucket) FILTER (kl >= rows_l * 0.5) AS mid, min(bucket) FILTER (kl >= rows_l * 0.1) AS low FROM o GROUP BY ALL),
-qa AS (SELECT measure, min(bucket) FILTER (ka >= rows_a * 0.5) AS mid, min(bucket) FILTER (ka >= rows_a * 0.1) AS low FROM o GROUP BY ALL),
-z AS (SELECT q.lang, q.source, q.measure, CASE WHEN q.rows >= 100 THEN q.mid WHEN ql.rows >= 100 THEN ql.mid ELSE qa.mid END AS mid,
-             CASE WHEN q.rows >= 100 THEN q.low WHEN ql.rows >= 100 THEN ql.low ELSE qa.low END AS low
+q AS (SELECT lang, source, measure, any_value(rows) AS n, min(v) FILTER (k >= rows * 0.5) AS mid, min(v) FILTER (k >= rows * 0.85) AS up FROM o GROUP BY ALL),
+ql AS (SELECT lang, measure, any_value(rows_l) AS n, min(v) FILTER (kl >= rows_l * 0.5) AS mid, min(v) FILTER (kl >= rows_l * 0.85) AS up FROM o GROUP BY ALL),
+qa AS (SELECT measure, min(v) FILTER (ka >= rows_a * 0.5) AS mid, min(v) FILTER (ka >= rows_a * 0.85) AS up FROM o GROUP BY ALL),
+z AS (SELECT q.lang, q.source, q.measure, (q.n * q.mid + 50 * ((ql.n * ql.mid + 50 * qa.mid) / (ql.n + 50))) / (q.n + 50) AS mid,
+             (q.n * q.up + 50 * ((ql.n * ql.up + 50 * qa.up) / (ql.n + 50))) / (q.n + 50) AS up
       FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang AND q.measure = ql.measure JOIN qa ON q.measure = qa.measure),
-v AS (SELECT lang, source, measure, CASE WHEN mid < 0 THEN 0 ELSE pow(1.02::DOUBLE, mid) END AS mid, CASE WHEN low < 0 THEN 0 ELSE pow(1.02::DOUBLE, low) END AS low FROM z),
-y AS (SELECT lang, source, max(mid + 4 * (mid - low) + 30) FILTER (measure = 'symbols') AS a, max(mid + 4 * (mid - low) + 200) FILTER (measure = 'echoes') AS b,
-             max(mid + 4 * (mid - low) + 300) FILTER (measure = 'capitals') AS c, max(mid + 4 * (mid - low) + 600) FILTER (measure = 'line_copies') AS d FROM v GROUP BY ALL),
-j AS (SELECT t.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, symbols_t > a OR echoes_t > b OR capitals_t > c OR line_copies_t > d AS over
-      FROM t JOIN y ON t.lang IS NOT DISTINCT FROM y.lang AND t.source IS NOT DISTINCT FROM y.source)
+y AS (SELECT lang, source, max(mid + 6 * (up - mid)) FILTER (measure = 'symbols') AS a, max(mid + 6 * (up - mid)) FILTER (measure = 'echoes') AS b,
+             max(mid + 6 * (up - mid)) FILTER (measure = 'capitals') AS c, max(mid + 6 * (up - mid)) FILTER (measure = 'line_copies') AS d,
+             max(mid + 6 * (up - mid)) FILTER (measure = 'word_length') AS e FROM z GROUP BY ALL),
+j AS (SELECT t.*, coalesce(symbols_m > a OR echoes_m > b OR capitals_m > c OR line_copies_m > d OR word_length_m > e, false) AS over
+      FROM t LEFT JOIN y ON t.lang IS NOT DISTINCT FROM y.lang AND t.source IS NOT DISTINCT FROM y.source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM j
 """

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain Python, on a small table with copies, junk, secrets and nulls."""
 
+import math
 import random
 import re
 
@@ -89,3 +90,53 @@ def test_quality_measures(spark):
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
+
+
+def plain_limits(groups: dict[tuple, list[float]]) -> dict[tuple, float]:
+    """Limits of one measure from the values of each (lang, source), by sorting instead of sketches."""
+
+    def two(values: list[float]) -> list[float]:
+        values = sorted(values)
+        return [quality.GAMMA ** math.ceil(math.log(values[math.ceil(q * len(values)) - 1]) / math.log(quality.GAMMA)) for q in (0.5, 0.85)]
+
+    whole, out = two([v for g in groups.values() for v in g]), {}
+    for (lang, source), values in groups.items():
+        both = [v for g, own in groups.items() if g[0] == lang for v in own]
+        of_lang = [(len(both) * a + 50 * b) / (len(both) + 50) for a, b in zip(two(both), whole)]
+        middle, upper = ((len(values) * a + 50 * b) / (len(values) + 50) for a, b in zip(two(values), of_lang))
+        out[lang, source] = middle + 6 * (upper - middle)
+    return out
+
+
+def test_adaptive_thresholds(spark):
+    """Sources with other habits get other limits, as sorting has them, and no single cutoff keeps the same documents."""
+    rng, rows = random.Random(9), []
+    for k, (lang, source, share) in enumerate((("en", "prose", 0.01), ("en", "code", 0.5), ("de", None, 0.05), (None, "code", 0.2))):
+        for i in range((150, 90, 40, 3)[k]):
+            words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) + ("$" if rng.random() < share else "") for _ in range(rng.randint(30, 200))]
+            rows.append((1000 * k + i, " ".join(words), lang, source))
+    rows += [(9001, " ".join(f"w{i}$$$" for i in range(60)), "en", "prose"), (9002, " ".join(f"x{i}$" for i in range(60)), "en", "code"), (9003, None, "fr", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stored = quality.stored(quality.measure(docs))
+    measured = stored.where(~quality.base_failed()).collect()
+    limits = {(r.lang, r.source): r.limits for r in quality.thresholds(quality.sketches(stored)).collect()}
+    for m in quality.MEASURES:
+        groups = {}
+        for r in measured:
+            groups.setdefault((r.lang, r.source), []).append(r.adaptive[m])
+        for g, want in plain_limits(groups).items():
+            assert math.isclose(limits[g][m], want, rel_tol=1e-9)
+    assert len({round(x["symbols"]) for x in limits.values()}) == 4 and limits["en", "code"]["symbols"] > 2 * limits["en", "prose"]["symbols"]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
+    assert kept.pop(9002) and not kept.pop(9001) and not kept.pop(9003) and sum(kept.values()) >= len(kept) - 2
+
+
+def test_quality_of_odd_tables(spark):
+    """Clashing names, repeated rows and an empty table."""
+    names = ("limits", "_t_limits", "_row", "kept", "adaptive", "_h1", "_capitals", "m")
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(40)), "en", "a")] * 3, "doc_id long, text string, lang string, source string")
+    for c in names:
+        docs = docs.withColumn(c, quality.F.lit(1))
+    got = quality.quality_rules(docs).collect()
+    assert len(got) == 3 and all(r.kept and r.limits == r.m == 1 for r in got)
+    assert quality.quality_rules(docs.limit(0)).count() == 0
