@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
-Entities that the fixed patterns find are seeds. The words around them induce lexical patterns: two words before, or
-one before and one after. Patterns and the values that they surround form a graph. A pattern's score is the share of
-its values that are believed to be identifiers; a value's belief is the probability that not all of its patterns are
-wrong. Both are recomputed in turn, a few rounds. Values that only well-supported patterns of high score surround are
-identifiers that no fixed pattern describes.
+Entities that the fixed patterns find are seeds. The words around them induce lexical patterns: two words before, one
+before and one after, or one of them with the shape of the value. Patterns and the values that they surround form a
+graph. A pattern's score is the share of its values that are believed to be identifiers, with ``SMOOTH`` others added; a
+value's belief is the probability that not all of its patterns of high score are wrong. Both are recomputed in turn
+until they settle, so that what is discovered supports further patterns. Values with a high belief are identifiers that
+no fixed pattern describes. A number that passes the check of cards, but whose neighbours keep the fixed pattern from
+it, starts with the belief that such a check deserves.
 
 Everything is DataFrame functions. Texts are read once; what is stored has only spans, values and words beside them.
 """
@@ -24,14 +26,22 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What a context may turn into an identifier: digits with separators, six characters at least.
-CANDIDATE = r"[0-9][0-9().\x20/-]{4,}[0-9]"
-#: Characters on either side of a mention in which its neighbouring words are looked for.
-WINDOW = 60
-#: Rounds of scoring.
-ROUNDS = 3
-#: Values that a pattern must surround, the least score of one that counts, and the least belief of a discovery.
-SUPPORT, LEAST_SCORE, LEAST_BELIEF = 3, 0.8, 0.9
+#: What a context may turn into an identifier: letters and digits with separators inside, a digit among the first 20
+#: characters, or digits with brackets and spaces. Where a run starts, only its start is tried.
+CANDIDATE = r"(?:\G|(?<![A-Za-z0-9._/-]))(?=[A-Za-z._/-]{0,20}[0-9])[A-Za-z0-9]++(?:[._/-]++[A-Za-z0-9]++)*+"
+CANDIDATE_HINT = r"[0-9]"
+#: Characters of a candidate at least.
+LEAST_LENGTH = 5
+#: Words on either side of a mention that are kept, the longest that counts in a pattern, and characters of a shape.
+NEAR, LONGEST_WORD, SHAPE = 3, 40, 40
+#: Believed values that a pattern must surround, values that count as wrong besides its own, and the least score of one that counts.
+SUPPORT, SMOOTH, LEAST_SCORE = 3, 1, 0.8
+#: Least belief of a discovery, and of a number that passes the check of cards: one in ten numbers does by chance.
+LEAST_BELIEF, CHECKED = 0.9, 0.9
+#: The rounds end when all beliefs together grow by no more than this share.
+SETTLED = 1e-4
+#: Values of a pattern from which its edges are dealt over ``SALTS`` keys; the most such patterns, and found values, that are broadcast.
+HOT, SALTS, BROADCAST_ROWS = 10_000, 32, 100_000
 MENTION = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
 
 
@@ -51,8 +61,12 @@ def _valid(kind: int, m: Column) -> Column:
     return F.lit(True)
 
 
+def _spaced(s: Column) -> Column:
+    return F.translate(s, "\t\n\r", "   ")
+
+
 def mentions(text: Column, kind: int, pattern: str, hint: Column, valid: bool = True) -> Column:
-    """Matches of a pattern with their places in code points and the text on both sides; empty where ``hint`` is false.
+    """Matches of a pattern with their places in code points and the words on both sides, up to the next match; empty where ``hint`` is false.
 
     The text between matches comes from splitting by the same pattern, so lengths add up to places.
     """
@@ -62,7 +76,7 @@ def mentions(text: Column, kind: int, pattern: str, hint: Column, valid: bool =
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["before"])
         end = start + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["before"], F.lit(WINDOW)).alias("left"), F.left(x["after"], F.lit(WINDOW)).alias("right"))
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.substring_index(_spaced(x["before"]), " ", -NEAR).alias("left"), F.substring_index(_spaced(x["after"]), " ", NEAR).alias("right"))
         keep = _valid(kind, x["m"]) if valid else F.lit(True)
         return F.struct(end.alias("at"), F.when(keep, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
 
@@ -84,49 +98,81 @@ def fixed(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """docs with ``text`` -> without it, with ``base`` and ``others``: mentions of the fixed patterns, and candidates that none of them overlaps."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.drop("base", "others").withColumns({"base": fixed(text), "others": mentions(text, 4, CANDIDATE, F.rlike(text, F.lit(CANDIDATE)), valid=False)})
-    pairs = F.transform(F.array(F.struct("base", "others")), lambda x: F.filter(x["others"], lambda c: ~F.exists(x["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    found = docs.drop("base", "others").withColumns({"base": fixed(text), "others": mentions(text, 4, CANDIDATE, F.rlike(text, F.lit(CANDIDATE_HINT)), valid=False)})
+    free = lambda x: lambda c: (F.length(c["value"]) >= LEAST_LENGTH) & ~F.exists(x["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    pairs = F.transform(F.array(F.struct("base", "others")), lambda x: F.filter(x["others"], free(x)))
     return found.withColumn("others", F.element_at(pairs, 1)).drop("text")
 
 
-def _patterns(left: Column, right: Column) -> Column:
-    """Lexical patterns of a mention: lower-case words beside it, without what stands around them."""
-    words = lambda s: F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}:=#]+"), lambda w: w != "")
-    before, after = words(left), words(right)
-    two = F.when(F.size(before) >= 2, F.concat_ws(" ", F.lit("<"), F.slice(before, -2, 2)))
-    both = F.when((F.size(before) >= 1) & (F.size(after) >= 1), F.concat_ws(" ", F.lit("<>"), F.element_at(before, -1), F.element_at(after, 1)))
-    return F.filter(F.array(two, both), lambda p: p.isNotNull())
+def _patterns(m: Column) -> Column:
+    """Lexical patterns of a mention: lower-case words beside it, without what stands around them, and the shape of the value."""
+    words = lambda s: F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}:=#]+"), lambda w: (w != "") & (F.length(w) <= LONGEST_WORD))
+    before, after = words(m["left"]), words(m["right"])
+    shape = F.left(F.regexp_replace(F.regexp_replace(F.regexp_replace(m["value"], "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), F.lit(SHAPE))
+    last, first = F.try_element_at(before, F.lit(-1)), F.try_element_at(after, F.lit(1))
+    made = [
+        F.when(F.size(before) >= 2, F.concat_ws(" ", F.lit("<"), F.slice(before, -2, 2))),
+        F.concat(F.lit("<> "), last, F.lit(" "), first),
+        F.concat(F.lit("<# "), last, F.lit(" "), shape),
+        F.concat(F.lit("#> "), shape, F.lit(" "), first),
+    ]
+    return F.filter(F.array(*made), lambda p: p.isNotNull())
 
 
-def discoveries(scanned: DataFrame) -> DataFrame:
-    """Stored output of ``scan`` -> (value) of candidates that the graph of patterns and values makes identifiers.
+def edges_of(scanned: DataFrame) -> DataFrame:
+    """Stored output of ``scan`` -> (pattern, value, prior): once each, however often they meet. A seed's prior is 1."""
+    one = scanned.select(F.explode(F.concat("base", "others")).alias("m"))
+    checked = F.when(_valid(KINDS.index("card"), F.col("m.value")) & F.rlike("m.value", F.lit("^[0-9]+$")), CHECKED).otherwise(0.0)
+    prior = F.when(F.col("m.kind") < len(KINDS) - 1, 1.0).otherwise(checked)
+    return one.select("m.value", prior.alias("prior"), F.explode_outer(_patterns(F.col("m"))).alias("pattern")).groupBy("pattern", "value").agg(F.max("prior").alias("prior"))
+
 
-    Edges are counted before they are joined, so that a pattern around many mentions of one value is one edge.
+def believed(edges: DataFrame) -> DataFrame:
+    """Stored (pattern, value, prior) -> (value, belief) of all values with a belief above zero.
+
+    Patterns with fewer than ``SUPPORT`` values can never count and are left out. Edges of a pattern with very many values
+    carry one of ``SALTS`` keys, by value, so that none of them is one task's work. Beliefs only grow, so they settle.
     """
-    one = F.explode(F.concat("base", "others")).alias("m")
-    edges = scanned.select(one).select("m.value", (F.col("m.kind") < len(KINDS) - 1).alias("seed"), F.explode(_patterns(F.col("m.left"), F.col("m.right"))).alias("pattern"))
-    edges = checkpointed(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    # Seeds enter the scores as sums; only candidates take part in the rounds.
-    known = edges.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds"))
-    free = checkpointed(edges.where(~F.col("seed")).join(known.where(F.col("seeds") >= SUPPORT), "pattern").select("pattern", "value", "seeds"))
-    belief = free.select("value").distinct().withColumn("belief", F.lit(0.0))
-    for _ in range(ROUNDS):
-        scores = free.join(belief, "value").groupBy("pattern").agg(((F.first("seeds") + F.sum("belief")) / (F.first("seeds") + F.count("*"))).alias("score"))
-        doubt = F.sum(F.when(F.col("score") >= LEAST_SCORE, F.ln(F.greatest(F.lit(1e-6), 1 - F.col("score")))).otherwise(0.0))
-        belief = checkpointed(free.join(scores, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("belief")))
-    return belief.where(F.col("belief") >= LEAST_BELIEF).select("value")
+    prior = edges.groupBy("value").agg(F.max("prior").alias("belief")).where("belief > 0")
+    counts = edges.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    counts = checkpointed(counts)
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    counts = counts.withColumn("salts", F.when(F.col("n") > max(HOT, n // BROADCAST_ROWS), SALTS).otherwise(1))
+    hot = counts.where("salts > 1").select("pattern", "salts")
+    salted = edges.join(F.broadcast(hot), "pattern", "left").withColumn("salt", F.pmod(F.hash("value"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    every = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    graph = stored(salted.join(every, ["pattern", "salt"]).select("pattern", "salt", "value", "n"))
+    belief, before = checkpointed(prior), -1.0
+    while (total := belief.agg(F.sum("belief")).first()[0] or 0.0) > before * (1 + SETTLED):
+        before = total
+        partly = graph.join(belief, "value").groupBy("pattern", "salt", "n").agg(F.sum("belief").alias("b"), F.count_if(F.col("belief") >= LEAST_BELIEF).alias("good"))
+        scores = partly.groupBy("pattern", "n").agg((F.sum("b") / (F.col("n") + SMOOTH)).alias("score"), F.sum("good").alias("good"))
+        scores = scores.where((F.col("score") >= LEAST_SCORE) & (F.col("good") >= SUPPORT)).join(counts.select("pattern", "salts"), "pattern")
+        scores = scores.select("pattern", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        doubt = graph.join(scores, ["pattern", "salt"]).groupBy("value").agg(F.sum(F.ln(F.greatest(F.lit(1e-6), 1 - F.col("score")))).alias("doubt"))
+        known = prior.withColumnRenamed("belief", "prior").join(doubt, "value", "full")
+        belief = checkpointed(known.select("value", (1 - (1 - F.coalesce("prior", F.lit(0.0))) * F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("belief")))
+    return belief
+
+
+def discoveries(scanned: DataFrame) -> DataFrame:
+    """Stored output of ``scan`` -> (value) of seeds, and of candidates that the graph of patterns and values makes identifiers."""
+    return believed(stored(edges_of(scanned))).where(F.col("belief") >= LEAST_BELIEF).select("value")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """docs with ``text`` -> its other columns with ``base`` and ``found``, mentions in order of kind, then place.
 
-    Null text counts as empty. A place is a code point, ends are exclusive. Rows are told apart by a number that is
-    stored with them, so that repeated rows stay.
+    Null text counts as empty; an empty table stays empty. A place is a code point, ends are exclusive. Rows are told apart
+    by a number that is stored with them, so that repeated rows stay. Columns of ``docs`` named base, others, found, _row or
+    _more are replaced.
     """
-    rows = stored(scan(docs.drop("found", "_row").withColumn("_row", F.monotonically_increasing_id())))
-    mention = rows.where(F.size("others") > 0).select("_row", F.explode("others").alias("m"))
-    hits = mention.join(discoveries(rows), mention["m.value"] == F.col("value")).groupBy("_row").agg(F.collect_list("m").alias("more"))
-    return rows.join(hits, "_row", "left").withColumn("found", F.concat("base", F.coalesce(F.array_sort("more"), F.array().cast(MENTION)))).drop("_row", "more", "others")
+    rows = stored(scan(docs.drop("found", "_row", "_more").withColumn("_row", F.monotonically_increasing_id())))
+    values = checkpointed(discoveries(rows).withColumnRenamed("value", "_value"))
+    values = F.broadcast(values) if values.count() <= BROADCAST_ROWS else values
+    mention = rows.select("_row", F.explode("others").alias("_m"))
+    hits = mention.join(values, F.col("_m.value") == F.col("_value")).groupBy("_row").agg(F.collect_list("_m").alias("_more"))
+    return rows.join(hits, "_row", "left").withColumn("found", F.concat("base", F.coalesce(F.array_sort("_more"), F.array().cast(MENTION)))).drop("_row", "_more", "others")
 
 
 def joined(found: Column) -> Column:

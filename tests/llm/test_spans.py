@@ -1,5 +1,6 @@
 """Secrets, personal data and URLs: fixed patterns against plain regular expressions, planted cases, nulls and ties."""
 
+import math
 import random
 import re
 
@@ -50,6 +51,54 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == "context:18:28" and got[101] == "" and got[102] == "" and all(got[i].startswith("card:") and "context" not in got[i] for i in range(40))
 
 
+def plain_beliefs(edges: list[tuple[str, str, float]]) -> dict[str, float]:
+    """The graph's beliefs, by loops."""
+    values, prior = {}, {}
+    for p, v, b in edges:
+        values.setdefault(p, set()).add(v)
+        prior[v] = max(prior.get(v, 0.0), b)
+    belief = dict(prior)
+    while True:
+        score = {p: sum(belief[v] for v in vs) / (len(vs) + pii.SMOOTH) for p, vs in values.items() if len(vs) >= 3 and sum(belief[v] >= 0.9 for v in vs) >= 3}
+        new = {v: 1 - (1 - prior[v]) * math.prod(1 - score[p] for p, vs in values.items() if v in vs and score.get(p, 0) >= 0.8) for v in prior}
+        if sum(new.values()) <= sum(belief.values()) * (1 + pii.SETTLED):
+            return new
+        belief = new
+
+
+def test_beliefs(spark, monkeypatch):
+    """Scores of a graph against loops; with few and many salts."""
+    rng = random.Random(8)
+    edges = {(f"p{rng.randint(0, 40) ** 2 // 40}", f"v{rng.randint(0, 300)}"): None for _ in range(900)}
+    edges = [(p, v, 1.0 if hash_ < 200 else 0.9 if hash_ < 210 else 0.0) for p, v in edges for hash_ in [int(v[1:])]]
+    want = {v: b for v, b in plain_beliefs(edges).items() if b > 0}
+    for hot in (10_000, 20):
+        monkeypatch.setattr(pii, "HOT", hot)
+        got = {r.value: r.belief for r in pii.believed(spark.createDataFrame(edges, "pattern string, value string, prior double")).collect() if r.belief > 0}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-3 for v in want) and 0 < sum(b >= 0.9 for v, b in want.items() if int(v[1:]) >= 210)
+
+
+def test_second_hop_and_letters(spark):
+    """Codes with letters beside cards' words; codes whose own words only discovered codes share; a number between two cards."""
+    rng = random.Random(3)
+    code = lambda: "".join(rng.choices("ABCDEFGH", k=2)) + "".join(rng.choices("0123456789", k=7))
+    mails = [f"user{i}@mail.example" for i in range(90)]
+    codes = [code() for _ in range(30)]
+    rows = [(i, f"the account holder {m} has signed w{i}") for i, m in enumerate(mails)]
+    rows += [(100 + i, f"the account holder {c} has signed x{i}") for i, c in enumerate(codes[:15])]
+    # "passport series" is only seen with codes that were discovered, and with one more.
+    rows += [(200 + i, f"u{i} passport series {c} was shown") for i, c in enumerate(codes[:15])] + [(300, f"z passport series {codes[19]} was shown")]
+    rows += [(400, f"in all {codes[20]} cases"), (401, "see AB1234567 there"), (402, "cards 4111111111111111 5500005555555559 end")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, more string, _row int")
+    found = pii.find_personal_data(docs)
+    got = {r.doc_id: r.j for r in found.select("doc_id", pii.joined(F.col("found")).alias("j")).collect()}
+    assert all(got[100 + i] == "context:19:28" for i in range(15)) and all(got[200 + i].startswith("context:") for i in range(15))
+    assert got[300] == "context:18:27" and got[400] == got[401] == "" and got[402] == "context:6:22,context:23:39"
+    assert found.columns == ["doc_id", "more", "base", "found"] and pii.find_personal_data(docs.limit(0)).count() == 0
+    twice = pii.find_personal_data(docs.union(docs)).count()
+    assert twice == 2 * len(rows)
+
+
 def test_secrets(spark):
     """Fixed patterns, random tokens among prose, and prose that is left alone."""
     rng = random.Random(2)
