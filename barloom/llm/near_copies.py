@@ -1,7 +1,8 @@
 """Near copies for the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-op5's SimHash doesn't fit here: at a similarity of 0.8 about 10 of 64 bits differ, and no block of its index would be
-shared. So candidates share one of ``BANDS`` keys, each of ``ROWS`` minimum hashes. Every text of a group of candidates is
+Candidates come from SimHash: fingerprints of these shingles, linked by the index in Gray order. It finds the closest
+copies only: at a similarity of 0.8 about 10 of 64 bits differ, and no block of the index would be shared. So texts are
+also candidates that share one of ``BANDS`` keys, each of ``ROWS`` minimum hashes. Every text of a group of candidates is
 then compared with the others by its whole set of shingles, unless they are linked already. Equal sets are one node.
 A group's links leave its task as a tree of each local component: never as all its pairs.
 """
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm import simhash
 from barloom.llm.components import components
-from barloom.llm.shared import checkpointed, stored
+from barloom.llm.shared import checkpointed, row_hash, stored
 
 #: Words of a shingle, and the least similarity, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -77,22 +79,23 @@ def tree(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with ``text`` -> its other columns, ``node`` (a hash of its shingles) and ``keys``."""
+    """docs with ``text`` -> its other columns, ``node`` (a hash of its shingles), ``keys`` and ``fp``, its SimHash."""
     from xxhash import xxh64_intdigest
 
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, key = [], []
+            node, key, fp = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")):
                 found = shingles(text.as_py())
                 node.append(xxh64_intdigest(found.tobytes()))
                 key.append(keys(found))
-            more = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(key, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "node", "keys"])
+                fp.append(simhash.majorities(found, np.array([len(found)]))[0])
+            more = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(key, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "node", "keys", "fp"])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add("node", "long").add("keys", T.ArrayType(T.LongType())))
+    return docs.mapInArrow(run, docs.select(*names).schema.add("node", "long").add("keys", T.ArrayType(T.LongType())).add("fp", "long"))
 
 
 def links(members: DataFrame) -> DataFrame:
@@ -123,13 +126,16 @@ def links(members: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies stays, the one with its smallest doc_id, with all its columns.
 
-    Of rows that repeat its doc_id and text one stays; rows are told apart by doc_id and a hash of their text. Bands whose
-    groups have the same members are compared once. Texts are shuffled for groups of two nodes or more only.
+    Rows are told apart by doc_id and a hash of all their columns, so that of rows which repeat a doc_id the same one stays in
+    every run, and of equal rows one. Columns of ``docs`` may have any names. Bands whose groups have the same members are
+    compared once. Texts are shuffled for groups of two nodes or more only.
     """
-    id_, hash_ = F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("_hash")
+    id_, hash_ = F.coalesce("doc_id", F.lit(0)).alias("_id"), row_hash(docs).alias("_hash")
     rows = stored(with_keys(docs.select(F.col("doc_id").isNull().alias("_null"), id_, hash_, "text")))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("_null", "_id", "_hash")).alias("first"), F.first("keys").alias("keys")))
-    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("_null", "_id", "_hash")).alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
+    close = components(simhash.links(nodes.select("fp").distinct()).select(F.col("fp").alias("a"), F.col("other").alias("b")))
+    close = nodes.where(F.size("keys") > 0).select("node", "fp").join(close.withColumnRenamed("node", "linked"), F.col("fp") == F.col("linked"), "left")
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key")).union(close.select("node", F.lit(BANDS), F.coalesce("root", "fp")))
     mark = partial(F.xxhash64, "node")
     groups = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(mark()).alias("x"), F.bit_xor(mark(F.lit(1))).alias("y")).where("n > 1")
     chosen = groups.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("g")).select("g.band", "g.key")
@@ -138,5 +144,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     texts = docs.select(id_, hash_, "text").join(needed, ["_id", "_hash"]).select("node", "text").dropDuplicates(["node"])
     roots = components(stored(links(grouped.join(texts, "node"))))
     labelled = checkpointed(nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root")))
-    keep = labelled.groupBy("root").agg(F.min("first").alias("k")).select("k._id", "k._hash")
-    return docs.select("*", id_, hash_).join(keep.distinct(), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    keep = labelled.groupBy("root").agg(F.min("first").alias("k")).select("k._id", "k._hash").distinct()
+    return simhash.kept_rows(docs, keep)

@@ -23,10 +23,12 @@ from barloom.llm.shared import stored
 K = 8
 #: Numbered k-mers of a tuple.
 TUPLE = 2
-#: Hash functions; each makes 16 bits of the signature.
+#: Hash functions; each makes 16 bits of the signature, the last always set.
 HASHES = 64
 #: Rows of a range of doc_id to aim for, when each document meets the next.
 RANGE_ROWS = 5_000
+#: Heads of ranges, of 24 bytes, that are broadcast; more are joined by a shuffle.
+BROADCAST_HEADS = 100_000
 #: Quantiles of doc_id at most; each range between two is divided evenly.
 QUANTILES = 256
 MULTIPLIERS = np.random.default_rng(20190705).integers(1, 2**63, (HASHES, 2), np.int64).astype(np.uint64) | np.uint64(1)
@@ -74,7 +76,7 @@ def numbered_kmers(codes: np.ndarray) -> np.ndarray:
 
 
 def signature(codes: np.ndarray) -> np.ndarray:
-    """``HASHES`` values of 16 bits, none of them zero; an empty text has zeros."""
+    """``HASHES`` odd values of 16 bits, so none is zero; an empty text has zeros."""
     h = numbered_kmers(codes)
     n = len(h)
     if not n:
@@ -129,7 +131,7 @@ def with_signatures(docs: DataFrame, columns: dict[str, str], keep_texts: bool =
 
 def _ranges(docs: DataFrame) -> Column:
     """The range that a row's doc_id falls into: a struct in order of doc_id. Null comes first."""
-    n, lo, hi = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    n, lo, hi, nulls = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     many = max(1, n // RANGE_ROWS)
     parts = min(QUANTILES, many)
     cuts = sorted({*docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * QUANTILES)).first()[0]}) if parts > 1 and lo is not None else []
@@ -139,7 +141,10 @@ def _ranges(docs: DataFrame) -> Column:
     start, end = F.element_at(limits, part + 1), F.element_at(limits, part + 2)
     within = -(-many // parts)
     even = F.least(F.lit(within - 1), F.floor((doc - start).cast("double") / F.greatest(end - start, F.lit(1)) * within).cast("int"))
-    return F.struct(F.coalesce(part, F.lit(0)).alias("part"), F.coalesce(even, F.lit(-1)).alias("even"))
+    # Rows without doc_id follow each other by their tie, a hash, so its high bits divide them.
+    bits = (max(1, nulls // RANGE_ROWS) - 1).bit_length()
+    tied = F.when(doc.isNull(), F.shiftright("tie", 64 - bits) if bits else F.lit(0).cast("long")).otherwise(0)
+    return F.struct(F.when(doc.isNull(), -1).otherwise(part).alias("part"), F.coalesce(even, F.lit(-1)).alias("even"), tied.alias("tied"))
 
 
 def with_next(docs: DataFrame, column: str, name: str) -> DataFrame:
@@ -150,11 +155,14 @@ def with_next(docs: DataFrame, column: str, name: str) -> DataFrame:
     """
     ranged = docs.withColumns({"_range": _ranges(docs), "_extra": F.lit(False)})
     heads = ranged.groupBy("_range").agg(F.min(F.struct("doc_id", "tie")).alias("h"))
-    w = W.orderBy("_range")
-    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = heads.select(F.coalesce(F.lag("_range").over(w), F.last("_range").over(every)).alias("_to"), "h.doc_id", "h.tie").alias("h")
-    # One short row a range: the broadcast has n / RANGE_ROWS rows of 24 bytes.
-    met = ranged.alias("d").join(F.broadcast(heads), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.tie") == F.col("h.tie")))
+    # Ranges follow each other within a part; one row a part, of at most QUANTILES + 1, tells the last range of the part before.
+    w = W.orderBy("part")
+    ends = heads.groupBy("_range.part").agg(F.max("_range").alias("end"))
+    ends = ends.select("part", F.coalesce(F.lag("end").over(w), F.last("end").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("end"))
+    heads = heads.withColumn("before", F.lag("_range").over(W.partitionBy("_range.part").orderBy("_range"))).join(F.broadcast(ends), F.col("_range.part") == F.col("part"))
+    heads = stored(heads.select(F.coalesce("before", "end").alias("_to"), "h.doc_id", "h.tie")).alias("h")
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads
+    met = ranged.alias("d").join(heads, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.tie") == F.col("h.tie")))
     extra = met.select(*[F.col(f"d.{c}") for c in docs.columns], F.col("h._to").alias("_range"), F.lit(True).alias("_extra"))
     order = W.partitionBy("_range").orderBy("_extra", "doc_id", "tie")
     return ranged.select(*docs.columns, "_range", "_extra").union(extra).withColumn(name, F.lead(column).over(order)).where(~F.col("_extra")).drop("_range", "_extra")

@@ -32,6 +32,8 @@ MEASURES = ("symbols", "echoes", "capitals", "line_copies", "word_length")
 ADDED = {"symbols": 1000, "echoes": 100, "capitals": 1000, "line_copies": 2}
 #: Quantiles of a sketch that make a limit, and how many times their distance is added to the first.
 MIDDLE, UPPER, SPREADS = 0.5, 0.85, 6
+#: That distance is at least this share of the middle: documents of a very even group may differ somewhat.
+LEAST_SPREAD = 0.05
 #: Ratio of the limits of a sketch's neighbouring buckets.
 GAMMA = 1.02
 #: Rows that the parent's quantiles count as when a group's are drawn towards them.
@@ -122,7 +124,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         return (rows * value + PRIOR * parent) / (rows + PRIOR)
 
     middle, upper = (drawn(F.col("o.rows"), F.col(f"o.{q}"), drawn(F.col("l.rows"), F.col(f"l.{q}"), F.col(f"w.{q}"))) for q in ("middle", "upper"))
-    rows = both.select("o.lang", "o.source", F.struct(F.col("o.measure").alias("k"), (middle + SPREADS * (upper - middle)).alias("v")).alias("e"))
+    rows = both.select("o.lang", "o.source", F.struct(F.col("o.measure").alias("k"), (middle + SPREADS * F.greatest(upper - middle, middle * LEAST_SPREAD)).alias("v")).alias("e"))
     return rows.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list("e")).alias("limits"))
 
 
@@ -188,9 +190,9 @@ qa AS (SELECT measure, min(v) FILTER (ka >= rows_a * 0.5) AS mid, min(v) FILTER
 z AS (SELECT q.lang, q.source, q.measure, (q.n * q.mid + 50 * ((ql.n * ql.mid + 50 * qa.mid) / (ql.n + 50))) / (q.n + 50) AS mid,
              (q.n * q.up + 50 * ((ql.n * ql.up + 50 * qa.up) / (ql.n + 50))) / (q.n + 50) AS up
       FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang AND q.measure = ql.measure JOIN qa ON q.measure = qa.measure),
-y AS (SELECT lang, source, max(mid + 6 * (up - mid)) FILTER (measure = 'symbols') AS a, max(mid + 6 * (up - mid)) FILTER (measure = 'echoes') AS b,
-             max(mid + 6 * (up - mid)) FILTER (measure = 'capitals') AS c, max(mid + 6 * (up - mid)) FILTER (measure = 'line_copies') AS d,
-             max(mid + 6 * (up - mid)) FILTER (measure = 'word_length') AS e FROM z GROUP BY ALL),
+y AS (SELECT lang, source, max(mid + 6 * greatest(up - mid, mid * 0.05::DOUBLE)) FILTER (measure = 'symbols') AS a, max(mid + 6 * greatest(up - mid, mid * 0.05::DOUBLE)) FILTER (measure = 'echoes') AS b,
+             max(mid + 6 * greatest(up - mid, mid * 0.05::DOUBLE)) FILTER (measure = 'capitals') AS c, max(mid + 6 * greatest(up - mid, mid * 0.05::DOUBLE)) FILTER (measure = 'line_copies') AS d,
+             max(mid + 6 * greatest(up - mid, mid * 0.05::DOUBLE)) FILTER (measure = 'word_length') AS e FROM z GROUP BY ALL),
 j AS (SELECT t.*, coalesce(symbols_m > a OR echoes_m > b OR capitals_m > c OR line_copies_m > d OR word_length_m > e, false) AS over
       FROM t LEFT JOIN y ON t.lang IS NOT DISTINCT FROM y.lang AND t.source IS NOT DISTINCT FROM y.source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,

@@ -31,7 +31,7 @@ from barloom.llm.shared import stored
 
 #: Fixed patterns: kind, expression, the group that has a least length, and that length.
 BASE = (
-    ("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6),
+    ("assign", re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}"), 0, 24),
 )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.shared import checkpointed, stored
+from barloom.llm.shared import checkpointed, fresh, row_hash, stored
 
 #: Fingerprints with up to so many differing bits are linked. Blocks are made for this value.
 RADIUS = 2
@@ -55,12 +55,12 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         hashes.extend([xxh64_intdigest(s, SEED) for s in shingles])
         counts.append(len(hashes) - before)
         if len(hashes) >= HASHED or k == len(texts) - 1:
-            out[first : k + 1] = _majorities(np.array(hashes, np.uint64), np.array(counts))
+            out[first : k + 1] = majorities(np.array(hashes, np.uint64), np.array(counts))
             hashes, counts, first = [], [], k + 1
     return out
 
 
-def _majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Hashes of several texts side by side -> fingerprints. Bits are counted 8 at once, in the bytes of a word, over runs of at most 255."""
     full = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.uint64)
@@ -267,11 +267,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with its smallest doc_id, with all its columns.
 
-    Of rows that repeat its doc_id and text one stays. Texts are read twice and shuffled once, to meet the ids of those
-    that stay; rows are told apart by doc_id and a hash of their text.
+    Texts are read twice and shuffled once, to meet the ids of those that stay. Rows are told apart by doc_id and a hash of
+    all their columns, so that of rows which repeat a doc_id the same one stays in every run, and of equal rows one. Columns
+    of ``docs`` may have any names.
     """
-    id_, hash_ = F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("_hash")
+    id_, hash_ = F.coalesce("doc_id", F.lit(0)).alias("_id"), row_hash(docs).alias("_hash")
     rows = stored(with_fingerprints(docs.select("doc_id", "text", id_, hash_), keep_text=False))
     ids = rows.join(near_duplicates(rows), "fp")
     keep = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "_id", "_hash")).alias("k")).select("k._id", "k._hash")
-    return docs.select("*", id_, hash_).join(keep.distinct(), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return kept_rows(docs, keep.distinct())
+
+
+def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id (0 for null) and ``row_hash`` are in ``keep``, once each."""
+    i, h = fresh(docs, "_id", "_hash")
+    marked = docs.select("*", F.coalesce("doc_id", F.lit(0)).alias(i), row_hash(docs).alias(h))
+    return marked.join(keep.toDF(i, h), [i, h], "left_semi").dropDuplicates([i, h]).select(*docs.columns)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.shared import checkpointed, fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of the digest that the join uses.
 PREFIX_DIGITS = 8
@@ -18,9 +20,11 @@ PREFIX_DIGITS = 8
 BROADCAST_RULES = 100_000
 #: Salts of that shuffle, which spread the URLs of one hot expression.
 SALTS = 32
+#: Pages of one URL from which it is hot.
+HOT_URL = 10_000
 #: The rules that a query must follow.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Words in a host's labels by which the method blocks a URL that no rule fits.
+#: Words in a host's labels by which the method blocks a URL that no rule fits.
 HOST_WORDS = ("adult", "casino", "malware", "phish", "porn", "spam", "warez", "xxx")
 
 
@@ -54,7 +58,7 @@ def expressions(host: Column, path: Column, most_labels: int, most_slashes: int)
 
 
 def best_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path) of URLs -> the longest rule that fits each, for those that have one: host, path, rule, verdict.
+    """(host, path) of URLs -> the longest rule that fits each, for those that have one: host, path, rule, verdict, n (URLs).
 
     Of rules of one length the lesser in text order wins, and of two verdicts for one rule ``allow``.
     """
@@ -65,9 +69,9 @@ def best_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.size(F.split("host", r"\.", -1)).alias("labels"), (F.size(F.split("path", "/", -1)) - 1).alias("slashes"),
     )
     n, labels, slashes = known.agg(F.count("*"), F.max("labels"), F.max("slashes")).first()
-    distinct = urls.where(F.col("host") != "").select("host", "path").distinct()
-    probes = distinct.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), labels or 0, slashes or 0)).alias("expression"))
-    probes = probes.select("host", "path", digest(F.col("expression")).alias("digest")).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+    distinct = urls.where(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("n"))
+    probes = distinct.select("host", "path", "n", F.explode(expressions(F.col("host"), F.col("path"), labels or 0, slashes or 0)).alias("expression"))
+    probes = probes.select("host", "path", F.col("n").alias("pages"), digest(F.col("expression")).alias("digest")).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     known = known.drop("labels", "slashes").withColumn("short", F.substring("rule_digest", 1, PREFIX_DIGITS))
     if n <= BROADCAST_RULES:
         met = probes.join(F.broadcast(known), "short")
@@ -76,7 +80,7 @@ def best_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
         met = probes.withColumn("salt", F.pmod(F.hash("host", "path"), F.lit(SALTS))).join(salted, ["short", "salt"])
     met = met.where((F.col("digest") == F.col("rule_digest")) & F.startswith(F.col("path"), F.col("rule_path")))
     first = F.min(F.struct((-F.length("rule")).alias("length"), "rule", "verdict"))
-    return met.groupBy("host", "path").agg(first.alias("best")).select("host", "path", "best.rule", "best.verdict")
+    return met.groupBy("host", "path").agg(first.alias("best"), F.first("pages").alias("n")).select("host", "path", "best.rule", "best.verdict", "n")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, words: tuple[str, ...] = HOST_WORDS) -> DataFrame:
@@ -87,9 +91,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, words: tuple[str, ...] = HOST
     host, path, rule or verdict are replaced.
     """
     host, path = parse(F.col("url"))
-    parsed = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
+    parsed = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     best = best_rules(parsed, rules)
-    found = parsed.join(best, ["host", "path"], "left")
+    # URLs without a host have no rule, and those of many pages meet theirs over several keys.
+    (salt,) = fresh(parsed, "_salt")
+    best = best.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HOT_URL, SALTS - 1).otherwise(0)))).drop("n")
+    hot = parsed.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")).where(F.col("n") > HOT_URL).select("host", "path", F.lit(True).alias("n"))
+    hot = checkpointed(hot)
+    (mark,) = fresh(parsed, "n")
+    hot = hot.withColumnRenamed("n", mark)
+    spread = parsed.join(F.broadcast(hot) if hot.count() <= BROADCAST_RULES else hot, ["host", "path"], "left")
+    many = F.coalesce(F.col(mark), F.lit(False)) | (F.col("host") == "")
+    spread = spread.withColumn(salt, F.when(many, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)).drop(mark)
+    found = spread.join(best, ["host", "path", salt], "left").drop(salt)
     bad = F.arrays_overlap(F.split("host", r"[.-]", -1), F.array(*[F.lit(w) for w in words]))
     return found.withColumn("verdict", F.coalesce("verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))))
 

@@ -107,7 +107,7 @@ def test_signatures():
 def test_next_documents(spark, monkeypatch):
     """Small ranges: each document meets the next by id, ties and nulls included, the last meets the first."""
     monkeypatch.setattr(order_minhash, "RANGE_ROWS", 3)
-    rows = [(i * i, f"text number {i} " * (i % 4)) for i in range(25)] + [(None, "no id"), (16, "a second sixteen"), (16, "a second sixteen"), (7, None)]
+    rows = [(i * i, f"text number {i} " * (i % 4)) for i in range(25)] + [(None, "no id" * i) for i in range(12)] + [ (16, "a second sixteen"), (16, "a second sixteen"), (7, None)]
     got = order_minhash.fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     tie = {t: h for t, h in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
     order = sorted(((i is not None, i or 0, tie[t or ""], t or "") for i, t in rows))
