@@ -5,14 +5,12 @@ Each stage takes the documents that its predecessor kept, whole, and all but the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import mixing, near_copies, pieces, quality, secret_scan
 from barloom.llm.queries import piece_model
-from barloom.llm.shared import shared_folder, word_count
+from barloom.llm.shared import discard, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more. op5's contract binds its query alone."""
+    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more, compared whole. SimHash gives the closest candidates."""
     return near_copies.drop_near_copies(docs)
 
 
@@ -54,13 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
-    return docs
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again.
+
+    A stage's files go once the next one's are written, the last ones when the driver ends.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
