@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip
 
-#: Words that count for and against.
-POSITIVE = ("growth", "profit", "increase", "gain", "strong", "record", "beat", "exceed", "improve")
-NEGATIVE = ("loss", "decline", "decrease", "weak", "miss", "risk", "lawsuit", "drop", "impair")
+#: Words that count for and against in filings.
+POSITIVE = ("growth", "increase", "profit", "revenue", "strong", "positive", "successful", "improvement", "gain", "benefit", "opportunity", "optimistic", "expansion", "exceeded", "outperform", "robust")
+NEGATIVE = ("loss", "decline", "decrease", "risk", "challenge", "uncertainty", "negative", "concern", "problem", "difficult", "weak", "poor", "disappointing", "below", "underperform", "volatility")
+#: Words that count for and against in posts.
+BULLISH = ("buy", "moon", "rocket", "bull", "calls", "up", "green", "gains", "hodl")
+BEARISH = ("sell", "crash", "bear", "puts", "down", "red", "loss", "dump", "short")
 
 
 def hits(text: Column, words: tuple[str, ...]) -> Column:
@@ -28,6 +31,12 @@ def label(score: Column, band: float = 0.05) -> Column:
     return F.when(score > band, "positive").when(score < -band, "negative").otherwise("neutral")
 
 
+def post_label(content: Column) -> Column:
+    """bullish or bearish by which words occur more, else neutral."""
+    up, down = hits(content, BULLISH), hits(content, BEARISH)
+    return F.when(up > down, "bullish").when(down > up, "bearish").otherwise("neutral")
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: without scripts, styles, navigation, head and foot, tags to spaces, common entities decoded, white space closed up."""
     x = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|head)\b.*?</\1\s*>", " ")

@@ -94,12 +94,12 @@ def run_length(df: DataFrame, x: Column, name: str, over: WindowSpec | None = No
     return df.withColumn(name, F.sum("_s").over(inside)).drop("_s", "_new", "_run")
 
 
-def exponential_mean(df: DataFrame, key: str, order: str, columns: dict[str, tuple[str, int, int]], adjust: bool = False, seeded: bool = False) -> DataFrame:
+def exponential_mean(df: DataFrame, key: str, order: str, columns: dict[str, tuple], adjust: bool = False, seeded: bool = False) -> DataFrame:
     """df with exponential means by span, one pass over each key: name -> (column, span, least values).
 
-    ``adjust`` divides by the sum of the weights; otherwise the first value starts the recursion, or with ``seeded``
-    the plain mean of the first ``span`` values, before which there is no result. NULLs before the first value don't
-    start it; after later ones the last mean counts for less.
+    A column may also be a pair of earlier names whose difference is taken. ``adjust`` divides by the sum of the weights;
+    otherwise the first value starts the recursion, or with ``seeded`` the plain mean of the first ``span`` values, before
+    which there is no result. NULLs before the first value don't start it; after later ones the last mean counts for less.
     """
     from pyspark.sql import types as T
 
@@ -108,30 +108,13 @@ def exponential_mean(df: DataFrame, key: str, order: str, columns: dict[str, tup
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")
         for name, (source, span, least) in columns.items():
-            pdf[name] = _recursion(pdf[source].astype(float).to_numpy(), span, least, adjust, seeded)
+            x = (pdf[source[0]] - pdf[source[1]] if isinstance(source, tuple) else pdf[source]).astype(float)
+            if seeded:
+                seen = x.notna().cumsum()
+                head = x.where(seen <= span).mean() if seen.max() >= span else None
+                x = x.where(seen > span).mask((seen == span) & x.notna(), head)
+                least = 1
+            pdf[name] = x.ewm(span=span, min_periods=least, adjust=adjust).mean()
         return pdf
 
     return df.groupBy(key).applyInPandas(run, schema)
-
-
-def _recursion(values, span: int, least: int, adjust: bool, seeded: bool):
-    """Missing values let the weight of the past fade, as they do in a series with gaps."""
-    import numpy as np
-
-    alpha, out, seen, mean, past, head = 2 / (span + 1), np.full(len(values), np.nan), 0, np.nan, 1.0, []
-    for i, v in enumerate(values):
-        past *= (1 - alpha) if seen else 1.0
-        if not np.isnan(v):
-            seen += 1
-            if seeded and seen <= span:
-                head.append(v)
-                mean, past = (float(np.mean(head)) if seen == span else np.nan), 1.0
-            elif seen == 1:
-                mean, past = v, 1.0
-            else:
-                now = 1.0 if adjust else alpha
-                mean = (past * mean + now * v) / (past + now)
-                past = past + now if adjust else 1.0
-        if seen >= least:
-            out[i] = mean
-    return [None if np.isnan(x) else float(x) for x in out]

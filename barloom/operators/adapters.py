@@ -7,6 +7,7 @@ Fundamentals take what was known on the day; ``point_in_time=False`` spreads the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, fill, flag, ratio
@@ -116,12 +117,17 @@ def macro_features(prices: DataFrame, long_rate: DataFrame, short_rate: DataFram
 
 def event_distances(calendar: DataFrame, days: DataFrame) -> DataFrame:
     """(date, importance) of events and the days to describe -> whether one is today, days to the next and since the last, number and weight within a week."""
-    near = days.select("day").join(calendar, F.col("date").between(F.date_sub("day", 90), F.date_add("day", 90)), "left")
-    d = F.datediff("date", "day")
     weight = F.when(F.col("importance") == "high", 3).when(F.col("importance") == "medium", 2).otherwise(1)
-    return near.groupBy("day").agg(
-        F.max(flag(d == 0)).alias("has_today"), fill(F.min(F.when(d >= 0, d)), 30).alias("days_to_next"), fill(F.min(F.when(d <= 0, -d)), 30).alias("days_since_last"),
-        F.sum(flag(d.between(0, 6))).alias("week_density"), F.sum(F.when(d.between(0, 6), weight).otherwise(0)).alias("week_importance"),
+    # Each event goes to the days of the week before it; the nearest days come from windows over all days, one row each.
+    ahead = calendar.select(F.explode(F.sequence(F.date_sub("date", 6), F.col("date"))).alias("day"), weight.alias("_w"))
+    week = ahead.groupBy("day").agg(F.count("*").alias("_n"), F.sum("_w").alias("_w"))
+    dated = days.select("day", F.lit(True).alias("_asked"), F.lit(None).cast("date").alias("_e")).union(calendar.select("date", F.lit(False), "date")).groupBy("day").agg(F.max("_asked").alias("_asked"), F.max("_e").alias("_e"))
+    w = W.orderBy("day")
+    dated = dated.withColumns({"_last": F.last("_e", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_next": F.first("_e", True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    near = lambda d: fill(F.when(d <= 90, d), 30)
+    return dated.where("_asked").join(week, "day", "left").select(
+        "day", flag(F.col("_e").isNotNull()).alias("has_today"), near(F.datediff("_next", "day")).alias("days_to_next"), near(F.datediff("day", "_last")).alias("days_since_last"),
+        fill("_n", 0).alias("week_density"), fill("_w", 0).alias("week_importance"),
     )
 
 

@@ -6,13 +6,17 @@ Sources come in long form, a row each (ticker, date, source, score, volume, conf
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, fill, ratio
 
 #: Weights of sources in the blended score, and in the blended confidence.
 SCORE_WEIGHTS = {"rss_news": 0.22, "marketaux": 0.18, "reddit": 0.12, "finnhub": 0.10, "finnhub_insider": 0.10, "sec": 0.10, "fmp": 0.10, "finviz": 0.08}
+CONFIDENCE_WEIGHTS = {"rss_news": 0.22, "marketaux": 0.15, "reddit": 0.10, "finnhub": 0.10, "sec": 0.10, "fmp": 0.08, "finviz": 0.05}
 UNKNOWN_WEIGHT = 0.03
+#: Sources whose volume counts no articles.
+NOT_ARTICLES = ("finnhub", "short_interest", "economic_event")
 
 
 def weight_of(source: Column, weights: dict[str, float], unknown: float = 0.0) -> Column:
@@ -32,9 +36,12 @@ def blended_score(long: DataFrame, keys: list[str], weights: dict[str, float] =
     return used.groupBy(*keys).agg(fill(ratio(F.sum(F.col("_x") * F.col("_w")), F.sum("_w")), 0.0).alias("blended"))
 
 
-def blended_confidence(long: DataFrame, keys: list[str], weights: dict[str, float] = SCORE_WEIGHTS) -> DataFrame:
+def blended_confidence(long: DataFrame, keys: list[str], weights: dict[str, float] = CONFIDENCE_WEIGHTS) -> DataFrame:
+    """Mean confidence of the sources that have one, by weight, their number, and the volume of all and of articles."""
     w = weight_of(F.col("source"), weights, UNKNOWN_WEIGHT)
-    return long.where(F.col("confidence") > 0).groupBy(*keys).agg(fill(ratio(F.sum(F.col("confidence") * w), F.sum(w)), 0.0).alias("confidence"), F.count("*").alias("sources"), F.sum(fill("volume", 0.0)).alias("volume"))
+    volume = fill("volume", 0.0)
+    articles = F.sum(F.when(F.col("source").isin(*NOT_ARTICLES), 0.0).otherwise(volume))
+    return long.where(F.col("confidence").isNotNull()).groupBy(*keys).agg(fill(ratio(F.sum(F.col("confidence") * w), F.sum(w)), 0.0).alias("confidence"), F.count("*").alias("sources"), F.sum(volume).alias("volume"), articles.alias("articles"))
 
 
 def source_means(items: DataFrame, keys: list[str], full: float = 20) -> DataFrame:
@@ -99,10 +106,11 @@ def decayed_mean(comments: DataFrame, keys: list[str], days: Column) -> DataFram
 
 
 def health(df: DataFrame, score: str, key: str, symbol: str) -> DataFrame:
-    """Missing, zero and other scores of each key, median, the 90 % value by rank, symbols."""
+    """Missing, zero and other scores of each key, median, the 90 % value by rank, symbols. A key is one sort; without values it has no quantiles."""
     x = F.col(score)
-    ordered = F.sort_array(F.collect_list(score))
+    w = W.partitionBy(key)
+    df = df.withColumns({"_place": F.row_number().over(w.orderBy(x.asc_nulls_last())), "_n": F.count(x).over(w)})
     return df.groupBy(key).agg(
         F.count_if(x.isNull()).alias("missing"), F.count_if(x == 0).alias("zero"), F.count_if(x != 0).alias("nonzero"), F.median(score).alias("median"),
-        F.element_at(ordered, (F.floor(F.size(ordered) * 0.9) + 1).cast("int")).alias("p90"), F.count_distinct(symbol).alias("symbols"),
+        F.min(F.when(F.col("_place") == F.floor(F.col("_n") * 0.9) + 1, x)).alias("p90"), F.count_distinct(symbol).alias("symbols"),
     )

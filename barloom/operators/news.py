@@ -9,7 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Categories and their sectors.
-SECTORS = {"technology": "Technology", "tech": "Technology", "finance": "Financial Services", "financial": "Financial Services", "banking": "Financial Services", "healthcare": "Healthcare", "health": "Healthcare", "energy": "Energy", "oil": "Energy", "consumer": "Consumer Cyclical", "retail": "Consumer Cyclical", "industrial": "Industrials", "realestate": "Real Estate", "utilities": "Utilities", "materials": "Basic Materials", "communication": "Communication Services"}
+SECTORS = {
+    "technology": "Technology", "tech": "Technology", "business": "Finance", "finance": "Finance", "healthcare": "Healthcare", "health": "Healthcare",
+    "energy": "Energy", "automotive": "Automotive", "auto": "Automotive", "consumer": "Consumer", "industrials": "Industrials", "materials": "Materials",
+    "realestate": "Real Estate", "utilities": "Utilities", "communication": "Communication", "communications": "Communication",
+}
 
 
 def sector_of(category: Column, table: dict[str, str] = SECTORS) -> Column:

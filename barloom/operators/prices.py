@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, fill, flag, ratio
-from barloom.functions.windows import change, exponential_mean, lag, numbered, percent_rank_shared, rolling, rolling_corr, rolling_quantile, rolling_slope, run_length, series
+from barloom.functions.windows import change, exponential_mean, lag, last_known, numbered, percent_rank_shared, rolling, rolling_corr, rolling_quantile, rolling_slope, run_length, series
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -32,6 +32,30 @@ def volume(df: DataFrame) -> DataFrame:
     return df.withColumns({"volume_ratio": ratio(v, rolling(F.avg, v, 20, 5)), "volume_z60": fill(clip(ratio(v - mean, dev), -5, 5), 0.0)})
 
 
+def volume_volatility(df: DataFrame) -> DataFrame:
+    """Volume ratio over volatility, and -1 times the signs of return and volume's rise: positive when they diverge. Needs ``returns`` and ``volume``."""
+    signs = F.signum("log_return_1d") * F.signum(F.col("volume") - lag("volume"))
+    return df.withColumns({"volume_vol_ratio": fill(F.col("volume_ratio") / (F.col("volatility_20d") + 1e-6), 0.0), "price_vol_divergence": fill(signs * -1, 0.0) + 0.0})
+
+
+def volatility_index(df: DataFrame, index: DataFrame) -> DataFrame:
+    """(date, vix) -> with the index's log return, its volatility and its level, all of the row before; the last two carry on, the level is 20 at first."""
+    w = W.orderBy("date")  # one row a day: the index alone
+    v = index.withColumn("_r", F.ln(ratio("vix", F.lag("vix").over(w)))).withColumn("_s", rolling(F.stddev_samp, "_r", 20, 5, w)).select("date", "_r", "_s", F.col("vix").alias("_l"))
+    df = df.join(v, "date", "left").withColumns({"_r": lag("_r"), "_s": lag("_s"), "_l": lag("_l")})
+    return df.withColumns({"vix_return_1d": fill("_r", 0.0), "vix_vol_20d": fill(last_known("_s"), 0.0), "vix_level": fill(last_known("_l"), 20.0)}).drop("_r", "_s", "_l")
+
+
+def own_sector(df: DataFrame, funds: DataFrame) -> DataFrame:
+    """Output of ``returns`` with ``sector``, and funds (sector, date, close) -> returns of the own sector's fund over 1, 5, 20 and 60 rows, its volatility, and the excess over it; all of the row before."""
+    w = series("sector")
+    log = lambda k: F.ln(ratio("close", F.lag("close", k).over(w)))
+    f = funds.select("sector", "date", *[log(k).alias(f"_r{k}") for k in (1, 5, 20, 60)]).withColumn("_v", rolling(F.stddev_samp, "_r1", 20, 5, w))
+    df = df.join(f, ["sector", "date"], "left").withColumn("_vl", lag("_v"))
+    df = df.withColumns({**{f"sector_etf_return_{k}d": fill(lag(f"_r{k}"), 0.0) for k in (1, 5, 20, 60)}, "sector_etf_vol_20d": fill(last_known("_vl"), 0.0)})
+    return df.withColumns({"excess_vs_sector_5d": fill(lag("log_return_5d"), 0.0) - F.col("sector_etf_return_5d"), "excess_vs_sector_20d": fill(lag("log_return_21d"), 0.0) - F.col("sector_etf_return_20d")}).drop("_r1", "_r5", "_r20", "_r60", "_v", "_vl")
+
+
 def trend(df: DataFrame) -> DataFrame:
     """Distance from moving means, momentum and its acceleration."""
     sma20 = rolling(F.avg, "close", 20, 20)
@@ -52,9 +76,8 @@ def bollinger(df: DataFrame) -> DataFrame:
 
 def macd(df: DataFrame, spans: tuple[int, int, int] = (12, 26, 9), least: tuple[int, int, int] = (8, 18, 6)) -> DataFrame:
     """Difference of two exponential means, its own exponential mean, and what is between, over the close."""
-    df = exponential_mean(df, "ticker", "date", {"_fast": ("close", spans[0], least[0]), "_slow": ("close", spans[1], least[1])})
-    df = exponential_mean(df.withColumn("_macd", F.col("_fast") - F.col("_slow")), "ticker", "date", {"_signal": ("_macd", spans[2], least[2])})
-    return df.withColumns({
+    df = exponential_mean(df, "ticker", "date", {"_fast": ("close", spans[0], least[0]), "_slow": ("close", spans[1], least[1]), "_signal": (("_fast", "_slow"), spans[2], least[2])})
+    return df.withColumn("_macd", F.col("_fast") - F.col("_slow")).withColumns({
         "macd_norm": fill(clip(ratio("_macd", "close"), -0.1, 0.1), 0.0),
         "macd_signal_norm": fill(clip(ratio("_signal", "close"), -0.1, 0.1), 0.0),
         "macd_hist_norm": fill(clip(ratio(F.col("_macd") - F.col("_signal"), "close"), -0.05, 0.05), 0.0),

@@ -88,35 +88,53 @@ def outlook(change: Column) -> Column:
 
 
 def risk_label(risks: list[Column], chances: list[Column]) -> Column:
+    """Risks less chances: above 2 high, above 0 moderate, below -2 low, between balanced."""
     n = lambda cs: sum((F.when(c, 1).otherwise(0) for c in cs[1:]), F.when(cs[0], 1).otherwise(0))
-    return bands(n(risks) - n(chances), [(3, "high"), (1, "elevated"), (0, "balanced")], "low")
+    return bands(n(risks) - n(chances), [(3, "high"), (1, "moderate"), (-2, "balanced")], "low")
 
 
-MOODS = [(80, "Extreme Greed"), (60, "Greed"), (40, "Neutral"), (20, "Fear")]
+#: The greatest score of each mood.
+MOODS = ((20, "Extreme Fear"), (40, "Fear"), (60, "Neutral"), (80, "Greed"))
+
+
+def mood(score: Column) -> Column:
+    out = F.when(score <= MOODS[0][0], MOODS[0][1])
+    for most, label in MOODS[1:]:
+        out = out.when(score <= most, label)
+    return F.when(score.isNotNull(), out.otherwise("Extreme Greed"))
 
 
 def fear_greed(index: DataFrame, volatility: DataFrame, offsets: tuple[int, ...] = (0, 1, 5, 21, 252)) -> DataFrame:
     """Daily closes of an index and of volatility -> the mood at offsets of rows from the last day.
 
     Momentum is 50 plus four times the percentage by which the close exceeds its mean of up to 125 rows; calm is 50
-    plus five times that by which volatility is below its mean of up to 50. They count .65 and .35, within 0 to 100.
+    plus five times that by which volatility is below its mean of up to 50. They count .65 and .35, within 0 to 100. The
+    first needs 21 values and the second 11; where one is missing, the other counts alone, and without both there is no score.
     """
     w = W.orderBy("date")  # one row a day
-    over = lambda x, n: ratio(F.col(x), F.avg(x).over(w.rowsBetween(-(n - 1), 0))) * 100 - 100
-    df = index.join(volatility, "date").withColumns({"_m": clip(50 + 4 * over("close", 125), 0, 100), "_v": clip(50 - 5 * over("vix", 50), 0, 100)})
+    past = w.rowsBetween(W.unboundedPreceding, 0)
+    over = lambda x, n, least: F.when(F.count(x).over(past) >= least, ratio(F.col(x), F.avg(x).over(w.rowsBetween(-(n - 1), 0))) * 100 - 100)
+    df = index.join(volatility, "date", "full_outer").withColumns({"_m": clip(50 + 4 * over("close", 125, 21), 0, 100), "_v": clip(50 - 5 * over("vix", 50, 11), 0, 100)})
     df = df.withColumn("offset", F.row_number().over(W.orderBy(F.desc("date"))) - 1).where(F.col("offset").isin(*offsets))
-    score = half_up(0.65 * F.col("_m") + 0.35 * F.col("_v"))
-    return df.select("offset", "date", score.cast("long").alias("score")).withColumn("mood", bands(F.col("score"), MOODS, "Extreme Fear"))
+    score = half_up(F.coalesce(0.65 * F.col("_m") + 0.35 * F.col("_v"), "_m", "_v"))
+    return df.select("offset", "date", score.cast("long").alias("score")).withColumn("mood", mood(F.col("score")))
 
 
 def mood_sentiment(score: Column) -> Column:
-    return (score - 50) / 50
+    return (score - 50) / 100
 
 
-def technical_summary(rsi: Column, macd: Column, price_over: Column) -> Column:
-    """Points of three signals, and the band they fall into."""
-    points = F.when(rsi < 30, 100).when(rsi > 70, 0).otherwise(50) + F.when(macd > 0, 100).otherwise(0) + F.when(price_over > 0, 100).otherwise(0)
-    return bands(points / 3, [(70, "Strong Buy"), (55, "Buy"), (45, "Neutral"), (30, "Sell")], "Strong Sell")
+def technical_summary(rsi: Column, macd: Column, short: Column, long: Column) -> Column:
+    """Share of rising among all signals, and the band it falls into.
+
+    RSI below 30 or above 70 gives two signals, below 40 or above 60 one; the sign of ``macd`` two; a short mean above or
+    not above the long one, where both are known, one. No signal is neutral.
+    """
+    points = lambda *xs: sum((fill(x, 0) for x in xs[1:]), fill(xs[0], 0))
+    crossed = short.isNotNull() & long.isNotNull()
+    up = points(F.when(rsi < 30, 2).when(rsi < 40, 1), F.when(macd > 0, 2), F.when(crossed & (short > long), 1))
+    down = points(F.when(rsi > 70, 2).when(rsi > 60, 1), F.when(macd < 0, 2), F.when(crossed & (short <= long), 1))
+    return F.coalesce(bands(ratio(up, up + down) * 100, [(70, "Strong Buy"), (55, "Buy"), (45, "Neutral"), (30, "Sell")], "Strong Sell"), F.lit("Neutral"))
 
 
 def session_of(ts: Column) -> Column:

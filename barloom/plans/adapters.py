@@ -28,7 +28,8 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    """Rounded, without a negative zero."""
+    return [(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names]
 
 
 def as_text(c: str = "date"):
@@ -95,9 +96,11 @@ DAYS = "WITH e AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, avg(value
 
 @query("sentiment_rolling", DAYS + """, w AS (SELECT *, CASE WHEN count(sentiment) OVER a >= 3 THEN avg(sentiment) OVER a END AS m7, CASE WHEN count(sentiment) OVER a >= 3 THEN stddev_samp(sentiment) OVER a END AS s7, CASE WHEN count(sentiment) OVER b >= 10 THEN avg(sentiment) OVER b END AS m30,
   sum(news_count) OVER a AS n7, CASE WHEN count(news_count) OVER b >= 10 THEN avg(news_count) OVER b END AS n30 FROM e WINDOW a AS (PARTITION BY ticker ORDER BY date ROWS 6 PRECEDING), b AS (PARTITION BY ticker ORDER BY date ROWS 29 PRECEDING))
-SELECT ticker, CAST(date AS VARCHAR) AS date, round(m7, 6) AS sent_mean_7d, round(m30, 6) AS sent_mean_30d, round(s7, 6) AS sent_std_7d, round(m7 - m30, 6) AS sent_momentum, round(n7::DOUBLE, 6) AS news_count_7d, round(coalesce(news_count / (n30 + 1e-6::DOUBLE), 0), 6) AS news_spike FROM w""")
+SELECT ticker, CAST(date AS VARCHAR) AS date, round(m7 + 1e-9::DOUBLE, 6) AS sent_mean_7d, round(m30 + 1e-9::DOUBLE, 6) AS sent_mean_30d, round(s7 + 1e-9::DOUBLE, 6) AS sent_std_7d, round(m7 - m30 + 1e-9::DOUBLE, 6) AS sent_momentum, round(n7::DOUBLE, 6) AS news_count_7d, round(coalesce(news_count / (n30 + 1e-6::DOUBLE), 0), 6) AS news_spike FROM w""")
 def sentiment_rolling(spark, sf_dir):
-    return adapters.sentiment_features(scored_days(spark, sf_dir)).select("ticker", as_text(), *r6("sent_mean_7d", "sent_mean_30d", "sent_std_7d", "sent_momentum", "news_count_7d", "news_spike"))
+    # Means of short decimals end in halves; the shift keeps both sides from rounding them apart.
+    df = adapters.sentiment_features(scored_days(spark, sf_dir))
+    return df.select("ticker", as_text(), *[(F.round(F.col(c) + 1e-9, 6) + F.lit(0.0)).alias(c) for c in ("sent_mean_7d", "sent_mean_30d", "sent_std_7d", "sent_momentum")], *r6("news_count_7d", "news_spike"))
 
 
 def reports(spark, sf_dir) -> DataFrame:
@@ -176,9 +179,9 @@ def sentiment_blend(spark, sf_dir):
     return blends.blended_score(long_scores(spark, sf_dir), ["ticker"]).select("ticker", *r6("blended"))
 
 
-@query("confidence_blend", LONG + ", m AS (SELECT *, CASE WHEN event_type = 'error' THEN 0.03 ELSE w END AS u FROM l WHERE confidence > 0) SELECT ticker, round(sum(confidence * u) / sum(u), 6) AS confidence, count(*) AS sources, sum(volume) AS volume FROM m GROUP BY ticker")
+@query("confidence_blend", LONG + ", m AS (SELECT *, CASE event_type WHEN 'view' THEN 0.22 WHEN 'click' THEN 0.15 WHEN 'purchase' THEN 0.10 WHEN 'signup' THEN 0.10 ELSE 0.03 END::DOUBLE AS u FROM l) SELECT ticker, round(sum(confidence * u) / sum(u), 6) AS confidence, count(*) AS sources, sum(volume) AS volume, coalesce(sum(volume) FILTER (event_type <> 'purchase'), 0) AS articles FROM m GROUP BY ticker")
 def confidence_blend(spark, sf_dir):
-    return blends.blended_confidence(long_scores(spark, sf_dir), ["ticker"]).select("ticker", *r6("confidence"), "sources", "volume")
+    return blends.blended_confidence(long_scores(spark, sf_dir), ["ticker"]).select("ticker", *r6("confidence"), "sources", "volume", "articles")
 
 
 @query("engagement_mean", "SELECT user_id AS ticker, round(avg((value / 50 - 1) * least(CAST(json_extract_string(props, '$.k') AS INT) / 100.0::DOUBLE, 1.0)), 6) AS score, count(*) AS volume FROM events GROUP BY 1")
@@ -226,14 +229,14 @@ def source_health(spark, sf_dir):
     return blends.health(table(spark, sf_dir, "events"), "value", "event_type", "user_id").withColumnRenamed("event_type", "source").withColumn("median", F.round("median", 6))
 
 
-@query("event_distances", """WITH c AS (SELECT DISTINCT CAST(ts AS DATE) AS date, CASE WHEN event_id % 3 = 0 THEN 'high' WHEN event_id % 3 = 1 THEN 'medium' ELSE 'low' END AS importance FROM events WHERE event_id % 700 = 0),
+@query("event_distances", """WITH c AS (SELECT DISTINCT CAST(ts AS DATE) AS date, CASE WHEN event_type = 'purchase' THEN 'high' WHEN event_type = 'signup' THEN 'medium' ELSE 'low' END AS importance FROM events),
 d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), j AS (SELECT day, date - day AS d, importance FROM d LEFT JOIN c ON date BETWEEN day - 90 AND day + 90)
 SELECT CAST(day AS VARCHAR) AS day, CAST(max(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS INT) AS has_today, CAST(coalesce(min(CASE WHEN d >= 0 THEN d END), 30) AS INT) AS days_to_next, CAST(coalesce(min(CASE WHEN d <= 0 THEN -d END), 30) AS INT) AS days_since_last,
  CAST(sum(CASE WHEN d BETWEEN 0 AND 6 THEN 1 ELSE 0 END) AS BIGINT) AS week_density, CAST(sum(CASE WHEN d BETWEEN 0 AND 6 THEN CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS week_importance FROM j GROUP BY day""")
 def event_distances(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    importance = F.when(F.col("event_id") % 3 == 0, "high").when(F.col("event_id") % 3 == 1, "medium").otherwise("low")
-    events = e.where("event_id % 700 = 0").select(F.to_date("ts").alias("date"), importance.alias("importance")).distinct()
+    importance = F.when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "signup", "medium").otherwise("low")
+    events = e.select(F.to_date("ts").alias("date"), importance.alias("importance")).distinct()
     return adapters.event_distances(events, e.select(F.to_date("ts").alias("day")).distinct()).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

@@ -21,7 +21,7 @@ def day():
 def shown(df: DataFrame, *columns: str) -> DataFrame:
     """Key and columns; real numbers are rounded and dates written alike on both sides of the comparison."""
     kinds = dict(df.dtypes)
-    return df.select("ticker", day(), *[F.round(c, DIGITS).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) for c in columns])
+    return df.select("ticker", day(), *[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) for c in columns])
 
 
 PANEL = """WITH trades AS (
@@ -70,7 +70,7 @@ v AS (SELECT *, {dev("r1", 20, 5)} AS vol20 FROM r)"""
 
 def select(source: str, **columns: str) -> str:
     """The last SELECT: whole columns are named with a leading underscore, which goes."""
-    parts = [f"CAST({x} AS BIGINT) AS {n[1:]}" if n[0] == "_" else f"round({x}, {DIGITS}) AS {n}" for n, x in columns.items()]
+    parts = [f"CAST({x} AS BIGINT) AS {n[1:]}" if n[0] == "_" else f"round({x}, {DIGITS}) + 0.0::DOUBLE AS {n}" for n, x in columns.items()]
     return f"\nSELECT ticker, CAST(date AS VARCHAR) AS date, {', '.join(parts)} FROM {source}"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import columns, text
 from barloom.functions.columns import gaussian_cdf, ratio, ticker_id
+from barloom.functions.windows import rolling
 from barloom.operators import evaluation, fundamentals, modelling, news, portfolio, prices, reports
 from barloom.plans.adapters import as_text, r6
 from barloom.plans.market import BRANDS, OVER, RSI, over, rolled
@@ -183,22 +184,27 @@ def gbt(spark, sf_dir):
 
 
 def articles(spark, sf_dir) -> DataFrame:
-    """Documents as articles: the text's start as URL and title, so that copies repeat."""
+    """Documents as articles: a digest of the whole text as URL, so that copies repeat, and the first line as title."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring("text", 1, 40).alias("url"), F.substring("text", 1, 20).alias("title"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 60).alias("published_at"), "source", F.col("lang").alias("provider"), F.col("n_chars"))
+    return d.select("doc_id", F.sha2("text", 256).alias("url"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 60).alias("published_at"), "source", F.col("lang").alias("provider"), F.col("n_chars"))
 
 
-@query("news_union_dedupe_page", """WITH a AS (SELECT doc_id, substr(text, 1, 40) AS url, substr(text, 1, 20) AS title, lang, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS pr FROM documents WHERE lang IN ('en', 'de')), r AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(url, ' ')) ORDER BY pr, doc_id DESC, title) AS n FROM a WHERE trim(url, ' ') <> '')
+@query("news_union_dedupe_page", """WITH a AS (SELECT doc_id, sha256(text) AS url, string_split(text, chr(10))[1] AS title, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS pr FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pr, doc_id DESC, title) AS n FROM a WHERE url IS NOT NULL)
 SELECT doc_id, title FROM r WHERE n = 1 ORDER BY doc_id DESC LIMIT 20 OFFSET 20""")
 def news_page(spark, sf_dir):
     a = articles(spark, sf_dir)
-    union = news.union_articles([a.where("provider = 'en'"), a.where("provider = 'de'")])
+    union = news.union_articles([a.where("provider = 'en'"), a.where("provider IS DISTINCT FROM 'en'")])
     return news.page(union, [F.desc("published_at"), F.desc("doc_id")], 2, 20).select("doc_id", "title")
 
 
-@query("category_map", "SELECT p_type, CASE lower(replace(p_type, ' ', '')) WHEN 'energy' THEN 'Energy' ELSE p_type END AS sector, count(*) AS n FROM part GROUP BY 1, 2")
+@query("category_map", """WITH t AS (SELECT unnest(['technology', 'tech', 'business', 'finance', 'healthcare', 'health', 'energy', 'automotive', 'auto', 'consumer', 'industrials', 'materials', 'realestate', 'utilities', 'communication', 'communications']) AS k,
+ unnest(['Technology', 'Technology', 'Finance', 'Finance', 'Healthcare', 'Healthcare', 'Energy', 'Automotive', 'Automotive', 'Consumer', 'Industrials', 'Materials', 'Real Estate', 'Utilities', 'Communication', 'Communication']) AS v),
+c AS (SELECT ['Technology', 'tech', 'Business', 'finance', 'HEALTHCARE', 'health', 'energy', 'automotive', 'Auto', 'consumer', 'industrials', 'materials', 'Real Estate', 'utilities', 'communication', 'Communications', 'other news'][p_partkey % 17 + 1] AS category FROM part)
+SELECT category, coalesce(v, category) AS sector, count(*) AS n FROM c LEFT JOIN t ON lower(replace(category, ' ', '')) = k GROUP BY 1, 2""")
 def category_map(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_type", news.sector_of(F.col("p_type")).alias("sector")).agg(F.count("*").alias("n"))
+    names = ("Technology", "tech", "Business", "finance", "HEALTHCARE", "health", "energy", "automotive", "Auto", "consumer", "industrials", "materials", "Real Estate", "utilities", "communication", "Communications", "other news")
+    category = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(category.alias("category")).groupBy("category", news.sector_of(F.col("category")).alias("sector")).agg(F.count("*").alias("n"))
 
 
 @query("search_symbols", "SELECT p_partkey, p_brand, p_name FROM part WHERE contains(upper(p_brand), 'RAND#12') OR contains(upper(p_name), 'RAND#12')")
@@ -206,9 +212,9 @@ def search(spark, sf_dir):
     return news.search_symbols(table(spark, sf_dir, "part"), "rand#12", "p_brand", "p_name").select("p_partkey", "p_brand", "p_name")
 
 
-@query("page_append_dedupe", "WITH a AS (SELECT doc_id, substr(text, 1, 40) AS url, substr(text, 1, 20) AS title FROM documents) SELECT doc_id FROM a WHERE doc_id % 2 = 1 AND url NOT IN (SELECT url FROM a WHERE doc_id % 2 = 0) AND title NOT IN (SELECT title FROM a WHERE doc_id % 2 = 0)")
+@query("page_append_dedupe", "WITH a AS (SELECT doc_id, sha256(text) AS url, string_split(text, chr(10))[1] AS title FROM documents WHERE text IS NOT NULL) SELECT doc_id FROM a WHERE doc_id % 2 = 1 AND url NOT IN (SELECT url FROM a WHERE doc_id % 2 = 0) AND title NOT IN (SELECT title FROM a WHERE doc_id % 2 = 0)")
 def page_append(spark, sf_dir):
-    a = articles(spark, sf_dir)
+    a = articles(spark, sf_dir).where("url IS NOT NULL")
     return news.appended(a.where("doc_id % 2 = 0"), a.where("doc_id % 2 = 1")).select("doc_id")
 
 
@@ -218,9 +224,10 @@ def missing(spark, sf_dir):
 
 
 @query("keyword_sentiment", r"""WITH h AS (SELECT doc_id, lower(text) AS t, len(regexp_split_to_array(trim(text, ' '), '\s+')) AS w FROM documents)
-SELECT doc_id, round(greatest(-1, least(1, (len(list_filter(['th', 'er', 'ion'], lambda x: contains(t, x))) - len(list_filter(['que', 'sch', 'ado', 'zz'], lambda x: contains(t, x)))) / greatest(w / 100.0::DOUBLE, 1))), 6) AS score FROM h""")
+SELECT doc_id, round(greatest(-1, least(1, (len(list_filter(['growth', 'increase', 'profit', 'revenue', 'strong', 'positive', 'successful', 'improvement', 'gain', 'benefit', 'opportunity', 'optimistic', 'expansion', 'exceeded', 'outperform', 'robust'], lambda x: contains(t, x)))
+ - len(list_filter(['loss', 'decline', 'decrease', 'risk', 'challenge', 'uncertainty', 'negative', 'concern', 'problem', 'difficult', 'weak', 'poor', 'disappointing', 'below', 'underperform', 'volatility'], lambda x: contains(t, x)))) / greatest(w / 100.0::DOUBLE, 1))), 6) AS score FROM h""")
 def keyword_sentiment(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.keyword_score(F.col("text"), ("th", "er", "ion"), ("que", "sch", "ado", "zz")), 6).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.keyword_score(F.col("text")), 6).alias("score"))
 
 
 @query("html_text")
@@ -311,19 +318,18 @@ def group_coverage(spark, sf_dir):
     return evaluation.group_coverage(df, {"gap": ["gap"], "moves": ["gap", "span"]}).select(*r6("gap", "moves"))
 
 
-@query("fear_greed_score", BRANDS + """, i AS (SELECT date, avg(close) AS close, stddev_pop(close) AS vix FROM p GROUP BY date HAVING count(*) > 1), s AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS k, greatest(0, least(100, 50 + 4 * (close / avg(close) OVER a * 100 - 100))) AS m, greatest(0, least(100, 50 - 5 * (vix / avg(vix) OVER b * 100 - 100))) AS v FROM i
-WINDOW a AS (ORDER BY date ROWS 124 PRECEDING), b AS (ORDER BY date ROWS 49 PRECEDING)), t AS (SELECT CAST(k AS INT) AS k, date, CAST(floor(0.65::DOUBLE * m + 0.35::DOUBLE * v + 0.5) AS BIGINT) AS score FROM s WHERE k IN (0, 1, 5, 21, 252))
-SELECT k AS "offset", CAST(date AS VARCHAR) AS date, score, CASE WHEN score >= 80 THEN 'Extreme Greed' WHEN score >= 60 THEN 'Greed' WHEN score >= 40 THEN 'Neutral' WHEN score >= 20 THEN 'Fear' ELSE 'Extreme Fear' END AS mood FROM t""")
+@query("fear_greed_score", BRANDS + """, i AS (SELECT date, avg(close) AS close, stddev_pop(close) AS vix FROM p GROUP BY date HAVING count(*) > 1), s AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS k, CASE WHEN row_number() OVER (ORDER BY date) > 20 THEN greatest(0, least(100, 50 + 4 * (close / avg(close) OVER a * 100 - 100))) END AS m, CASE WHEN row_number() OVER (ORDER BY date) > 10 THEN greatest(0, least(100, 50 - 5 * (vix / avg(vix) OVER b * 100 - 100))) END AS v FROM i
+WINDOW a AS (ORDER BY date ROWS 124 PRECEDING), b AS (ORDER BY date ROWS 49 PRECEDING)), t AS (SELECT CAST(k AS INT) AS k, date, CAST(floor(coalesce(0.65::DOUBLE * m + 0.35::DOUBLE * v, m, v) + 0.5) AS BIGINT) AS score FROM s WHERE k IN (0, 1, 5, 21, 252))
+SELECT k AS "offset", CAST(date AS VARCHAR) AS date, score, CASE WHEN score <= 20 THEN 'Extreme Fear' WHEN score <= 40 THEN 'Fear' WHEN score <= 60 THEN 'Neutral' WHEN score <= 80 THEN 'Greed' WHEN score > 80 THEN 'Extreme Greed' END AS mood FROM t""")
 def fear_greed(spark, sf_dir):
     days = bars(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("close"), F.stddev_pop("close").alias("vix"), F.count("*").alias("n")).where("n > 1")
     return reports.fear_greed(days.select("date", "close"), days.select("date", "vix")).select("offset", as_text(), "score", "mood")
 
 
-@query("technical_summary", RSI + ", s AS (SELECT ticker, date, (CASE WHEN rsi < 30 THEN 100 WHEN rsi > 70 THEN 0 ELSE 50 END + CASE WHEN close > open THEN 100 ELSE 0 END + CASE WHEN d > 0 THEN 100 ELSE 0 END) / 3.0::DOUBLE AS x FROM i) SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN x >= 70 THEN 'Strong Buy' WHEN x >= 55 THEN 'Buy' WHEN x >= 45 THEN 'Neutral' WHEN x >= 30 THEN 'Sell' ELSE 'Strong Sell' END AS summary FROM s")
+@query("technical_summary", RSI + f", t1 AS (SELECT ticker, date, rsi, close - open AS t, {rolled('avg({})', 'close', 20, 20)} AS a, {rolled('avg({})', 'close', 50, 50)} AS b FROM i), t2 AS (SELECT ticker, date, CASE WHEN rsi < 30 THEN 2 WHEN rsi < 40 THEN 1 ELSE 0 END + CASE WHEN t > 0 THEN 2 ELSE 0 END + CASE WHEN a > b THEN 1 ELSE 0 END AS up, CASE WHEN rsi > 70 THEN 2 WHEN rsi > 60 THEN 1 ELSE 0 END + CASE WHEN t < 0 THEN 2 ELSE 0 END + CASE WHEN a <= b THEN 1 ELSE 0 END AS down FROM t1), t3 AS (SELECT ticker, date, coalesce(100.0::DOUBLE * up / nullif(up + down, 0), 50) AS x FROM t2) SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN x >= 70 THEN 'Strong Buy' WHEN x >= 55 THEN 'Buy' WHEN x >= 45 THEN 'Neutral' WHEN x >= 30 THEN 'Sell' ELSE 'Strong Sell' END AS summary FROM t3")
 def technical_summary(spark, sf_dir):
-    df = prices.rsi(bars(spark, sf_dir))
-    d = F.col("close") - F.lag("close").over(W.partitionBy("ticker").orderBy("date"))
-    return df.select("ticker", as_text(), reports.technical_summary(F.col("rsi"), F.col("close") - F.col("open"), d).alias("summary"))
+    df = prices.rsi(bars(spark, sf_dir)).withColumns({"_a": rolling(F.avg, "close", 20, 20), "_b": rolling(F.avg, "close", 50, 50)})
+    return df.select("ticker", as_text(), reports.technical_summary(F.col("rsi"), F.col("close") - F.col("open"), F.col("_a"), F.col("_b")).alias("summary"))
 
 
 @query("trading_sessions", """WITH l AS (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM events), m AS (SELECT event_id, t, hour(t) * 60 + minute(t) AS m FROM l) SELECT event_id, CASE WHEN isodow(t) >= 6 THEN 'closed' WHEN m >= 240 AND m < 570 THEN 'pre' WHEN m >= 570 AND m < 960 THEN 'regular' WHEN m >= 960 AND m < 1200 THEN 'after' ELSE 'closed' END AS session FROM m""")
@@ -441,9 +447,9 @@ def unread(spark, sf_dir):
     return table(spark, sf_dir, "events").where((ts > now - F.expr("interval 1 hour")) & (ts <= now)).agg(F.count("*").alias("unread"))
 
 
-@query("number_formats", "SELECT o_orderkey, '$' || CASE WHEN o_totalprice * 1003 >= 1e9 THEN printf('%.2fB', o_totalprice * 1003 / 1e9) WHEN o_totalprice * 1003 >= 1e6 THEN printf('%.2fM', o_totalprice * 1003 / 1e6) ELSE printf('%.2f', o_totalprice * 1003) END AS shown FROM orders WHERE o_orderkey % 2 = 0")
+@query("number_formats", "SELECT o_orderkey, '$' || CASE WHEN o_totalprice * 1003 >= 1e9 THEN printf('%.2fB', o_totalprice * 1003 / 1e9) WHEN o_totalprice * 1003 >= 1e6 THEN printf('%.2fM', o_totalprice * 1003 / 1e6) ELSE printf('%.2f', o_totalprice * 1003) END AS shown FROM orders")
 def formats(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", columns.human_money(F.col("o_totalprice") * 1003).alias("shown"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", columns.human_money(F.col("o_totalprice") * 1003).alias("shown"))
 
 
 @query("gross_margin", "WITH s AS (SELECT p_brand, sum(p_retailprice) AS r, sum(p_size) AS g FROM part GROUP BY 1) SELECT p_brand, round(g / r::DOUBLE * 100, 6) AS gross_margin FROM s")
