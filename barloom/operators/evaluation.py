@@ -58,11 +58,14 @@ def calibration(df: DataFrame, p: str, y: str, bins: int = 5) -> DataFrame:
 
 
 def binomial_tail(hits: Column, n: Column) -> Column:
-    """Two-sided normal approximation of the chance of so many hits by coin."""
-    from barloom.functions.columns import erf
+    """Two-sided chance of hits as uneven as these by a fair coin: exact, as a sum of binomial terms from n down."""
+    least = F.greatest(hits, n - hits)
+    start = F.struct((-n * math.log(2)).cast("double").alias("log"), F.lit(0.0).alias("sum"))
 
-    z = F.abs(hits - n / 2) - 0.5
-    return F.least(F.lit(1.0), 1 - erf(F.greatest(z, F.lit(0.0)) / F.sqrt(n / 4) / math.sqrt(2)))
+    def step(a: Column, k: Column) -> Column:
+        return F.struct((a["log"] + F.ln(k.cast("double")) - F.ln((n - k + 1).cast("double"))).alias("log"), (a["sum"] + F.exp(a["log"])).alias("sum"))
+
+    return F.least(F.lit(1.0), 2 * F.aggregate(F.sequence(n, least, F.lit(-1)), start, step, lambda a: a["sum"]))
 
 
 def stability(base: DataFrame, recent: DataFrame, x: str, least: int = 10) -> DataFrame:

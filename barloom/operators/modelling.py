@@ -71,6 +71,15 @@ def production_ready(rmse: Column, naive: Column, hit: Column, p: Column, n: Col
     return (rmse < naive) & (hit >= 0.5) & (p < 0.30) & (n >= 15) & (correlation >= 0.03)
 
 
+def split_in_time(df: DataFrame, train: int = 70, validation: int = 15, gap: int = 0) -> DataFrame:
+    """Rows of each ticker in order of date -> ``part``: train, validation or test by percentage of rows. ``gap`` rows before a border have none, so that no target reaches over it."""
+    w = W.partitionBy("ticker")
+    i, n = F.row_number().over(w.orderBy("date")) - 1, F.count("*").over(w)
+    df = df.withColumns({"_i": i, "_a": F.floor(n * train / 100), "_b": F.floor(n * (train + validation) / 100)})
+    part = F.when(F.col("_i") < F.col("_a") - gap, "train").when((F.col("_i") >= F.col("_a")) & (F.col("_i") < F.col("_b") - gap), "validation").when(F.col("_i") >= F.col("_b"), "test")
+    return df.withColumn("part", part).drop("_i", "_a", "_b")
+
+
 def up_probability(mean: Column, deviation: Column) -> Column:
     return gaussian_cdf(mean, deviation)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.plans import adapters, market, reports
+from barloom.plans import adapters, market, more, reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (market, adapters, reports):
+for _part in (market, adapters, reports, more):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 

@@ -102,3 +102,14 @@ LEAKS = ("target", "label", "future", "forward")
 def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     """Numeric columns that are not excluded and whose names don't look like targets."""
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude and not any(x in f.name.lower() for x in LEAKS) and not f.name.lower().startswith("y_")]
+
+
+def fresh(df: DataFrame, key: str, ts: str, now: Column, seconds: int) -> DataFrame:
+    """Keys with a row up to ``now``, and whether their newest one is at most so many seconds old."""
+    return df.where(F.col(ts) <= now).groupBy(key).agg((F.max(ts) >= now - F.make_dt_interval(secs=F.lit(seconds))).alias("fresh"))
+
+
+def changed(stored: DataFrame, new: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """Rows worth storing: new keys, and values that differ from the stored one by at least a share of it."""
+    old = stored.select(*keys, F.col(value).alias("_old"))
+    return new.join(old, keys, "left").where(F.col("_old").isNull() | (F.abs(F.col(value) - F.col("_old")) >= share * F.abs("_old"))).drop("_old")
