@@ -20,12 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.shared import stored
 
 #: Bits of a hashed n-gram, and the lengths of n-grams.
 BITS, LENGTHS = 14, (1, 2, 3)
 SIZE = 1 << BITS
 #: Documents of each language, about, that the regression is fitted on.
 PER_LANGUAGE = 1000
+#: Documents of all languages together, about; with more than ``MOST_SAMPLES`` / ``PER_LANGUAGE`` languages each has fewer.
+MOST_SAMPLES = 50_000
+#: Languages whose counts are broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: Letters of an excerpt that is trained on besides each whole text, so that short texts are known too.
 EXCERPT = 30
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.02, 0.5
@@ -123,10 +128,12 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 def samples(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     """Rows (lang, key, part, index, count) of a hash sample: whole texts (part 0) and excerpts (part 1)."""
-    counts = docs.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = stored(docs.groupBy("lang").agg(F.count("*").alias("rows")))
+    languages = counts.count()
+    per_language = min(per_language, MOST_SAMPLES // max(1, languages) + 1)
     key = F.xxhash64(F.lit("langid"), F.col("doc_id"), F.xxhash64("text"))
     share = F.lit(float(per_language)) / F.col("rows")
-    picked = docs.join(F.broadcast(counts), "lang").withColumn("key", key).where(F.shiftrightunsigned("key", 11) < share * float(1 << 53))
+    picked = docs.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").withColumn("key", key).where(F.shiftrightunsigned("key", 11) < share * float(1 << 53))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,12 +211,14 @@ def _calibrate(model: Model, data: list[tuple[int, np.ndarray]]) -> None:
 
 
 def identify(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
-    """docs with ``text`` -> with lang_pred and score. Null texts and texts without a letter are ``und`` with score 0."""
+    """docs with ``text`` -> with lang_pred and score, columns of ``docs`` by these names replaced. Null texts and texts without a letter are ``und`` with score 0."""
     kept = docs.drop("lang_pred", "score")
     fields = [f for f in kept.schema.fields if keep_text or f.name != "text"]
     names = [f.name for f in fields]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             got = [model.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]

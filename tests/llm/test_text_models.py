@@ -34,6 +34,46 @@ def test_labels_of_held_out_documents_teach_nothing(spark):
     assert run(rows) == run(other)
 
 
+def test_training_against_a_plain_version(spark, monkeypatch):
+    """Weights of the same steps in dictionaries; some stay zero; the temperature lowers the loss; a bound on all samples."""
+    rng = random.Random(2)
+    data = [(rng.randrange(2), np.array(sorted(rng.sample(range(40), 5))), np.array([rng.random() for _ in range(5)])) for _ in range(60)]
+    got = langid.Model(["a", "b"], np.ones(langid.SIZE), np.zeros((2, langid.SIZE)), np.zeros(2), 1.0)
+    langid._train(got, data)
+    z, n = {}, {}
+
+    def weight(k: int, i: int) -> float:
+        a = z.get((k, i), 0.0)
+        return 0.0 if abs(a) <= langid.L1 else (np.sign(a) * langid.L1 - a) / ((langid.BETA + np.sqrt(n.get((k, i), 0.0))) / langid.ALPHA + (langid.L2 if i != langid.SIZE else 0.0))
+
+    for epoch in range(langid.EPOCHS):
+        for j in np.random.default_rng(epoch).permutation(len(data)):
+            y, index, x = data[j]
+            pairs = [*zip(index.tolist(), x.tolist()), (langid.SIZE, 1.0)]
+            w = {(k, i): weight(k, i) for k in (0, 1) for i, _ in pairs}
+            score = [sum(w[k, i] * v for i, v in pairs) for k in (0, 1)]
+            p = np.exp(np.array(score) - max(score))
+            p /= p.sum()
+            for k in (0, 1):
+                for i, v in pairs:
+                    g = (p[k] - (k == y)) * v
+                    old = n.get((k, i), 0.0)
+                    z[k, i] = z.get((k, i), 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / langid.ALPHA * w[k, i]
+                    n[k, i] = old + g * g
+    assert all(abs(got.weights[k, i] - weight(k, i)) < 1e-9 for k in (0, 1) for i in range(40)) and abs(got.bias[0] - weight(0, langid.SIZE)) < 1e-9
+    assert (got.weights[:, 40:] == 0).all() and (got.weights != 0).sum() <= 80
+    logits = [(y, got.logits(i, np.ones(5))) for y, i, _ in data]
+    loss = lambda t: np.mean([np.log(np.exp(z / t).sum()) - z[y] / t for y, z in logits])
+    langid._calibrate(got, logits)
+    assert loss(got.temperature) <= loss(1.0) + 1e-9
+    monkeypatch.setattr(langid, "MOST_SAMPLES", 30)
+    docs = spark.createDataFrame(documents(300), "doc_id long, text string, lang string")
+    assert len({r.key for r in langid.samples(docs)}) < 80
+    odd = docs.limit(1).union(docs.limit(1)).withColumns({"lang_pred": langid.F.lit(1), "more": langid.F.lit(2)})
+    found = langid.identify(odd, got).collect()
+    assert len(found) == 2 and found[0] == found[1] and found[0].more == 2 and langid.identify_documents(docs.limit(0)).count() == 0
+
+
 def model() -> str:
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 
