@@ -1,12 +1,19 @@
-"""Portfolio simulation: what to buy is ranked in Spark, the recurrence of slots and stops is folded over the days of one strategy."""
+"""Portfolio simulation: picks are ranked and their exits found in Spark; only the slots are a sequential matter, over one short row a pick."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import ratio
+
 TRADES = "strategy string, ticker string, entry_date date, exit_date date, entry_price double, exit_price double, return double, bars int"
+#: The loss at which a position is closed, by rows that it may be held, and for other horizons.
+STOPS = {1: -0.03, 5: -0.05, 21: -0.08}
+STOP = -0.05
 
 
 def candidates(signals: DataFrame, share: float = 0.2) -> DataFrame:
@@ -16,37 +23,60 @@ def candidates(signals: DataFrame, share: float = 0.2) -> DataFrame:
     return ranked.where((F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))) & (F.col("alpha") > 0)).drop("_n")
 
 
-def simulate(prices: DataFrame, picks: DataFrame, hold: int, slots: int = 5, stop: float = -0.05, cost: float = 0.001) -> DataFrame:
-    """(date, ticker, close) and picks -> trades of each strategy.
+def exits(prices: DataFrame, picks: DataFrame, hold: int, stop: float | None = None, cost: float = 0.001) -> DataFrame:
+    """(date, ticker, close) and picks -> each pick with where it would be closed, whether or not a slot is free for it.
+
+    That is the first of the ticker's next ``hold`` rows whose loss reaches ``stop`` (by default that of the horizon),
+    else the last of them, else the ticker's last row; ``closed`` is false there. Both sides of a trade pay ``cost``.
+    A pick without a price on its day goes. A frame of ``hold`` rows is all that a row gathers.
+    """
+    stop = STOPS.get(hold, STOP) if stop is None else stop
+    ahead = F.collect_list(F.struct("date", "close")).over(W.partitionBy("ticker").orderBy("date").rowsBetween(1, hold))
+    rows = prices.select("ticker", "date", "close").withColumn("_ahead", ahead)
+    met = picks.select("strategy", "date", "ticker", "place").join(rows, ["ticker", "date"])
+    hit = F.array_position(F.transform("_ahead", lambda x: F.coalesce(ratio(x["close"], F.col("close")) - 1 <= stop, F.lit(False))), True).cast("int")
+    met = met.withColumns({"bars": F.when(hit > 0, hit).otherwise(F.size("_ahead")), "closed": (hit > 0) | (F.size("_ahead") >= hold)})
+    at = F.when(F.col("bars") > 0, F.get("_ahead", F.col("bars") - 1))
+    out = met.select("strategy", "ticker", F.col("date").alias("entry_date"), F.coalesce(at["date"], "date").alias("exit_date"), F.col("close").alias("entry_price"), F.coalesce(at["close"], "close").alias("exit_price"), "bars", "place", "closed")
+    return out.withColumn("return", ratio("exit_price", "entry_price") - 1 - 2 * cost)
+
+
+def simulate(prices: DataFrame, picks: DataFrame, hold: int, slots: int = 5, stop: float | None = None, cost: float = 0.001) -> DataFrame:
+    """(date, ticker, close) and picks -> the trades of each strategy.
+
+    Each day positions are closed first, then opened in order of place while slots are free. A ticker is held once and not
+    opened on the day it closes. A position that its ticker's last row finds open keeps its slot. A strategy's picks
+    pass in order of day, and no more than ``slots`` positions are kept in memory, whatever the length of the history.
+    """
+    order = ["strategy", "entry_date", "place", "ticker"]
+    each = exits(prices, picks, hold, stop, cost).repartition("strategy").sortWithinPartitions(*order)
+
+    def fold(batches: Iterator) -> Iterator:
+        now, held = None, {}  # ticker -> the day its slot is free again, none for never
+        for pdf in batches:
+            taken = []
+            for r in pdf.itertuples():
+                if r.strategy != now:
+                    now, held = r.strategy, {}
+                held = {t: day for t, day in held.items() if day is None or day >= r.entry_date}
+                open_ = r.ticker not in held and sum(day is None or day > r.entry_date for day in held.values()) < slots
+                if open_:
+                    held[r.ticker] = r.exit_date if r.closed else None
+                taken.append(open_)
+            yield pdf[taken]
+
+    return each.mapInPandas(fold, each.schema).select("strategy", "ticker", "entry_date", "exit_date", "entry_price", "exit_price", "return", "bars")
+
+
+def daily_returns(prices: DataFrame, trades: DataFrame, slots: int = 5, cost: float = 0.001) -> DataFrame:
+    """Trades -> (strategy, date, r): log return of the portfolio on each day that a position is held, every slot of equal weight.
 
-    Each day positions are valued first, then closed after ``hold`` of the ticker's rows or at a stop, then opened in
-    order of place while slots are free. A ticker is held once. Both sides of a trade pay ``cost``. Open positions are
-    closed on their last day. The fold sees one strategy's days and names: picks, and prices of tickers it picks.
+    A row's move counts for the trade that is open over it; half the cost falls on the first row and half on the last.
     """
-    named = picks.select("strategy", "ticker").distinct().join(prices, "ticker")
-    days = named.join(picks.select("strategy", "date", "ticker", "place"), ["strategy", "date", "ticker"], "left")
-
-    def fold(pdf):
-        import pandas as pd
-
-        strategy, held, out = pdf["strategy"].iloc[0], {}, []
-
-        def close(ticker, p):
-            out.append((strategy, ticker, p["date"], p["on"], p["price"], p["last"], p["last"] / p["price"] - 1 - 2 * cost, p["bars"]))
-
-        for day, rows in pdf.sort_values(["date", "place", "ticker"], na_position="last").groupby("date", sort=True):
-            closed = set()
-            for r in rows.itertuples():
-                if p := held.get(r.ticker):
-                    p.update(bars=p["bars"] + 1, last=r.close, on=day)
-                    if p["bars"] >= hold or r.close / p["price"] - 1 <= stop:
-                        close(r.ticker, held.pop(r.ticker))
-                        closed.add(r.ticker)
-            for r in rows.itertuples():
-                if pd.notna(r.place) and len(held) < slots and r.ticker not in held and r.ticker not in closed:
-                    held[r.ticker] = {"price": r.close, "date": day, "bars": 0, "last": r.close, "on": day}
-        for ticker in sorted(held):
-            close(ticker, held[ticker])
-        return pd.DataFrame(out, columns=["strategy", "ticker", "entry_date", "exit_date", "entry_price", "exit_price", "return", "bars"])
-
-    return days.groupBy("strategy").applyInPandas(fold, TRADES)
+    moves = prices.select("ticker", "date", "close", F.lag("close").over(W.partitionBy("ticker").orderBy("date")).alias("_b"))
+    t = trades.where("bars > 0").select("strategy", "ticker", "entry_date", "exit_date", "bars")
+    # A trade spans few calendar days, so it is dealt to them and meets its prices by equality.
+    days = t.withColumn("date", F.explode(F.sequence(F.date_add("entry_date", 1), "exit_date")))
+    met = days.join(moves, ["ticker", "date"]).withColumn("_first", F.row_number().over(W.partitionBy("strategy", "ticker", "entry_date").orderBy("date")) == 1)
+    paid: Column = F.when(F.col("_first"), cost).otherwise(0.0) + F.when(F.col("date") == F.col("exit_date"), cost).otherwise(0.0)
+    return met.groupBy("strategy", "date").agg(F.log1p(F.sum((ratio("close", "_b") - 1 - paid) / slots)).alias("r"))

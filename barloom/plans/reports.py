@@ -160,17 +160,44 @@ def best_window(spark, sf_dir):
     return modelling.best_window(e, ["user_id"])
 
 
+def momentum_picks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Closes, and the picks by momentum."""
+    signals = predictions(spark, sf_dir).select(F.lit("momentum").alias("strategy"), "ticker", "date", F.col("prediction").alias("alpha"))
+    return bars(spark, sf_dir).select("ticker", "date", "close"), portfolio.candidates(signals)
+
+
+def shown_dates(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("entry_date", "exit_date")})
+
+
+@query("portfolio_exits", PRED + """, k AS (SELECT *, count(*) OVER d AS n, row_number() OVER (PARTITION BY date ORDER BY prediction DESC, ticker) AS place FROM e WINDOW d AS (PARTITION BY date)), c AS (SELECT ticker, date, place FROM k WHERE place <= greatest(1, floor(n * 0.2)) AND prediction > 0),
+i AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM p), j AS (SELECT c.ticker, c.date, c.place, a.close AS entry, a.i AS a, b.i - a.i AS k, b.date AS d, b.close AS x FROM c JOIN i a ON a.ticker = c.ticker AND a.date = c.date LEFT JOIN i b ON b.ticker = c.ticker AND b.i BETWEEN a.i + 1 AND a.i + 5),
+g AS (SELECT ticker, date, place, entry, coalesce(min(k) FILTER (x / entry - 1 <= -0.05), max(k), 0) AS bars, count(*) FILTER (x / entry - 1 <= -0.05) > 0 OR coalesce(max(k), 0) >= 5 AS closed FROM j GROUP BY ALL)
+SELECT g.ticker, CAST(g.date AS VARCHAR) AS entry_date, CAST(coalesce(j.d, g.date) AS VARCHAR) AS exit_date, CAST(g.bars AS INT) AS bars, closed, round(coalesce(j.x, g.entry) / g.entry - 1.002, 6) AS return FROM g LEFT JOIN j ON j.ticker = g.ticker AND j.date = g.date AND j.k = g.bars""")
+def portfolio_exits(spark, sf_dir):
+    """Where each pick would be closed: the part of the simulation that needs no order of days."""
+    return shown_dates(portfolio.exits(*momentum_picks(spark, sf_dir), 5)).select("ticker", "entry_date", "exit_date", "bars", "closed", *r6("return"))
+
+
+def simulated(spark, sf_dir) -> DataFrame:
+    return portfolio.simulate(*momentum_picks(spark, sf_dir), 5)
+
+
 @query("portfolio_simulation")
 def simulation(spark, sf_dir):
-    b = bars(spark, sf_dir)
-    signals = predictions(spark, sf_dir).select(F.lit("momentum").alias("strategy"), "ticker", "date", F.col("prediction").alias("alpha"))
-    trades = portfolio.simulate(b.select("ticker", "date", "close"), portfolio.candidates(signals), 5)
-    return trades.withColumns({"entry_date": F.date_format("entry_date", "yyyy-MM-dd"), "exit_date": F.date_format("exit_date", "yyyy-MM-dd")})
+    return shown_dates(simulated(spark, sf_dir))
 
 
 @query("trade_stats")
 def trade_stats(spark, sf_dir):
-    return evaluation.trade_stats(simulation(spark, sf_dir), ["strategy"])
+    return evaluation.trade_stats(simulated(spark, sf_dir), ["strategy"])
+
+
+@query("portfolio_returns")
+def portfolio_returns(spark, sf_dir):
+    closes, picks = momentum_picks(spark, sf_dir)
+    daily = portfolio.daily_returns(closes, portfolio.simulate(closes, picks, 5))
+    return evaluation.portfolio_measures(daily, ["strategy"])
 
 
 @query("gbt_importance")

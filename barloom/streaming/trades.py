@@ -95,18 +95,27 @@ def alerts(trades: DataFrame, percent: float = 3.0, least: float = 0.01, throttl
     return trades.select("symbol", "price", "ts").groupBy("symbol").applyInPandas(run, ALERT)
 
 
-def alert_stream(trades: DataFrame, percent: float = 3.0, least: float = 0.01, throttle: int = 1800) -> DataFrame:
-    """The same on a stream: baseline, last look and last alert are kept for each symbol between batches."""
+def alert_stream(trades: DataFrame, percent: float = 3.0, least: float = 0.01, throttle: int = 1800, late: str = "1 hour", idle: int = 172_800) -> DataFrame:
+    """The same on a stream: baseline, last look and last alert are kept for each symbol between batches.
+
+    Trades later than ``late`` are left out. A symbol without trades for ``idle`` seconds of event time is forgotten, so
+    that state holds what is traded and not all that ever was; its next price is a baseline anew.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         old = state.get if state.exists else None
         old = old and tuple(None if x is None or x != x else x for x in old)
         out, new = _alerts(rows.itertuples(), old, percent, least, throttle)
         state.update(tuple(new))
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + idle * 1000)
         yield pd.DataFrame(out, columns=["symbol", "price", "baseline", "change_pct", "ts"])
 
-    return trades.select("symbol", "price", "ts").groupBy("symbol").applyInPandasWithState(run, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
+    known = trades.where("ts IS NOT NULL").withWatermark("ts", late).select("symbol", "price", "ts", F.unix_millis("ts").alias("ms"))
+    return known.groupBy("symbol").applyInPandasWithState(run, ALERT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
