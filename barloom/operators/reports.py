@@ -137,12 +137,20 @@ def technical_summary(rsi: Column, macd: Column, short: Column, long: Column) ->
     return F.coalesce(bands(ratio(up, up + down) * 100, [(70, "Strong Buy"), (55, "Buy"), (45, "Neutral"), (30, "Sell")], "Strong Sell"), F.lit("Neutral"))
 
 
-def session_of(ts: Column) -> Column:
-    """Trading session in New York: before 4, pre-market to 9:30, regular to 16, after hours to 20. Weekends are closed."""
+#: Days on which the exchange in New York is closed besides weekends.
+HOLIDAYS = (
+    "2025-01-01", "2025-01-20", "2025-02-17", "2025-04-18", "2025-05-26", "2025-06-19", "2025-07-04", "2025-09-01", "2025-11-27", "2025-12-25",
+    "2026-01-01", "2026-01-19", "2026-02-16", "2026-04-03", "2026-05-25", "2026-06-19", "2026-07-03", "2026-09-07", "2026-11-26", "2026-12-25",
+)
+
+
+def session_of(ts: Column, holidays: tuple[str, ...] = HOLIDAYS) -> Column:
+    """Trading session in New York: before 4, pre-market to 9:30, regular to 16, after hours to 20. Weekends and holidays are closed; other years' holidays are the caller's to give."""
     local = F.from_utc_timestamp(ts, "America/New_York")
     minute = F.hour(local) * 60 + F.minute(local)
     open_ = F.when((minute >= 240) & (minute < 570), "pre").when((minute >= 570) & (minute < 960), "regular").when((minute >= 960) & (minute < 1200), "after").otherwise("closed")
-    return F.when(F.weekday(local) >= 5, "closed").otherwise(open_)
+    shut = F.weekday(local) >= 5
+    return F.when(shut | F.date_format(local, "yyyy-MM-dd").isin(*holidays) if holidays else shut, "closed").otherwise(open_)
 
 
 def watch_summary(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.operators import gauges, modelling, prices
+from barloom.operators import gauges, modelling, prices, reports
 from barloom.plans.adapters import _monthly, as_text, monthly, r6
 from barloom.plans.market import BRANDS, OVER, RETURNS
 from barloom.plans.more import HITS, SCORED, hit_counts, scored
@@ -219,3 +219,11 @@ def blob_range(spark, sf_dir):
     entry = F.struct(F.date_format("date", "yyyy-MM-dd"), "close")
     blobs = bars(spark, sf_dir).groupBy("ticker").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("blob"))
     return gauges.blob_range(blobs, "blob", "1996-01-01", "1997-06-30").select("ticker", "date", "value")
+
+
+@query("holiday_sessions", """WITH l AS (SELECT event_id, ((ts + INTERVAL 366 DAY) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM events), m AS (SELECT event_id, t, hour(t) * 60 + minute(t) AS m FROM l)
+SELECT event_id, CASE WHEN isodow(t) >= 6 OR CAST(t AS DATE) IN (DATE '2025-01-01', DATE '2025-01-20', DATE '2025-02-17') THEN 'closed' WHEN m >= 240 AND m < 570 THEN 'pre' WHEN m >= 570 AND m < 960 THEN 'regular' WHEN m >= 960 AND m < 1200 THEN 'after' ELSE 'closed' END AS session FROM m""")
+def holiday_sessions(spark, sf_dir):
+    """The events of January 2024 as if they were of January 2025, which has two holidays."""
+    later = F.col("ts").cast("timestamp") + F.expr("interval 366 days")
+    return table(spark, sf_dir, "events").select("event_id", reports.session_of(later).alias("session"))

@@ -1,10 +1,11 @@
 """Gates, weights and calibration on hand-made cases, as the driver's tables don't reach each of their limits."""
 
+import datetime as dt
 import math
 
 from pyspark.sql import functions as F
 
-from barloom.operators import gauges
+from barloom.operators import gauges, reports
 
 
 def test_gates_and_weights(spark):
@@ -53,3 +54,10 @@ def test_sessions_wrap(spark):
     name, share = gauges.session_position(F.col("m"))
     got = [(r.n, round(r.s, 4)) for r in spark.createDataFrame([(239,), (240,), (765,), (1199,), (1200,), (0,)], "m int").coalesce(1).select(name.alias("n"), share.alias("s")).collect()]
     assert got == [("overnight", 0.9979), ("pre", 0.0), ("regular", 0.5), ("after", 0.9958), ("overnight", 0.0), ("overnight", 0.5)]
+
+
+def test_holidays_are_closed(spark):
+    """Noon in New York on Martin Luther King's day, a day later, a weekend; and without holidays."""
+    df = spark.createDataFrame([(dt.datetime(2025, 1, 20, 17),), (dt.datetime(2025, 1, 21, 17),), (dt.datetime(2025, 1, 25, 17),)], "t timestamp").coalesce(1)
+    got = df.select(reports.session_of(F.col("t")).alias("a"), reports.session_of(F.col("t"), ()).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("closed", "regular"), ("regular", "regular"), ("closed", "closed")]
