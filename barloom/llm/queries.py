@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import langid, lm, mixing, order_minhash, pieces, pii, quality, secret_scan, simhash, urls
+from barloom.llm import collocations, filter_audit, langid, line_dedup, lm, mixing, order_minhash, pieces, pii, quality, secret_scan, simhash, urls
 from barloom.llm.shared import table
 
 
@@ -70,5 +70,18 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op8_lm_scoring": op8_lm_scoring, "op9_mixing": op9_mixing, "op10_order_minhash": op10_order_minhash}
-ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_simhash": op5_simhash, "op6_secret_scans": op6_secret_scans, "op7_url_filters": op7_url_filters, "op8_lm_scoring": op8_lm_scoring, "op9_mixing": op9_mixing, "op10_order_minhash": op10_order_minhash, "op11_filter_audit": op11_filter_audit, "op12_line_dedup": op12_line_dedup, "op13_collocations": op13_collocations}
+ORACLES = {"op3_quality_rules": quality.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_collocations": collocations.ORACLE}
