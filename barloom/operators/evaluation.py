@@ -114,7 +114,7 @@ def trade_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
     years = F.greatest(F.lit(1.0), F.datediff(F.max("exit_date"), F.min("entry_date")) / 365.25)
     return trades.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("return").alias("mean"), F.median("return").alias("median"), F.avg(F.when(F.col("return") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
-        F.avg("bars").alias("bars"), (F.count("*") / years).alias("per_year"))
+        F.avg("bars_held").alias("bars"), (F.count("*") / years).alias("per_year"))
 
 
 def residual_bands(df: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:

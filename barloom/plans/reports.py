@@ -160,32 +160,41 @@ def best_window(spark, sf_dir):
     return modelling.best_window(e, ["user_id"])
 
 
-def momentum_picks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Closes, and the picks by momentum."""
-    signals = predictions(spark, sf_dir).select(F.lit("momentum").alias("strategy"), "ticker", "date", F.col("prediction").alias("alpha"))
-    return bars(spark, sf_dir).select("ticker", "date", "close"), portfolio.candidates(signals)
+def momentum_signals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Closes, and the signals of momentum."""
+    signals = predictions(spark, sf_dir).select(F.lit("momentum").alias("strategy"), "ticker", "date", "prediction")
+    return bars(spark, sf_dir).select("ticker", "date", "close"), signals
 
 
-def shown_dates(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("entry_date", "exit_date")})
+HOLD, SLOTS = 5, 10
+#: Days of the simulation, numbered; the last close up to each of them; picks and where they would be closed.
+SIMULATED = PRED + """, n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS r, count(*) OVER () AS c FROM (SELECT DISTINCT date FROM p)), days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM n WHERE r >= floor(c * 0.8)),
+mk AS (SELECT t.ticker, t.i, q.close FROM (SELECT ticker, i, date FROM (SELECT DISTINCT ticker FROM p), days) t ASOF JOIN (SELECT ticker, date, close FROM p WHERE close > 0) q ON q.ticker = t.ticker AND q.date <= t.date),
+k AS (SELECT *, count(*) OVER d AS n, row_number() OVER (PARTITION BY date ORDER BY prediction DESC, ticker) AS place FROM e WINDOW d AS (PARTITION BY date)),
+c AS (SELECT k.ticker, days.i, place, p.close AS entry FROM k JOIN days USING (date) JOIN p ON p.ticker = k.ticker AND p.date = k.date WHERE place <= 20 AND prediction > 0),
+x AS (SELECT c.ticker, c.i, place, entry, min(mk.i - c.i) FILTER (ln(mk.close / entry) <= -0.05 OR mk.i - c.i >= 5) AS k FROM c LEFT JOIN mk ON mk.ticker = c.ticker AND mk.i BETWEEN c.i + 1 AND c.i + 5 GROUP BY ALL)"""
 
 
-@query("portfolio_exits", PRED + """, k AS (SELECT *, count(*) OVER d AS n, row_number() OVER (PARTITION BY date ORDER BY prediction DESC, ticker) AS place FROM e WINDOW d AS (PARTITION BY date)), c AS (SELECT ticker, date, place FROM k WHERE place <= greatest(1, floor(n * 0.2)) AND prediction > 0),
-i AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM p), j AS (SELECT c.ticker, c.date, c.place, a.close AS entry, a.i AS a, b.i - a.i AS k, b.date AS d, b.close AS x FROM c JOIN i a ON a.ticker = c.ticker AND a.date = c.date LEFT JOIN i b ON b.ticker = c.ticker AND b.i BETWEEN a.i + 1 AND a.i + 5),
-g AS (SELECT ticker, date, place, entry, coalesce(min(k) FILTER (x / entry - 1 <= -0.05), max(k), 0) AS bars, count(*) FILTER (x / entry - 1 <= -0.05) > 0 OR coalesce(max(k), 0) >= 5 AS closed FROM j GROUP BY ALL)
-SELECT g.ticker, CAST(g.date AS VARCHAR) AS entry_date, CAST(coalesce(j.d, g.date) AS VARCHAR) AS exit_date, CAST(g.bars AS INT) AS bars, closed, round(coalesce(j.x, g.entry) / g.entry - 1.002, 6) AS return FROM g LEFT JOIN j ON j.ticker = g.ticker AND j.date = g.date AND j.k = g.bars""")
+@query("portfolio_exits", SIMULATED + """ SELECT x.ticker, CAST(a.date AS VARCHAR) AS entry_date, CAST(b.date AS VARCHAR) AS exit_date, CAST(k AS INT) AS bars, k IS NOT NULL AS closed, round(ln(mk.close / entry), 6) + 0.0::DOUBLE AS return
+FROM x JOIN days a ON a.i = x.i LEFT JOIN days b ON b.i = x.i + k LEFT JOIN mk ON mk.ticker = x.ticker AND mk.i = x.i + k""")
 def portfolio_exits(spark, sf_dir):
     """Where each pick would be closed: the part of the simulation that needs no order of days."""
-    return shown_dates(portfolio.exits(*momentum_picks(spark, sf_dir), 5)).select("ticker", "entry_date", "exit_date", "bars", "closed", *r6("return"))
+    closes, signals = momentum_signals(spark, sf_dir)
+    days = portfolio.trading_days(closes)
+    day = lambda name: days.select(F.date_format("date", "yyyy-MM-dd").alias(name), F.col("i").alias(f"_{name}"))
+    found = portfolio.exits(closes, signals, HOLD, SLOTS).withColumn("_exit_date", F.col("i") + F.col("k")).withColumn("_entry_date", F.col("i"))
+    found = found.join(day("entry_date"), "_entry_date").join(day("exit_date"), "_exit_date", "left")
+    return found.select("ticker", "entry_date", "exit_date", F.col("k").alias("bars"), "closed", F.round(F.ln(F.col("exit_price") / F.col("entry_price")), 6).alias("return"))
 
 
 def simulated(spark, sf_dir) -> DataFrame:
-    return portfolio.simulate(*momentum_picks(spark, sf_dir), 5)
+    closes, signals = momentum_signals(spark, sf_dir)
+    return portfolio.trades(closes, portfolio.positions(closes, signals, HOLD, SLOTS), market(bars(spark, sf_dir)))
 
 
 @query("portfolio_simulation")
 def simulation(spark, sf_dir):
-    return shown_dates(simulated(spark, sf_dir))
+    return simulated(spark, sf_dir).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("entry_date", "exit_date")})
 
 
 @query("trade_stats")
@@ -195,8 +204,8 @@ def trade_stats(spark, sf_dir):
 
 @query("portfolio_returns")
 def portfolio_returns(spark, sf_dir):
-    closes, picks = momentum_picks(spark, sf_dir)
-    daily = portfolio.daily_returns(closes, portfolio.simulate(closes, picks, 5))
+    closes, signals = momentum_signals(spark, sf_dir)
+    daily = portfolio.daily_returns(closes, portfolio.positions(closes, signals, HOLD, SLOTS), market(bars(spark, sf_dir)))
     return evaluation.portfolio_measures(daily, ["strategy"])
 
 
