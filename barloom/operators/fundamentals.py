@@ -87,33 +87,76 @@ def recent_filings(f: DataFrame, forms: tuple[str, ...] = FORMS, n: int = 10) ->
     return each.withColumn("_n", F.row_number().over(W.partitionBy("symbol").orderBy("place"))).where(F.col("_n") <= n).drop("_n")
 
 
+#: Share of revenue that segments may leave unexplained.
+UNSEGMENTED = 0.05
+#: The kinds of nodes, other than segments.
+KINDS = {
+    "Total Revenue": "revenue", "Other Revenue": "revenue", "Other/Interest Income": "revenue", "Cost of Revenue": "expense", "Operating Expenses": "expense", "R&D": "expense", "SG&A": "expense",
+    "Other OpEx": "expense", "Other/Interest Expense": "expense", "Gross Profit": "profit", "Operating Income": "profit", "Income Before Tax": "profit", "Net Income": "profit", "Taxes": "tax",
+}
+#: Nodes that a statement has even where nothing flows.
+ALWAYS = ("Total Revenue", "Cost of Revenue", "Gross Profit", "Operating Expenses", "Operating Income", "Income Before Tax", "Net Income")
+
+
+def flow_amounts(statements: DataFrame) -> DataFrame:
+    """Income statements -> (symbol, segments, other, and the amounts of the flow), none below zero but ``other``.
+
+    Columns that a statement lacks are 0; ``segments`` is a map of names and revenue. Gross profit and cost are each what the
+    other leaves of revenue, or come from the gross profit ratio. Operating income is no more than gross profit less operating expenses.
+    """
+    have = set(statements.columns)
+    raw = lambda x: fill(F.col(x).cast("double"), 0.0) if x in have else F.lit(0.0)
+    c = lambda x: F.greatest(raw(x), F.lit(0.0))
+    rest = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0.0))
+    segments = F.col("segments") if "segments" in have else F.lit(None).cast("map<string,double>")
+    s = statements.select("symbol", segments.alias("segments"), c("revenue").alias("rev"), c("costOfRevenue").alias("cost"), c("grossProfit").alias("gp"), raw("grossProfitRatio").alias("ratio"), c("operatingExpenses").alias("opex"), c("researchAndDevelopmentExpenses").alias("rd"),
+                          c("sellingGeneralAndAdministrativeExpenses").alias("sga"), c("operatingIncome").alias("told"), raw("totalOtherIncomeExpensesNet").alias("other"), c("incomeBeforeTax").alias("before_tax"), c("incomeTaxExpense").alias("tax"), c("netIncome").alias("net"))
+    some = F.col("rev") > 0
+    s = s.withColumn("gp", F.when((F.col("gp") <= 0) & some & (F.col("cost") > 0), rest("rev", "cost")).otherwise(F.col("gp")))
+    s = s.withColumn("cost", F.when((F.col("cost") <= 0) & some & (F.col("gp") > 0), rest("rev", "gp")).otherwise(F.col("cost")))
+    by_ratio = (F.col("gp") <= 0) & some & (F.col("ratio") > 0)
+    s = s.withColumns({"gp": F.when(by_ratio, F.col("rev") * F.col("ratio")).otherwise(F.col("gp")), "cost": F.when(by_ratio & (F.col("cost") <= 0), F.greatest(F.col("rev") * (1 - F.col("ratio")), F.lit(0.0))).otherwise(F.col("cost"))})
+    s = s.withColumns({"op": F.least("told", rest("gp", "opex")), "rest": F.greatest(F.col("opex") - F.col("rd") - F.col("sga"), F.lit(0.0))})
+    left = rest("op", "paid")  # of operating income behind other expense
+    s = s.withColumn("paid", F.greatest(-F.col("other"), F.lit(0.0))).withColumn("to_tax", F.when(F.col("before_tax") > 0, F.least(left, "before_tax")).otherwise(left))
+    return s.withColumn("kept", F.when(F.col("before_tax") > 0, F.least("net", "before_tax")).otherwise(F.col("net")))
+
+
 def flow_links(statements: DataFrame) -> DataFrame:
     """Income statements -> (symbol, source, target, value) with values above zero.
 
-    Missing cost or gross profit is what the other leaves of revenue. What operating expenses leave unexplained by more
-    than 5 % is "Other". Parts don't exceed what they come from.
+    Segments flow into revenue; what they leave of it is "Other Revenue" if it is more than ``UNSEGMENTED`` of it. A statement without
+    segments has one source. Other income joins operating income before tax, other expense leaves it.
     """
-    c = lambda x: F.greatest(fill(x, 0.0), F.lit(0.0))
-    s = statements.withColumns({"_rev": c("revenue"), "_gp": F.coalesce("grossProfit", F.col("revenue") - F.col("costOfRevenue")), "_cost": F.coalesce("costOfRevenue", F.col("revenue") - F.col("grossProfit"))})
-    s = s.withColumns({"_gp": F.least(c("_gp"), F.col("_rev")), "_cost": F.least(c("_cost"), F.col("_rev")), "_op": c("operatingIncome"), "_rd": c("researchAndDevelopmentExpenses"), "_sga": c("sellingGeneralAndAdministrativeExpenses")})
-    s = s.withColumn("_opex", F.coalesce("operatingExpenses", F.col("_gp") - F.col("_op"))).withColumn("_opex", F.least(c("_opex"), F.col("_gp")))
-    s = s.withColumn("_rest", F.greatest(F.col("_opex") - F.col("_rd") - F.col("_sga"), F.lit(0.0)))
+    s = flow_amounts(statements)
     link = lambda a, b, v: F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), v.cast("double").alias("value"))
-    links = F.array(
-        link("Revenue", "Cost of Revenue", F.col("_cost")), link("Revenue", "Gross Profit", F.col("_gp")),
-        link("Gross Profit", "Operating Expenses", F.col("_opex")), link("Gross Profit", "Operating Income", F.least("_op", "_gp")),
-        link("Operating Expenses", "R&D", F.least("_rd", "_opex")), link("Operating Expenses", "SG&A", F.least("_sga", "_opex")),
-        link("Operating Expenses", "Other", F.when(F.col("_rest") > 0.05 * F.col("_opex"), F.col("_rest"))),
-        link("Operating Income", "Tax", F.least(c("incomeTaxExpense"), F.col("_op"))), link("Operating Income", "Net Income", F.least(c("netIncome"), F.col("_op"))),
+    c = F.col
+    segments = F.filter(F.map_entries("segments"), lambda e: e["value"] > 0)
+    total = F.aggregate(segments, F.lit(0.0), lambda a, e: a + e["value"])
+    name = lambda e: F.trim(F.regexp_replace(e["key"], "^(.*?) Segment", "$1"))
+    other = F.when(c("rev") - total > UNSEGMENTED * c("rev"), c("rev") - total)
+    into = F.when(F.size("segments") > 0, F.concat(F.transform(segments, lambda e: F.struct(name(e).alias("source"), F.lit("Total Revenue").alias("target"), e["value"].alias("value"))), F.array(link("Other Revenue", "Total Revenue", other))))
+    links = F.concat(
+        F.coalesce(into, F.array(link("Sales/Operations", "Total Revenue", c("rev")))),
+        F.array(
+            link("Total Revenue", "Cost of Revenue", c("cost")), link("Total Revenue", "Gross Profit", c("gp")), link("Gross Profit", "Operating Expenses", c("opex")),
+            link("Operating Expenses", "R&D", c("rd")), link("Operating Expenses", "SG&A", c("sga")), link("Operating Expenses", "Other OpEx", c("rest")),
+            link("Gross Profit", "Operating Income", c("op")), link("Operating Income", "Other/Interest Expense", c("paid")), link("Other/Interest Income", "Income Before Tax", c("other")),
+            link("Operating Income", "Income Before Tax", c("to_tax")), link("Income Before Tax", "Taxes", c("tax")), link("Income Before Tax", "Net Income", c("kept")),
+        ),
     )
     return s.select("symbol", F.explode(links).alias("l")).select("symbol", "l.*").where("value > 0")
 
 
-def flow_nodes(links: DataFrame) -> DataFrame:
-    """(symbol, node, value): what flows in, else what flows out."""
-    into = links.groupBy("symbol", F.col("target").alias("node")).agg(F.sum("value").alias("_in"))
-    out = links.groupBy("symbol", F.col("source").alias("node")).agg(F.sum("value").alias("_out"))
-    return into.join(out, ["symbol", "node"], "full_outer").select("symbol", "node", F.coalesce("_in", "_out").alias("value"))
+def flow_nodes(statements: DataFrame) -> DataFrame:
+    """Income statements -> (symbol, node, kind, value): what flows in, else what flows out; revenue and gross profit as stated."""
+    links = flow_links(statements)
+    ends = links.select("symbol", F.inline(F.array(F.struct(F.col("target").alias("node"), F.col("value").alias("_in"), F.lit(None).cast("double").alias("_out")), F.struct(F.col("source").alias("node"), F.lit(None).cast("double").alias("_in"), F.col("value").alias("_out")))))
+    fixed = F.array(*[F.struct(F.lit(n).alias("node"), (F.col("rev") if n == "Total Revenue" else F.col("gp") if n == "Gross Profit" else F.lit(None).cast("double")).alias("_told")) for n in ALWAYS])
+    told = flow_amounts(statements).select("symbol", F.inline(fixed))
+    every = ends.unionByName(told, allowMissingColumns=True).groupBy("symbol", "node").agg(F.max("_told").alias("_told"), F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("node")), F.lit("segment"))
+    return every.select("symbol", "node", kind.alias("kind"), F.coalesce("_told", "_in", "_out", F.lit(0.0)).alias("value"))
 
 
 def node_kinds(links: DataFrame, total: str = "Revenue") -> DataFrame:

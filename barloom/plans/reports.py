@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions import columns, text
-from barloom.functions.columns import gaussian_cdf, ratio, ticker_id
+from barloom.functions.columns import clip, gaussian_cdf, ratio, ticker_id
 from barloom.functions.windows import rolling
 from barloom.operators import evaluation, fundamentals, modelling, news, portfolio, prices, reports
 from barloom.plans.adapters import as_text, r6
@@ -86,11 +86,20 @@ def psi(spark, sf_dir):
     return evaluation.stability(e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0"), "x").select(*r6("psi"))
 
 
-@query("drift_split", PRED + """, s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) <= floor(count(*) OVER (PARTITION BY ticker) * 2 / 3) AS base, CASE WHEN sign(prediction) = sign(realised) THEN 1.0 ELSE 0.0 END AS hit FROM e),
-g AS (SELECT ticker, CASE WHEN count(*) FILTER (base) > 5 THEN avg(hit) FILTER (base) END AS ba, CASE WHEN count(*) FILTER (NOT base) > 5 THEN avg(hit) FILTER (NOT base) END AS ra, avg(abs(prediction)) FILTER (base) AS bs, avg(abs(prediction)) FILTER (NOT base) AS rs FROM s GROUP BY ticker)
-SELECT ticker, round(ba, 6) AS base_accuracy, round(ra, 6) AS recent_accuracy, round(bs, 6) AS base_size, round(rs, 6) AS recent_size, CASE WHEN ba - ra > 0.1 THEN 'degraded' WHEN ra < 0.48 THEN 'weak' WHEN rs > 1.3 * bs THEN 'shifted' ELSE 'stable' END AS status FROM g""")
+@query("drift_split", PRED + """, z AS (SELECT max(date) AS e FROM e), s AS (SELECT e.*, least(0.99, greatest(0.01, 0.5 + prediction)) AS pr, date < z.e - 720 + 480 AS base, CASE WHEN sign(prediction) = sign(realised) THEN 1.0::DOUBLE ELSE 0 END AS hit FROM e, z WHERE date >= z.e - 750),
+q AS (SELECT ticker, quantile_cont(prediction, [.1, .2, .3, .4, .5, .6, .7, .8, .9]) FILTER (base) AS edges, count(*) FILTER (base) AS nb, count(*) FILTER (NOT base) AS nr FROM s GROUP BY 1),
+c AS (SELECT ticker, len(list_filter(edges, lambda v: v <= prediction)) AS bin, count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS r FROM s JOIN q USING (ticker) GROUP BY 1, 2),
+n AS (SELECT q.ticker, nb, nr, g.bin, coalesce(b, 0) + 1e-6::DOUBLE AS b, coalesce(r, 0) + 1e-6::DOUBLE AS r FROM q, (SELECT unnest(range(10)) AS bin) g LEFT JOIN c ON c.ticker = q.ticker AND c.bin = g.bin),
+i AS (SELECT ticker, CASE WHEN nb >= 10 AND nr >= 10 THEN sum((r / tr - b / tb) * ln(r / tr / (b / tb))) END AS psi FROM (SELECT *, sum(r) OVER (PARTITION BY ticker) AS tr, sum(b) OVER (PARTITION BY ticker) AS tb FROM n) GROUP BY ticker, nb, nr),
+g AS (SELECT ticker, count(*) AS n, avg(hit) AS acc, CASE WHEN count(*) FILTER (base) > 5 THEN avg(hit) FILTER (base) END AS ba, CASE WHEN count(*) FILTER (NOT base) > 5 THEN avg(hit) FILTER (NOT base) END AS ra, avg(abs(prediction)) FILTER (base) AS bs, avg(abs(prediction)) FILTER (NOT base) AS rs,
+ avg((pr - (realised > 0)::INT) ** 2) AS brier, CASE WHEN count(*) FILTER (base) > 5 THEN avg((pr - (realised > 0)::INT) ** 2) FILTER (base) END AS bb, CASE WHEN count(*) FILTER (NOT base) > 5 THEN avg((pr - (realised > 0)::INT) ** 2) FILTER (NOT base) END AS rb FROM s GROUP BY ticker)
+SELECT ticker, n, round(psi, 6) AS psi, round(acc, 6) AS accuracy, round(ba, 6) AS base_accuracy, round(ra, 6) AS recent_accuracy, round(brier, 6) AS brier, round(bb, 6) AS base_brier, round(rb, 6) AS recent_brier, round(bs, 6) AS base_size, round(rs, 6) AS recent_size,
+ CASE WHEN n < 10 THEN 'insufficient_data' WHEN psi > 0.25 OR ra < 0.48 OR rb > 1.3 * bb THEN 'WARNING' ELSE 'OK' END AS status,
+ concat_ws(',', CASE WHEN psi > 0.25 THEN 'high psi' WHEN psi > 0.1 THEN 'moderate psi' END, CASE WHEN ra < 0.48 THEN 'accuracy' END, CASE WHEN rb > 1.3 * bb THEN 'brier' END) AS alerts FROM g LEFT JOIN i USING (ticker)""")
 def drift(spark, sf_dir):
-    return evaluation.drift(predictions(spark, sf_dir), ["ticker"], "date").select("ticker", *r6("base_accuracy", "recent_accuracy", "base_size", "recent_size"), "status")
+    df = predictions(spark, sf_dir).withColumn("p", clip(0.5 + F.col("prediction"), 0.01, 0.99))
+    out = evaluation.drift(df, ["ticker"], "date", 720).withColumn("alerts", F.array_join("alerts", ","))
+    return out.select("ticker", "n", *r6("psi", "accuracy", "base_accuracy", "recent_accuracy", "brier", "base_brier", "recent_brier", "base_size", "recent_size"), "status", "alerts")
 
 
 @query("rolling_accuracy", PRED + f", h AS (SELECT *, CASE WHEN sign(prediction) = sign(realised) THEN 1.0 ELSE 0.0 END AS hit FROM e) SELECT ticker, CAST(date AS VARCHAR) AS date, round({rolled('avg({})', 'hit', 14, 5)}, 6) AS rolling_accuracy FROM h")
@@ -392,19 +401,33 @@ def watch_alerts(spark, sf_dir):
 
 
 def statements(spark, sf_dir) -> DataFrame:
-    """Nations as companies: sums of their orders by status as lines of an income statement."""
+    """Nations as companies: sums of their orders as lines of an income statement, by priority as segments of three in four."""
     o, c, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     met = o.join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")), "o_custkey").join(n.select("n_nationkey", F.col("n_name").alias("symbol")), "n_nationkey")
     part = lambda k: F.sum(F.when(F.col("o_orderkey") % 10 < k, F.col("o_totalprice")))
-    null = F.lit(None).cast("double")
-    return met.groupBy("symbol").agg(F.sum("o_totalprice").alias("revenue"), part(6).alias("costOfRevenue"), part(2).alias("operatingExpenses"), part(1).alias("researchAndDevelopmentExpenses"), (part(1) / 2).alias("sellingGeneralAndAdministrativeExpenses"), part(3).alias("operatingIncome"), (part(1) / 3).alias("incomeTaxExpense"), (part(1) / 4).alias("netIncome")).withColumn("grossProfit", null)
-
-
-FLOWS = """WITH s AS (SELECT n_name AS symbol, sum(o_totalprice) AS rev, coalesce(sum(o_totalprice) FILTER (o_orderkey % 10 < 6), 0) AS c6, coalesce(sum(o_totalprice) FILTER (o_orderkey % 10 < 2), 0) AS c2, coalesce(sum(o_totalprice) FILTER (o_orderkey % 10 < 1), 0) AS c1, coalesce(sum(o_totalprice) FILTER (o_orderkey % 10 < 3), 0) AS c3,
- sum(o_totalprice) FILTER (o_orderkey % 10 < 6) AS k6, sum(o_totalprice) FILTER (o_orderkey % 10 < 2) AS k2 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
-g AS (SELECT *, least(rev, greatest(0, coalesce(rev - k6, 0))) AS gp, least(rev, c6) AS cost FROM s), h AS (SELECT *, least(gp, greatest(0, coalesce(k2, gp - c3))) AS opex FROM g), i AS (SELECT *, greatest(0, opex - c1 - c1 / 2) AS rest FROM h),
-l AS (SELECT symbol, unnest(['Revenue', 'Revenue', 'Gross Profit', 'Gross Profit', 'Operating Expenses', 'Operating Expenses', 'Operating Expenses', 'Operating Income', 'Operating Income']) AS source, unnest(['Cost of Revenue', 'Gross Profit', 'Operating Expenses', 'Operating Income', 'R&D', 'SG&A', 'Other', 'Tax', 'Net Income']) AS target,
- unnest([cost, gp, opex, least(c3, gp), least(c1, opex), least(c1 / 2, opex), CASE WHEN rest > 0.05 * opex THEN rest END, least(c1 / 3, c3), least(c1 / 4, c3)]) AS value FROM i), f AS (SELECT * FROM l WHERE value > 0)"""
+    key = F.col("n_nationkey")
+    lines = met.groupBy("symbol", "n_nationkey").agg(F.sum("o_totalprice").alias("revenue"), part(6).alias("costOfRevenue"), part(2).alias("operatingExpenses"), part(1).alias("researchAndDevelopmentExpenses"), (part(1) / 2).alias("sellingGeneralAndAdministrativeExpenses"), part(3).alias("operatingIncome"), (part(1) / 3).alias("incomeTaxExpense"), (part(1) / 4).alias("netIncome"))
+    lines = lines.withColumns({"totalOtherIncomeExpensesNet": (key % 3 - 1) * F.col("netIncome"), "incomeBeforeTax": F.when(key % 2 == 0, F.col("operatingExpenses") / 3), "grossProfit": F.lit(None).cast("double")})
+    each = met.where((key % 4 != 0) & (F.col("o_orderpriority") < "5")).groupBy("symbol", F.concat("o_orderpriority", F.lit(" Segment")).alias("k")).agg(F.sum("o_totalprice").alias("v"))
+    return lines.join(each.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("segments")), "symbol", "left").drop("n_nationkey")
+
+
+FLOWS = """WITH j AS (SELECT n_name AS symbol, n_nationkey AS k, o_orderkey % 10 AS d, o_totalprice AS v, o_orderpriority AS pr FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT symbol, k, sum(v) AS rev, coalesce(sum(v) FILTER (d < 6), 0) AS c6, coalesce(sum(v) FILTER (d < 2), 0) AS opex, coalesce(sum(v) FILTER (d < 1), 0) AS c1, coalesce(sum(v) FILTER (d < 3), 0) AS c3 FROM j GROUP BY ALL),
+g AS (SELECT *, CASE WHEN c6 > 0 THEN greatest(0, rev - c6) ELSE 0 END AS gp, (k % 3 - 1) * c1 / 4 AS other, CASE WHEN k % 2 = 0 THEN opex / 3 ELSE 0 END AS ibt FROM s),
+h AS (SELECT *, least(c3, greatest(0, gp - opex)) AS op FROM g), r AS (SELECT *, greatest(0, op - greatest(0, -other)) AS remaining FROM h),
+seg AS (SELECT symbol, pr AS source, sum(v) AS value FROM j WHERE k % 4 <> 0 AND pr < '5' GROUP BY ALL),
+l AS (SELECT symbol, source, 'Total Revenue' AS target, value FROM seg
+ UNION ALL SELECT symbol, 'Other Revenue', 'Total Revenue', rev - t FROM s JOIN (SELECT symbol, sum(value) AS t FROM seg GROUP BY 1) USING (symbol) WHERE rev - t > rev * 0.05
+ UNION ALL SELECT symbol, 'Sales/Operations', 'Total Revenue', rev FROM s WHERE symbol NOT IN (SELECT symbol FROM seg)
+ UNION ALL SELECT symbol, 'Total Revenue', 'Cost of Revenue', c6 FROM r UNION ALL SELECT symbol, 'Total Revenue', 'Gross Profit', gp FROM r
+ UNION ALL SELECT symbol, 'Gross Profit', 'Operating Expenses', opex FROM r UNION ALL SELECT symbol, 'Operating Expenses', 'R&D', c1 FROM r
+ UNION ALL SELECT symbol, 'Operating Expenses', 'SG&A', c1 / 2 FROM r UNION ALL SELECT symbol, 'Operating Expenses', 'Other OpEx', opex - c1 * 1.5 FROM r
+ UNION ALL SELECT symbol, 'Gross Profit', 'Operating Income', op FROM r UNION ALL SELECT symbol, 'Operating Income', 'Other/Interest Expense', -other FROM r
+ UNION ALL SELECT symbol, 'Other/Interest Income', 'Income Before Tax', other FROM r
+ UNION ALL SELECT symbol, 'Operating Income', 'Income Before Tax', CASE WHEN ibt > 0 THEN least(remaining, ibt) ELSE remaining END FROM r
+ UNION ALL SELECT symbol, 'Income Before Tax', 'Taxes', c1 / 3 FROM r UNION ALL SELECT symbol, 'Income Before Tax', 'Net Income', CASE WHEN ibt > 0 THEN least(c1 / 4, ibt) ELSE c1 / 4 END FROM r),
+f AS (SELECT * FROM l WHERE value > 0)"""
 
 
 @query("sankey_links", FLOWS + " SELECT symbol, source, target, round(value, 4) AS value FROM f")
@@ -412,9 +435,13 @@ def sankey_links(spark, sf_dir):
     return fundamentals.flow_links(statements(spark, sf_dir)).withColumn("value", F.round("value", 4))
 
 
-@query("sankey_nodes", FLOWS + ", a AS (SELECT symbol, target AS node, sum(value) AS v FROM f GROUP BY 1, 2), b AS (SELECT symbol, source AS node, sum(value) AS v FROM f GROUP BY 1, 2) SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.node, b.node) AS node, round(coalesce(a.v, b.v), 4) AS value FROM a FULL JOIN b ON a.symbol = b.symbol AND a.node = b.node")
+@query("sankey_nodes", FLOWS + """, a AS (SELECT symbol, target AS node, sum(value) AS v FROM f GROUP BY 1, 2), b AS (SELECT symbol, source AS node, sum(value) AS v FROM f GROUP BY 1, 2),
+t AS (SELECT symbol, unnest(['Total Revenue', 'Cost of Revenue', 'Gross Profit', 'Operating Expenses', 'Operating Income', 'Income Before Tax', 'Net Income']) AS node, unnest([rev, NULL, gp, NULL, NULL, NULL, NULL]) AS told FROM r),
+n AS (SELECT symbol, node FROM a UNION SELECT symbol, node FROM b UNION SELECT symbol, node FROM t)
+SELECT symbol, node, CASE WHEN node IN ('Total Revenue', 'Other Revenue', 'Other/Interest Income') THEN 'revenue' WHEN node IN ('Gross Profit', 'Operating Income', 'Income Before Tax', 'Net Income') THEN 'profit' WHEN node = 'Taxes' THEN 'tax'
+ WHEN node IN ('Cost of Revenue', 'Operating Expenses', 'R&D', 'SG&A', 'Other OpEx', 'Other/Interest Expense') THEN 'expense' ELSE 'segment' END AS kind, round(coalesce(told, a.v, b.v, 0), 4) AS value FROM n LEFT JOIN t USING (symbol, node) LEFT JOIN a USING (symbol, node) LEFT JOIN b USING (symbol, node)""")
 def sankey_nodes(spark, sf_dir):
-    return fundamentals.flow_nodes(fundamentals.flow_links(statements(spark, sf_dir))).withColumn("value", F.round("value", 4))
+    return fundamentals.flow_nodes(statements(spark, sf_dir)).withColumn("value", F.round("value", 4))
 
 
 def quarter_values(spark, sf_dir) -> DataFrame:
