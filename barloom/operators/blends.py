@@ -15,8 +15,9 @@ from barloom.functions.columns import clip, fill, ratio
 SCORE_WEIGHTS = {"rss_news": 0.22, "marketaux": 0.18, "reddit": 0.12, "finnhub": 0.10, "finnhub_insider": 0.10, "sec": 0.10, "fmp": 0.10, "finviz": 0.08}
 CONFIDENCE_WEIGHTS = {"rss_news": 0.22, "marketaux": 0.15, "reddit": 0.10, "finnhub": 0.10, "sec": 0.10, "fmp": 0.08, "finviz": 0.05}
 UNKNOWN_WEIGHT = 0.03
-#: Sources whose volume counts no articles.
-NOT_ARTICLES = ("finnhub", "short_interest", "economic_event")
+#: Sources whose volume counts articles, and those that don't count as sources.
+ARTICLES = ("rss_news", "marketaux", "finviz")
+NO_SOURCES = ("economic_event", "short_interest")
 
 
 def weight_of(source: Column, weights: dict[str, float], unknown: float = 0.0) -> Column:
@@ -37,11 +38,14 @@ def blended_score(long: DataFrame, keys: list[str], weights: dict[str, float] =
 
 
 def blended_confidence(long: DataFrame, keys: list[str], weights: dict[str, float] = CONFIDENCE_WEIGHTS) -> DataFrame:
-    """Mean confidence of the sources that have one, by weight, their number, and the volume of all and of articles."""
+    """Mean confidence of the sources that have one, by weight; how many have one above zero; the volume of all and of articles."""
     w = weight_of(F.col("source"), weights, UNKNOWN_WEIGHT)
     volume = fill("volume", 0.0)
-    articles = F.sum(F.when(F.col("source").isin(*NOT_ARTICLES), 0.0).otherwise(volume))
-    return long.where(F.col("confidence").isNotNull()).groupBy(*keys).agg(fill(ratio(F.sum(F.col("confidence") * w), F.sum(w)), 0.0).alias("confidence"), F.count("*").alias("sources"), F.sum(volume).alias("volume"), articles.alias("articles"))
+    told = F.col("confidence").isNotNull()
+    sources = F.count_if((F.col("confidence") > 0) & ~F.col("source").isin(*NO_SOURCES))
+    articles = F.sum(F.when(F.col("source").isin(*ARTICLES), volume).otherwise(0.0))
+    mean = ratio(F.sum(F.when(told, F.col("confidence") * w)), F.sum(F.when(told, w)))
+    return long.groupBy(*keys).agg(fill(mean, 0.0).alias("confidence"), sources.alias("sources"), F.sum(volume).alias("volume"), articles.alias("articles"))
 
 
 def source_means(items: DataFrame, keys: list[str], full: float = 20) -> DataFrame:

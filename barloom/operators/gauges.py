@@ -103,10 +103,13 @@ def baselines(df: DataFrame, keys: list[str], y: str, momentum: str, horizon: in
     return df.groupBy(*keys).agg(rms(F.col(y)).alias("rmse_zero"), rms(F.col(y) - fill(momentum, 0.0)).alias("rmse_momentum"), rms(F.col(y) - F.col("_last")).alias("rmse_last"))
 
 
-def out_of_sample_start(split: DataFrame) -> DataFrame:
-    """Rows with ``part`` -> the day after the last ticker's test begins, so that no model has seen what follows."""
+def out_of_sample_start(split: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows with ``part`` -> the day after the last ticker's test begins, so that no model has seen what follows. Without any test, the last fifth of the dates."""
     firsts = split.where("part = 'test'").groupBy("ticker").agg(F.min("date").alias("first"))
-    return firsts.agg(F.date_add(F.max("first"), 1).alias("start"))
+    days = dates.select("date").distinct()
+    placed = days.select("date", F.row_number().over(W.orderBy("date")).alias("_k"), F.count("*").over(W.partitionBy()).alias("_n"))
+    fallback = placed.where(F.col("_k") - 1 == F.floor(F.col("_n") * F.lit(0.8))).agg(F.min("date").alias("_late"))
+    return firsts.agg(F.date_add(F.max("first"), 1).alias("_start")).crossJoin(F.broadcast(fallback)).select(F.coalesce("_start", "_late").alias("start"))
 
 
 def platt(df: DataFrame, score: str, label: str):

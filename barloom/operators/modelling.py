@@ -50,16 +50,21 @@ def batch_confidence(hit: Column, correlation: Column, p: Column, cap: float = 0
     return F.least(base * (0.85 + 0.4 * F.least(F.lit(1.0), F.abs(p - 0.5) / 0.15)), F.lit(cap))
 
 
-def full_confidence(hit: Column, correlation: Column, p: Column, mean: Column, deviation: Column, agree: Column, coverage: Column, stale: Column, cap: float = 0.65) -> Column:
-    """With terms for size against spread and agreement, and factors for coverage and staleness."""
+def full_confidence(hit: Column, correlation: Column, p: Column, mean: Column, deviation: Column, agree: Column, coverage: Column, stale: Column, regime: Column | None = None, vol_ratio: Column | None = None, cap: float = 0.65) -> Column:
+    """With terms for size against spread and agreement, bounded by .05 and ``cap``, then factors for coverage, staleness, a falling regime and growing volatility."""
     h, c = clip((hit - 0.5) / 0.1, 0, 1), clip(correlation / 0.2, 0, 1)
     base = (0.05 + 0.6 * (0.4 * h + 0.6 * c)) * (0.85 + 0.4 * F.least(F.lit(1.0), F.abs(p - 0.5) / 0.15))
-    base = base + 0.05 * F.least(F.lit(1.0), fill(ratio(F.abs(mean), 1.5 * deviation), 0.0)) + F.when(agree, 0.08).otherwise(0.0)
-    return F.least(base, F.lit(cap)) * fill(coverage, 1.0) * F.when(stale, 0.85).otherwise(1.0)
+    size = F.when(deviation > 1e-8, F.least(F.lit(1.0), F.abs(mean) / (1.5 * deviation))).otherwise(0.0)
+    base = clip(base + 0.05 * size + F.when(agree, 0.08).otherwise(0.0), 0.05, cap)
+    regime, vol_ratio = F.lit(0.0) if regime is None else fill(regime, 0.0), F.lit(1.0) if vol_ratio is None else fill(vol_ratio, 1.0)
+    falling = F.when(regime < 0, F.greatest(F.lit(0.9), 1 + 0.1 * regime)).otherwise(1.0)
+    growing = F.when(vol_ratio > 1.5, 1 - F.least(F.lit(0.1), (vol_ratio - 1.5) * 0.05)).otherwise(1.0)
+    return base * fill(coverage, 1.0) * F.when(stale, 0.85).otherwise(1.0) * falling * growing
 
 
 def price_band(price: Column, mean: Column, q90: Column, deviation: Column) -> tuple[Column, Column]:
-    width = F.coalesce(q90, 2 * deviation)
+    """Prices at the ends of the calibrated interval; without a positive quantile it is two deviations to either side."""
+    width = F.when(q90 > 0, q90).otherwise(2 * deviation)
     return price * F.exp(mean - width), price * F.exp(mean + width)
 
 
@@ -67,17 +72,33 @@ def trade_filter(alpha: Column, threshold: Column, p_up: Column, confidence: Col
     return (alpha >= F.greatest(threshold, F.lit(1e-4))) & (p_up >= 0.5) & (F.abs(alpha) >= 0.001) & (confidence >= least)
 
 
-def production_ready(rmse: Column, naive: Column, hit: Column, p: Column, n: Column, correlation: Column) -> Column:
-    return (rmse < naive) & (hit >= 0.5) & (p < 0.30) & (n >= 15) & (correlation >= 0.03)
+def production_ready(rmse: Column, naive: Column, hit: Column, p: Column, n: Column, correlation: Column, least_hit: float = 0.48) -> Column:
+    """Better than the naive forecast and than chance on enough held-out rows, and of the least correlation and hit rate."""
+    return (rmse < naive) & (hit >= 0.5) & (p < 0.30) & (n >= 15) & (correlation >= 0.03) & (hit >= least_hit)
 
 
-def split_in_time(df: DataFrame, train: int = 70, validation: int = 15, gap: int = 0) -> DataFrame:
-    """Rows of each ticker in order of date -> ``part``: train, validation or test by percentage of rows. ``gap`` rows before a border have none, so that no target reaches over it."""
-    w = W.partitionBy("ticker")
-    i, n = F.row_number().over(w.orderBy("date")) - 1, F.count("*").over(w)
-    df = df.withColumns({"_i": i, "_a": F.floor(n * train / 100), "_b": F.floor(n * (train + validation) / 100)})
-    part = F.when(F.col("_i") < F.col("_a") - gap, "train").when((F.col("_i") >= F.col("_a")) & (F.col("_i") < F.col("_b") - gap), "validation").when(F.col("_i") >= F.col("_b"), "test")
-    return df.withColumn("part", part).drop("_i", "_a", "_b")
+#: Rows that a ticker needs, and for long horizons; least rows of training and validation; days between rows that share no target.
+LEAST_ROWS, LEAST_LONG, LONG = 50, 300, 21
+LEAST_TRAIN, LEAST_HELD = 30, 10
+
+
+def gap_of(horizon: int, purge: int = 7, embargo: int = 3) -> int:
+    return max(purge, horizon) + embargo
+
+
+def split_in_time(df: DataFrame, horizon: int, train: float = 0.7, held: float = 0.85) -> DataFrame:
+    """Rows of each ticker in order of date -> ``part``: train, validation or test; NULL in the gaps between them.
+
+    Training takes its share of the rows; validation starts a gap later and ends at its own share, but not before ``LEAST_HELD``
+    rows; the test starts another gap later. Tickers with too few rows are left out, and those without validation rows.
+    """
+    w, gap = W.partitionBy("ticker"), gap_of(horizon)
+    least = LEAST_LONG if horizon >= LONG else LEAST_ROWS
+    df = df.withColumns({"_i": F.row_number().over(w.orderBy("date")) - 1, "_n": F.count("*").over(w)}).where(F.col("_n") >= least)
+    df = df.withColumn("_a", F.greatest(F.lit(LEAST_TRAIN), F.floor(F.col("_n") * F.lit(train)))).withColumn("_s", F.col("_a") + gap)
+    df = df.withColumn("_b", F.least(F.greatest(F.col("_s") + LEAST_HELD, F.floor(F.col("_n") * F.lit(held))), "_n")).where(F.col("_s") < F.col("_b"))
+    part = F.when(F.col("_i") < F.col("_a"), "train").when((F.col("_i") >= F.col("_s")) & (F.col("_i") < F.col("_b")), "validation").when(F.col("_i") >= F.col("_b") + gap, "test")
+    return df.withColumn("part", part).drop("_i", "_n", "_a", "_s", "_b")
 
 
 def up_probability(mean: Column, deviation: Column) -> Column:

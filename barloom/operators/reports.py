@@ -83,8 +83,18 @@ def completeness(flags: dict[str, float]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def outlook(change: Column) -> Column:
-    return bands(change, [(2, "strong rise"), (0.5, "rise"), (-0.5, "flat"), (-2, "fall")], "strong fall")
+def outlook(price: Column, changes: list[Column]) -> Column:
+    """Outlook of the first window that has a prediction, by its change in percent of the price; no price or no change is 0."""
+    change = F.coalesce(*changes)
+    percent = F.when((price != 0) & (change != 0), 100 * change / price).otherwise(0.0)
+    return F.when(percent > 2, "Bullish").when(percent > 0.5, "Slightly Bullish").when(percent < -2, "Bearish").when(percent < -0.5, "Slightly Bearish").otherwise("Neutral")
+
+
+def mean_confidence(windows: list[Column]) -> Column:
+    """Whole percent of the mean confidence of the windows that have one; 50 without any."""
+    known = F.filter(F.array(*windows), lambda c: c.isNotNull() & (c != 0))
+    mean = F.aggregate(known, F.lit(0.0), lambda a, c: a + c) / F.nullif(F.size(known), F.lit(0))
+    return F.coalesce((100 * mean).cast("int"), F.lit(50))
 
 
 def risk_label(risks: list[Column], chances: list[Column]) -> Column:

@@ -167,7 +167,7 @@ def macro_ffill_lag(spark, sf_dir):
 def long_scores(spark, sf_dir) -> DataFrame:
     """Sources of a symbol: the types of its events, with score, volume and confidence."""
     e = table(spark, sf_dir, "events")
-    source = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "rss_news", "click", "marketaux", "purchase", "finnhub", "signup", "reddit", "error", "other")]), F.col("event_type"))
+    source = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "rss_news", "click", "marketaux", "purchase", "finnhub", "signup", "reddit", "error", "economic_event")]), F.col("event_type"))
     return e.groupBy(F.col("user_id").alias("ticker"), source.alias("source")).agg(F.avg(F.col("value") / 50 - 1).alias("score"), F.count("*").cast("double").alias("volume"), F.least(F.count("*") / 20, F.lit(1.0)).alias("confidence"))
 
 
@@ -179,7 +179,7 @@ def sentiment_blend(spark, sf_dir):
     return blends.blended_score(long_scores(spark, sf_dir), ["ticker"]).select("ticker", *r6("blended"))
 
 
-@query("confidence_blend", LONG + ", m AS (SELECT *, CASE event_type WHEN 'view' THEN 0.22 WHEN 'click' THEN 0.15 WHEN 'purchase' THEN 0.10 WHEN 'signup' THEN 0.10 ELSE 0.03 END::DOUBLE AS u FROM l) SELECT ticker, round(sum(confidence * u) / sum(u), 6) AS confidence, count(*) AS sources, sum(volume) AS volume, coalesce(sum(volume) FILTER (event_type <> 'purchase'), 0) AS articles FROM m GROUP BY ticker")
+@query("confidence_blend", LONG + ", m AS (SELECT *, CASE event_type WHEN 'view' THEN 0.22 WHEN 'click' THEN 0.15 WHEN 'purchase' THEN 0.10 WHEN 'signup' THEN 0.10 ELSE 0.03 END::DOUBLE AS u FROM l) SELECT ticker, round(sum(confidence * u) / sum(u), 6) AS confidence, count(*) FILTER (confidence > 0 AND event_type <> 'error') AS sources, sum(volume) AS volume, coalesce(sum(volume) FILTER (event_type IN ('view', 'click')), 0) AS articles FROM m GROUP BY ticker")
 def confidence_blend(spark, sf_dir):
     return blends.blended_confidence(long_scores(spark, sf_dir), ["ticker"]).select("ticker", *r6("confidence"), "sources", "volume", "articles")
 

@@ -106,15 +106,16 @@ def baselines(spark, sf_dir):
     return gauges.baselines(df, ["ticker"], "y", "log_return_1d", 5).select("ticker", *r6("rmse_zero", "rmse_momentum", "rmse_last"))
 
 
-@query("out_of_sample_start", BRANDS + ", r AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM p), f AS (SELECT ticker, min(date) AS d FROM r WHERE i >= n * 85 // 100 GROUP BY 1) SELECT CAST(max(d) + 1 AS VARCHAR) AS start FROM f")
+@query("out_of_sample_start", BRANDS + ", r AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM p), f AS (SELECT ticker, min(date) AS d FROM r WHERE n >= 50 AND i >= least(n, greatest(greatest(30, floor(n * 0.7::DOUBLE)) + 20, floor(n * 0.85::DOUBLE))) + 10 GROUP BY 1) SELECT CAST(max(d) + 1 AS VARCHAR) AS start FROM f")
 def out_of_sample_start(spark, sf_dir):
-    return gauges.out_of_sample_start(modelling.split_in_time(bars(spark, sf_dir), gap=5)).select(F.date_format("start", "yyyy-MM-dd").alias("start"))
+    b = bars(spark, sf_dir)
+    return gauges.out_of_sample_start(modelling.split_in_time(b, 5), b).select(F.date_format("start", "yyyy-MM-dd").alias("start"))
 
 
 @query("platt_calibration")
 def platt_calibration(spark, sf_dir):
     """Raw score: a row's move; outcome: whether the next one rises. Fitted on the validation rows, shown on the test's."""
-    df = modelling.split_in_time(gauges.series_target(prices.returns(bars(spark, sf_dir)), 1)).where("log_return_1d IS NOT NULL AND y IS NOT NULL")
+    df = modelling.split_in_time(gauges.series_target(prices.returns(bars(spark, sf_dir)), 1).where("log_return_1d IS NOT NULL AND y IS NOT NULL"), 1)
     df = df.withColumn("up", (F.col("y") > 0).cast("double"))
     slope, intercept = gauges.platt(df.where("part = 'validation'"), "log_return_1d", "up")
     return df.where("part = 'test'").select("ticker", as_text(), gauges.sigmoid(F.col("log_return_1d"), slope, intercept).alias("probability"))
@@ -193,10 +194,11 @@ def flow_header(spark, sf_dir):
     return df.select("p_brand", "total", "part", *r6("margin"))
 
 
-@query("session_position", """WITH m AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS m FROM events) SELECT event_id, CASE WHEN m < 240 OR m >= 1200 THEN 'overnight' WHEN m < 570 THEN 'pre' WHEN m < 960 THEN 'regular' ELSE 'after' END AS session,
+@query("session_position", """WITH m AS (SELECT event_id, hour(n) * 60 + minute(n) AS m FROM (SELECT event_id, ts - INTERVAL 5 HOUR AS n FROM events)) SELECT event_id, CASE WHEN m < 240 OR m >= 1200 THEN 'overnight' WHEN m < 570 THEN 'pre' WHEN m < 960 THEN 'regular' ELSE 'after' END AS session,
 round(CASE WHEN m < 240 THEN (m + 240) / 480.0::DOUBLE WHEN m < 570 THEN (m - 240) / 330.0::DOUBLE WHEN m < 960 THEN (m - 570) / 390.0::DOUBLE WHEN m < 1200 THEN (m - 960) / 240.0::DOUBLE ELSE (m - 1200) / 480.0::DOUBLE END, 6) AS share FROM m""")
 def session_position(spark, sf_dir):
-    ts = F.col("ts").cast("timestamp")
+    """Minutes of New York; the events lie in January, when its clocks are five hours behind."""
+    ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York")
     name, share = gauges.session_position(F.hour(ts) * 60 + F.minute(ts))
     return table(spark, sf_dir, "events").select("event_id", name.alias("session"), F.round(share, 6).alias("share"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions import text
 from barloom.functions.windows import next_known
 from barloom.operators import adapters, blends, evaluation, fundamentals, modelling, news, prices, reports
+from barloom.plans import market
 from barloom.plans.adapters import as_text, r6
 from barloom.plans.market import BRANDS, OVER, RETURNS, dev, mean, over
 from barloom.plans.reports import articles, event_trades
@@ -17,11 +18,14 @@ from barloom.sources.tables import bars, table
 from barloom.streaming import trades as live
 
 QUERIES, ORACLES = {}, {}
+ORACLES_OF_MARKET = market.ORACLES
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name], ORACLES[name] = fn, sql
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
         return fn
 
     return register
@@ -104,10 +108,15 @@ def short_interest_tier(spark, sf_dir):
     return scored(spark, sf_dir).select("event_id", blends.short_interest_tier(F.col("k") / 4).cast("double").alias("score"))
 
 
-@query("outlook", BRANDS + f""", c AS (SELECT ticker, date, 100 * (close / lag(close) {OVER} - 1) AS x FROM p) SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN x >= 2 THEN 'strong rise' WHEN x >= 0.5 THEN 'rise' WHEN x >= -0.5 THEN 'flat' WHEN x >= -2 THEN 'fall' WHEN x IS NOT NULL THEN 'strong fall' END AS outlook FROM c""")
+@query("outlook", BRANDS + f""", c AS (SELECT *, close - lag(close) {OVER} AS a, close - lag(close, 7) {OVER} AS b, close - lag(close, 21) {OVER} AS c FROM p), d AS (SELECT *, CASE WHEN coalesce(c, b, a, 0) <> 0 AND close <> 0 THEN 100 * coalesce(c, b, a) / close ELSE 0 END AS x, CASE WHEN a IS NOT NULL THEN least(1, volume / 50) END AS ca, CASE WHEN b IS NOT NULL THEN 0.4::DOUBLE END AS cb, CASE WHEN c IS NOT NULL THEN least(1, volume / 200) END AS cc FROM c)
+SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN x > 2 THEN 'Bullish' WHEN x > 0.5 THEN 'Slightly Bullish' WHEN x < -2 THEN 'Bearish' WHEN x < -0.5 THEN 'Slightly Bearish' ELSE 'Neutral' END AS outlook, CAST(coalesce(trunc(100 * list_avg([v FOR v IN [ca, cb, cc] IF v <> 0])), 50) AS INT) AS confidence FROM d""")
 def outlook(spark, sf_dir):
-    x = 100 * (F.col("close") / F.lag("close").over(W.partitionBy("ticker").orderBy("date")) - 1)
-    return bars(spark, sf_dir).withColumn("x", x).select("ticker", as_text(), reports.outlook(F.col("x")).alias("outlook"))
+    """Moves over 21, 7 and one rows stand in for predicted changes."""
+    before = lambda n: F.lag("close", n).over(W.partitionBy("ticker").orderBy("date"))
+    a, b, c = (F.col("close") - before(n) for n in (1, 7, 21))
+    df = bars(spark, sf_dir).withColumns({"a": a, "b": b, "c": c})
+    sure = [F.when(F.col("a").isNotNull(), F.least(F.lit(1.0), F.col("volume") / 50)), F.when(F.col("b").isNotNull(), 0.4), F.when(F.col("c").isNotNull(), F.least(F.lit(1.0), F.col("volume") / 200))]
+    return df.select("ticker", as_text(), reports.outlook(F.col("close"), [F.col("c"), F.col("b"), F.col("a")]).alias("outlook"), reports.mean_confidence(sure).alias("confidence"))
 
 
 @query("risk_labels", """WITH r AS (SELECT p_partkey, CAST(p_size > 10 AS INT) + CAST(p_size > 25 AS INT) + CAST(p_size > 40 AS INT) - CAST(p_retailprice > 950 AS INT) - CAST(p_retailprice > 1000 AS INT) - CAST(p_retailprice > 1050 AS INT) AS s FROM part)
@@ -187,9 +196,10 @@ def _last20():
     return W.partitionBy("ticker").orderBy("date").rowsBetween(-19, 0)
 
 
-@query("price_bands", RETURNS + " SELECT ticker, CAST(date AS VARCHAR) AS date, round(close * exp(r1 - coalesce(abs(r5), 2 * vol20)), 4) AS low, round(close * exp(r1 + coalesce(abs(r5), 2 * vol20)), 4) AS high FROM v")
+@query("price_bands", RETURNS + " SELECT ticker, CAST(date AS VARCHAR) AS date, round(close * exp(r1 - CASE WHEN r5 > 0 THEN r5 ELSE 2 * vol20 END), 4) AS low, round(close * exp(r1 + CASE WHEN r5 > 0 THEN r5 ELSE 2 * vol20 END), 4) AS high FROM v")
 def price_bands(spark, sf_dir):
-    low, high = modelling.price_band(F.col("close"), F.col("log_return_1d"), F.abs("log_return_5d"), F.col("volatility_20d"))
+    """The five-row return stands in for the quantile, so that it is missing, negative and positive."""
+    low, high = modelling.price_band(F.col("close"), F.col("log_return_1d"), F.col("log_return_5d"), F.col("volatility_20d"))
     return prices.returns(bars(spark, sf_dir)).select("ticker", as_text(), F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
 
 
@@ -201,25 +211,51 @@ def hit_counts(spark, sf_dir) -> DataFrame:
 
 
 HITS = RETURNS + f", x AS (SELECT *, lead(r1) {OVER} AS nx FROM v), h AS (SELECT ticker, count(*) AS n, count(*) FILTER (sign(r1) = sign(nx)) AS hits FROM x WHERE r1 <> 0 AND nx <> 0 GROUP BY 1)"
-TAIL = "least(1.0::DOUBLE, 2 * list_sum(list_transform(range(greatest(hits, n - hits), n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))))"
+TAIL = "list_sum(list_transform(range(hits, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))))"
 
 
-@query("hit_significance", HITS + f" SELECT ticker, n, hits, round({TAIL}, 5) AS p FROM h")
+@query("hit_significance", HITS + f" SELECT ticker, n, hits, round(CASE WHEN n >= 10 THEN {TAIL} END, 6) AS p, n >= 10 AND {TAIL} < 0.05 AS significant FROM h")
 def hit_significance(spark, sf_dir):
-    return hit_counts(spark, sf_dir).select("ticker", "n", "hits", F.round(evaluation.binomial_tail(F.col("hits"), F.col("n")), 5).alias("p"))
+    p = evaluation.accuracy_test(F.col("hits"), F.col("n"))
+    return hit_counts(spark, sf_dir).withColumn("p", p).select("ticker", "n", "hits", F.round("p", 6).alias("p"), F.coalesce(F.col("p") < 0.05, F.lit(False)).alias("significant"))
 
 
-@query("production_gate", HITS + f" SELECT ticker, hits / n::DOUBLE >= 0.5 AND {TAIL} < 0.30 AND n >= 15 AS ready FROM h")
+@query("accuracy_interval")
+def accuracy_interval(spark, sf_dir):
+    """Exact bounds of the chance behind a name's hits, one-sided and two-sided; tests hold them to sums of binomial terms."""
+    low, _ = evaluation.exact_interval(F.col("hits"), F.col("n"))
+    two = evaluation.exact_interval(F.col("hits"), F.col("n"), one_sided=False)
+    return hit_counts(spark, sf_dir).select("ticker", "n", "hits", F.round(low, 6).alias("low"), F.round(two[0], 6).alias("low_two_sided"), F.round(two[1], 6).alias("high_two_sided"))
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    """Every tenth of the history of each name as a model's held-out rows: errors, hits, correlation of a move with the next."""
+    df = prices.returns(bars(spark, sf_dir)).withColumn("y", F.lead("log_return_1d").over(W.partitionBy("ticker").orderBy("date"))).where("log_return_1d <> 0 AND y <> 0")
+    df = df.withColumn("p", F.col("log_return_1d") / -2).withColumn("window", F.ntile(10).over(W.partitionBy("ticker").orderBy("date")))
+    return df.groupBy("ticker", "window").agg(F.count("*").alias("n"), F.count_if(F.signum("p") == F.signum("y")).alias("hits"), F.sqrt(F.avg((F.col("p") - F.col("y")) ** 2)).alias("rmse"), F.sqrt(F.avg(F.col("y") ** 2)).alias("naive"), F.corr("p", "y").alias("c"))
+
+
+JUDGED = RETURNS + f", x AS (SELECT *, lead(r1) {OVER} AS y FROM v), w AS (SELECT *, r1 / -2 AS q, ntile(10) {OVER} AS win FROM x WHERE r1 <> 0 AND y <> 0), h AS (SELECT ticker, win, count(*) AS n, count(*) FILTER (sign(q) = sign(y)) AS hits, sqrt(avg((q - y) ** 2)) AS rmse, sqrt(avg(y * y)) AS naive, corr(q, y) AS c FROM w GROUP BY ALL)"
+
+
+@query("production_gate", JUDGED + f" SELECT ticker, CAST(win AS INT) AS window, n, round(CASE WHEN n >= 20 THEN {TAIL} ELSE 1 END, 6) AS p, rmse < naive AND hits / n::DOUBLE >= 0.5 AND CASE WHEN n >= 20 THEN {TAIL} ELSE 1 END < 0.30 AND n >= 15 AND coalesce(c, 0) >= 0.03 AS ready FROM h")
 def production_gate(spark, sf_dir):
-    h = hit_counts(spark, sf_dir)
-    return h.select("ticker", modelling.production_ready(F.lit(0.9), F.lit(1.0), F.col("hits") / F.col("n"), evaluation.binomial_tail(F.col("hits"), F.col("n")), F.col("n"), F.lit(0.05)).alias("ready"))
+    h = judged(spark, sf_dir).withColumn("p", evaluation.gate_p(F.col("hits"), F.col("n")))
+    ready = modelling.production_ready(F.col("rmse"), F.col("naive"), F.col("hits") / F.col("n"), F.col("p"), F.col("n"), F.coalesce("c", F.lit(0.0)))
+    return h.select("ticker", F.col("window").cast("int").alias("window"), "n", F.round("p", 6).alias("p"), ready.alias("ready"))
 
 
-@query("full_confidence", HITS + """, c AS (SELECT ticker, hits / n::DOUBLE AS hit, n FROM h) SELECT ticker, round(least((0.05 + 0.6 * (0.4 * greatest(0, least(1, (hit - 0.5) / 0.1)) + 0.6 * 0.25)) * (0.85 + 0.4 * least(1, abs(hit - 0.5) / 0.15)) + 0.05 * least(1, 0.01 / 0.03) + CASE WHEN hit > 0.5 THEN 0.08 ELSE 0 END, 0.65::DOUBLE) * 0.9 * CASE WHEN n < 100 THEN 0.85 ELSE 1 END, 6) AS confidence FROM c""")
+@query("full_confidence", JUDGED + f""", s AS ({ORACLES_OF_MARKET['regime_score']}), t AS ({ORACLES_OF_MARKET['vol_autocorr']}),
+d AS (SELECT ticker, CAST(date AS VARCHAR) AS date, r1, vol20, r5, ntile(10) OVER (PARTITION BY ticker ORDER BY date) AS win FROM v), k AS (SELECT d.*, hits / n::DOUBLE AS hit, n, c, regime_score, vol_ratio_5_20 FROM d JOIN h USING (ticker, win) JOIN s USING (ticker, date) JOIN t USING (ticker, date))
+SELECT ticker, date, round(greatest(0.05::DOUBLE, least(0.65::DOUBLE, (0.05 + 0.6 * (0.4 * greatest(0, least(1, (hit - 0.5) / 0.1)) + 0.6 * greatest(0, least(1, c / 0.2)))) * (0.85 + 0.4 * least(1, abs(hit - 0.5) / 0.15)) + 0.05 * CASE WHEN vol20 > 1e-8 THEN least(1, abs(r1) / (1.5 * vol20)) ELSE 0 END + CASE WHEN sign(r1) = sign(r5) THEN 0.08 ELSE 0 END))
+ * CASE WHEN n < 200 THEN 0.9 ELSE 1 END * CASE WHEN r5 IS NULL THEN 0.85 ELSE 1 END * CASE WHEN regime_score < 0 THEN greatest(0.9, 1 + 0.1 * regime_score) ELSE 1 END * CASE WHEN vol_ratio_5_20 > 1.5 THEN 1 - least(0.1, (vol_ratio_5_20 - 1.5) * 0.05) ELSE 1 END, 5) AS confidence FROM k WHERE r1 IS NOT NULL AND c IS NOT NULL""")
 def full_confidence(spark, sf_dir):
-    h = hit_counts(spark, sf_dir).withColumn("hit", F.col("hits") / F.col("n"))
-    x = modelling.full_confidence(F.col("hit"), F.lit(0.05), F.col("hit"), F.lit(0.01), F.lit(0.02), F.col("hit") > 0.5, F.lit(0.9), F.col("n") < 100)
-    return h.select("ticker", F.round(x, 6).alias("confidence"))
+    """Held-out figures of a tenth of a name's history, and each row's own size, agreement, regime and volatility."""
+    df = prices.volatility_shape(prices.regimes(prices.returns(bars(spark, sf_dir)))).withColumn("window", F.ntile(10).over(W.partitionBy("ticker").orderBy("date")))
+    df = df.join(judged(spark, sf_dir), ["ticker", "window"]).where("log_return_1d IS NOT NULL AND c IS NOT NULL").withColumn("hit", F.col("hits") / F.col("n"))
+    agree = F.coalesce(F.signum("log_return_1d") == F.signum("log_return_5d"), F.lit(False))
+    x = modelling.full_confidence(F.col("hit"), F.col("c"), F.col("hit"), F.col("log_return_1d"), F.col("volatility_20d"), agree, F.when(F.col("n") < 200, 0.9).otherwise(1.0), F.col("log_return_5d").isNull(), F.round("regime_score", 6), F.round("vol_ratio_5_20", 6))
+    return df.select("ticker", as_text(), F.round(x, 5).alias("confidence"))
 
 
 @query("next_known_value", "SELECT event_id, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_purchase FROM events")
@@ -240,14 +276,17 @@ def ttl_read(spark, sf_dir):
     return tables.fresh(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", F.lit("2024-01-30").cast("timestamp"), 86400).select("user_id", "fresh")
 
 
-@query("change_threshold", "WITH b AS (SELECT user_id, arg_max(value, ts) AS old FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), a AS (SELECT user_id, arg_max(value, ts) AS new FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1) SELECT a.user_id, new AS value FROM a LEFT JOIN b ON a.user_id = b.user_id WHERE old IS NULL OR abs(new - old) >= 0.05 * abs(old)")
+@query("change_threshold", """WITH e AS (SELECT user_id, event_id, ts, value / 1000 AS a, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS INT) % 10 / 200.0::DOUBLE END AS b FROM events), l AS (SELECT *, lag(ts) OVER w AS t0, lag(a) OVER w AS a0, coalesce(lag(b) OVER w, 0) AS b0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, event_id FROM l WHERE t0 IS NULL OR t0 < ts - INTERVAL 1 HOUR OR abs(a - a0) > 0.05 OR abs(coalesce(b, 0) - b0) > 0.05""")
 def change_threshold(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    newest = lambda df: tables.latest(df, "user_id", F.col("ts").desc()).select("user_id", "value")
-    return tables.changed(newest(e.where("ts < timestamp '2024-01-15'")), newest(e.where("ts >= timestamp '2024-01-15'")), ["user_id"], "value", 0.05)
+    """Each event as a new row against the user's events before it."""
+    b = F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("int") % 10 / 200)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 1000).alias("a_sentiment"), b.alias("b_sentiment"))
+    stored = e.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(0.000001)))  # known a moment later, so that no event meets itself
+    return tables.changed(stored, e, ["user_id"], "ts").select("user_id", "event_id")
 
 
-@query("ticker_splits", BRANDS + """, r AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM p), c AS (SELECT *, n * 70 // 100 AS a, n * 85 // 100 AS b FROM r)
-SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN i < a - 5 THEN 'train' WHEN i >= a AND i < b - 5 THEN 'validation' WHEN i >= b THEN 'test' END AS part FROM c""")
+@query("ticker_splits", BRANDS + """, r AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM p), c AS (SELECT *, greatest(30, floor(n * 0.7::DOUBLE)) AS a FROM r WHERE n >= 50), d AS (SELECT *, least(n, greatest(a + 20, floor(n * 0.85::DOUBLE))) AS b FROM c)
+SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN i < a THEN 'train' WHEN i >= a + 10 AND i < b THEN 'validation' WHEN i >= b + 10 THEN 'test' END AS part FROM d WHERE a + 10 < b""")
 def ticker_splits(spark, sf_dir):
-    return modelling.split_in_time(bars(spark, sf_dir), gap=5).select("ticker", as_text(), "part")
+    return modelling.split_in_time(bars(spark, sf_dir), 5).select("ticker", as_text(), "part")

@@ -109,7 +109,29 @@ def fresh(df: DataFrame, key: str, ts: str, now: Column, seconds: int) -> DataFr
     return df.where(F.col(ts) <= now).groupBy(key).agg((F.max(ts) >= now - F.make_dt_interval(secs=F.lit(seconds))).alias("fresh"))
 
 
-def changed(stored: DataFrame, new: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """Rows worth storing: new keys, and values that differ from the stored one by at least a share of it."""
-    old = stored.select(*keys, F.col(value).alias("_old"))
-    return new.join(old, keys, "left").where(F.col("_old").isNull() | (F.abs(F.col(value) - F.col("_old")) >= share * F.abs("_old"))).drop("_old")
+#: The change of a score that is worth storing, how far back it is compared, how long rows are kept.
+LEAST_CHANGE, COMPARED_SECONDS, KEPT_DAYS = 0.05, 3600, 30
+
+
+def changed(stored: DataFrame, new: DataFrame, keys: list[str], ts: str, suffix: str = "_sentiment") -> DataFrame:
+    """Rows of ``new`` worth storing: those of a key without a stored row in the hour before, and those of which any column that
+    ends in ``suffix`` differs by more than ``LEAST_CHANGE`` from the newest stored row of that hour. An absent score is 0."""
+    from barloom.operators.asof import asof_join
+
+    scores = [c for c in new.columns if c.endswith(suffix)]
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    old = stored.select(*keys, ts, *[(zero(c) if c in stored.columns else F.lit(0.0)).alias(f"_old_{c}") for c in scores], F.col(ts).alias("_seen"))
+    met = asof_join(new, old, ts, keys)
+    recent = F.col("_seen") >= F.col(ts) - F.make_dt_interval(secs=F.lit(COMPARED_SECONDS))
+    moved = F.lit(False)
+    for c in scores:
+        moved = moved | (F.abs(zero(c) - F.col(f"_old_{c}")) > LEAST_CHANGE)
+    return met.where(~F.coalesce(recent, F.lit(False)) | moved).select(*new.columns)
+
+
+def store_changed(stored: DataFrame, new: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """The sink's rows behind a write: stored ones and what is worth storing, without rows older than ``KEPT_DAYS`` before the write of any key that wrote."""
+    kept = changed(stored, new, keys, ts)
+    cutoff = kept.groupBy(*keys).agg((F.max(ts) - F.make_dt_interval(days=F.lit(KEPT_DAYS))).alias("_cutoff"))
+    both = stored.unionByName(kept, allowMissingColumns=True).join(cutoff, keys, "left")
+    return both.where(F.col("_cutoff").isNull() | (F.col(ts) >= F.col("_cutoff"))).drop("_cutoff")

@@ -17,16 +17,16 @@ def test_simulation(spark):
     d = lambda k: DAY + dt.timedelta(days=k)
     close = {"A": [10, 11, 12, 13, 14], "B": [10, 9, 9, 9, 9], "C": [5, 5, 5, 5, 5]}
     prices = spark.createDataFrame([(d(i), t, float(c)) for t, cs in close.items() for i, c in enumerate(cs)], "date date, ticker string, close double")
-    picks = spark.createDataFrame([("s", d(0), "A", 1), ("s", d(0), "B", 2), ("s", d(0), "C", 3), ("s", d(2), "A", 1)], "strategy string, date date, ticker string, place int")
-    got = sorted((r.ticker, (r.entry_date - DAY).days, (r.exit_date - DAY).days, r.bars, round(r["return"], 6)) for r in portfolio.simulate(prices, picks, hold=2, slots=2).collect())
-    # A is held two rows and not opened again on the day it closes; B stops on its first; C finds no slot.
-    assert got == [("A", 0, 2, 2, round(12 / 10 - 1 - 0.002, 6)), ("B", 0, 1, 1, round(-0.1 - 0.002, 6))]
+    signals = spark.createDataFrame([("s", d(0), "A", 3.0), ("s", d(0), "B", 2.0), ("s", d(0), "C", 1.0), ("s", d(2), "A", 1.0)], "strategy string, date date, ticker string, prediction double")
+    got = sorted((r.ticker, r.i, r.k, r.closed, r.exit_price) for r in portfolio.positions(prices, signals, hold=2, slots=2, start=str(DAY), share=0.7).collect())
+    # Two of three names may be bought. B stops on its first day; A is sold after two and may be bought again on that day.
+    assert got == [("A", 0, 2, True, 12.0), ("A", 2, 2, True, 14.0), ("B", 0, 1, True, 9.0)]
 
 
 def test_candidates_are_positive_and_few(spark):
     rows = [("s", DAY, f"T{i}", float(i - 3)) for i in range(10)] + [("s", DAY + dt.timedelta(days=1), "T0", -1.0)]
-    got = portfolio.candidates(spark.createDataFrame(rows, "strategy string, date date, ticker string, alpha double")).collect()
-    assert sorted((r.ticker, r.place) for r in got) == [("T8", 2), ("T9", 1)]
+    got = portfolio.candidates(spark.createDataFrame(rows, "strategy string, date date, ticker string, prediction double"), 1).collect()
+    assert sorted((r.ticker, r.place, r.n) for r in got) == [("T8", 2, 10), ("T9", 1, 10)]
 
 
 def test_company_facts(spark):
