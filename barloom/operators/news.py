@@ -83,8 +83,54 @@ def without(universe: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return universe.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
-def matched_events(events: DataFrame, keywords: DataFrame, universe: list[str]) -> DataFrame:
-    """(event) and (keyword, tickers) -> the tickers of all keywords that an event's name contains, within the universe."""
-    met = events.join(F.broadcast(keywords), F.contains(F.lower("event"), F.col("keyword")), "left")
-    all_of = F.array_sort(F.array_distinct(F.flatten(F.collect_list("tickers"))))
-    return met.groupBy("event").agg(F.array_intersect(all_of, F.array(*[F.lit(t) for t in universe])).alias("tickers"))
+#: What an event of high importance touches if no keyword is in its name.
+BROAD_MARKET = ("SPY", "QQQ", "IWM", "DIA")
+
+
+def _grams(name: Column, sizes: list[int]) -> Column:
+    """The different substrings of these lengths."""
+    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def keyword_matches(names: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(name) and (keyword) -> (name, keyword) wherever a name contains a keyword, in any case of letters.
+
+    Each keyword is indexed by the one of its trigrams that fewest names have (a shorter keyword by itself). Names meet it by
+    equality and are then looked at whole, so that neither side is broadcast nor compared with all of the other. The lengths of grams
+    in use, three at most, are all that the driver sees.
+    """
+    known = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
+    sizes = sorted(r[0] for r in known.select(F.least(F.length("keyword"), F.lit(3))).distinct().collect())
+    low = names.select(F.lower("name").alias("_low")).where("_low IS NOT NULL").distinct()
+    if not sizes:
+        return names.select("name", F.lit(None).cast("string").alias("keyword")).where(F.lit(False))
+    grams = low.select("_low", F.explode(_grams(F.col("_low"), sizes)).alias("gram"))
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    size = F.least(F.length("keyword"), F.lit(3))
+    own = known.select("keyword", F.explode(F.transform(F.sequence(F.lit(1), F.length("keyword") - size + 1), lambda i: F.substr("keyword", i, size))).alias("gram"))
+    rarest = own.join(frequency, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    met = grams.join(rarest, "gram").where(F.contains("_low", F.col("keyword"))).select("_low", "keyword")
+    return names.select("name").distinct().withColumn("_low", F.lower("name")).join(met, "_low").select("name", "keyword")
+
+
+def matched_events(events: DataFrame, keywords: DataFrame, universe: DataFrame) -> DataFrame:
+    """Events (event, importance and others), keywords (keyword, tickers) and a universe (ticker) -> events with the sorted tickers that they touch.
+
+    All keywords in an event's name count. One of high importance without any touches the broad market. Tickers outside of the
+    universe go; an event that nothing is left of has an empty array, and so has one without a name.
+    """
+    names = events.select(F.col("event").alias("name")).where("name IS NOT NULL").distinct()
+    inside = universe.select("ticker").distinct()
+    each = keywords.select(F.lower("keyword").alias("keyword"), F.explode("tickers").alias("ticker")).distinct()
+    touched = keyword_matches(names, keywords).join(each, "keyword").select("name", "ticker").distinct()
+    found = touched.join(inside.withColumn("_in", F.lit(True)), "ticker", "left").groupBy(F.col("name").alias("event")).agg(F.array_sort(F.collect_list(F.when(F.col("_in"), F.col("ticker")))).alias("_found"))
+    broad = inside.where(F.col("ticker").isin(*BROAD_MARKET)).agg(F.array_sort(F.collect_list("ticker")).alias("_broad"))
+    none = F.array().cast("array<string>")
+    out = events.join(found, "event", "left").crossJoin(F.broadcast(broad))
+    return out.select(*events.columns, F.coalesce("_found", F.when(F.col("importance") == "high", F.col("_broad")), none).alias("tickers"))
+
+
+def events_of(events: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Events with tickers and (ticker) -> a row for each ticker and event that touches it."""
+    return events.withColumn("ticker", F.explode("tickers")).join(tickers.select("ticker").distinct(), "ticker", "left_semi")

@@ -221,7 +221,7 @@ def fit_folds(folds: DataFrame, features: list[str], label: str, fold_count: int
     A fold below the least numbers ends the walk. Fold 0 has seen no later row, so its gains choose features without leaks.
     The loop is over the few folds; each fit and each measure is a Spark job over its rows.
     """
-    rows = fold_rows(folds, label)
+    rows = fold_rows(folds, label).select("ticker", "date", "fold", "held", "recency", label, *features).persist()
     found, first, model = [], [], None
     for fold in range(fold_count):
         mine = rows.where(F.col("fold") == fold)
@@ -234,6 +234,7 @@ def fit_folds(folds: DataFrame, features: list[str], label: str, fold_count: int
         found.append({"fold": fold, **m.asDict(), "rounds": model.stages[-1].getNumTrees})
         if fold == 0:
             first = gains(model.stages[-1], features)
+    rows.unpersist()
     return found, first, model
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.plans import adapters, gauges, market, more, reports
+from barloom.plans import adapters, gauges, learned, market, more, reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (market, adapters, reports, more, gauges):
+for _part in (market, adapters, reports, more, gauges, learned):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 

@@ -96,9 +96,9 @@ def test_news(spark):
     first = spark.createDataFrame([("http://x", "t1", 1), (None, "t2", 2)], "url string, title string, published_at int")
     second = spark.createDataFrame([(" HTTP://X ", "t3", 9), ("http://y", "t4", 3)], "url string, title string, published_at int")
     assert sorted(r.title for r in news.union_articles([first, second]).collect()) == ["t1", "t4"]
-    events = spark.createDataFrame([("CPI and retail sales",), ("Holiday",)], "event string")
+    events = spark.createDataFrame([("CPI and retail sales", "low"), ("Holiday", "low")], "event string, importance string")
     words = spark.createDataFrame([("cpi", ["SPY", "TLT"]), ("retail", ["XRT", "SPY"])], "keyword string, tickers array<string>")
-    got = {r.event: r.tickers for r in news.matched_events(events, words, ["SPY", "XRT"]).collect()}
+    got = {r.event: r.tickers for r in news.matched_events(events, words, spark.createDataFrame([("SPY",), ("XRT",)], "ticker string")).collect()}
     assert got == {"CPI and retail sales": ["SPY", "XRT"], "Holiday": []}
 
 
