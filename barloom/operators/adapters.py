@@ -56,11 +56,38 @@ def one_row_later(prices: DataFrame, features: DataFrame, columns: list[str]) ->
     return met.withColumns({c: lag(c) for c in columns})
 
 
-def sentiment_features(documents: DataFrame) -> DataFrame:
-    """(ticker, date, sentiment, news_count) of days with documents -> means, momentum, spread and spikes over documents."""
+def sentiment_features(documents: DataFrame, sources: tuple[str, ...] = ()) -> DataFrame:
+    """(ticker, date, sentiment, news_count) of days with documents -> means, momentum, spread and spikes over documents.
+
+    ``source_count`` counts a day's sources where it is given, else a day has one. Each of ``sources`` is a column of scores
+    that gets a mean over seven documents of its own.
+    """
     s, n = F.col("sentiment"), F.col("news_count").cast("double")
-    df = documents.withColumns({"sent_mean_1d": s, "sent_mean_7d": rolling(F.avg, s, 7, 3), "sent_mean_30d": rolling(F.avg, s, 30, 10), "sent_std_7d": rolling(F.stddev_samp, s, 7, 3)})
-    return df.withColumns({"sent_momentum": F.col("sent_mean_7d") - F.col("sent_mean_30d"), "news_count_7d": fill(rolling(F.sum, n, 7, 1), 0.0), "news_spike": fill(n / (rolling(F.avg, n, 30, 10) + 1e-6), 0.0), "sentiment_available": F.lit(1)})
+    counted = fill(F.col("source_count").cast("double"), 0.0) if "source_count" in documents.columns else F.lit(1.0)
+    df = documents.withColumns({"sent_mean_1d": s, "sent_mean_7d": rolling(F.avg, s, 7, 3), "sent_mean_30d": rolling(F.avg, s, 30, 10), "sent_std_7d": rolling(F.stddev_samp, s, 7, 3), **{f"sent_{c}_mean_7d": rolling(F.avg, F.col(c), 7, 3) for c in sources}})
+    return df.withColumns({
+        "sent_momentum": F.col("sent_mean_7d") - F.col("sent_mean_30d"), "news_count_1d": n, "news_count_7d": fill(rolling(F.sum, n, 7, 1), 0.0), "news_spike": fill(n / (rolling(F.avg, n, 30, 10) + 1e-6), 0.0),
+        "sentiment_available": F.lit(1), "sent_source_count": counted,
+    })
+
+
+SENTIMENT = ("sent_mean_1d", "sent_mean_7d", "sent_mean_30d", "sent_momentum", "sent_std_7d", "news_count_1d", "news_count_7d", "news_spike", "sentiment_available", "sent_source_count")
+INSIDER = (
+    "insider_net_shares_30d", "insider_net_shares_90d", "insider_buy_value_30d", "insider_sell_value_30d", "insider_net_value_30d", "insider_buy_ratio_30d", "insider_cluster", "insider_available",
+    "insider_activity_z_90d", "insider_net_value_z_90d",
+)
+
+
+def feature_matrix(df: DataFrame, sentiment: DataFrame, transactions: DataFrame, earnings: DataFrame, shorts: DataFrame, fundamentals: DataFrame, long_rate: DataFrame, short_rate: DataFrame, sources: tuple[str, ...] = (), insider: tuple[str, ...] = INSIDER) -> DataFrame:
+    """Rows of the price block -> with the columns of sentiment, insiders, earnings, short interest, fundamentals and macro, each as known the row before.
+
+    Every block joins or carries on by ticker and date, so that rows stay where the price block's windows have put them.
+    """
+    scored = sentiment_features(sentiment, sources)
+    df = one_row_later(df, scored, [*SENTIMENT, *[f"sent_{c}_mean_7d" for c in sources]])
+    df = one_row_later(df, insider_features(insider_daily(transactions)), list(insider))
+    df = short_interest_features(earnings_features(df, earnings), shorts)
+    return macro_features(fundamental_features(df, fundamentals), long_rate, short_rate)
 
 
 def earnings_features(prices: DataFrame, earnings: DataFrame) -> DataFrame:

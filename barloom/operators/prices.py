@@ -224,18 +224,34 @@ def excess_momentum(df: DataFrame) -> DataFrame:
 
 
 def interactions(df: DataFrame) -> DataFrame:
-    """Products of features that other adapters give."""
-    c = F.col
-    return df.withColumns({
-        "momentum_x_volume": fill(clip(c("momentum_5d") * c("volume_ratio"), -5, 5), 0.0),
-        "vol_x_rsi": fill(clip(c("volatility_20d") * (c("rsi") - 50) / 50, -1, 1), 0.0),
-    })
+    """Products of features of several blocks; those of blocks that ``df`` lacks are left out."""
+    c, have = F.col, set(df.columns)
+    made = {
+        "momentum_x_volume": (("momentum_5d", "volume_ratio"), lambda: clip(c("momentum_5d") * c("volume_ratio"), -5, 5)),
+        "sentiment_x_momentum": (("sent_mean_7d", "momentum_5d"), lambda: clip(fill("sent_mean_7d", 0.0) * c("momentum_5d"), -1, 1)),
+        "vol_x_rsi": (("volatility_20d", "rsi"), lambda: clip(fill("volatility_20d", 0.01) * (c("rsi") - 50) / 50, -1, 1)),
+        "vix_x_sentiment": (("vix_level", "sent_mean_7d"), lambda: clip(fill("vix_level", 0.0) * fill("sent_mean_7d", 0.0), -5, 5)),
+        "insider_x_momentum": (("insider_net_value_30d", "momentum_5d"), lambda: clip(fill("insider_net_value_30d", 0.0) * F.signum("momentum_5d"), -5, 5)),
+    }
+    return df.withColumns({name: fill(value(), 0.0) for name, (needs, value) in made.items() if have.issuperset(needs)})
+
+
+#: Rows without these are no rows of the matrix.
+CORE = ("log_return_1d", "volatility_20d", "volume_ratio", "price_vs_sma20", "rsi")
+
+
+def price_block(bars: DataFrame, index: DataFrame) -> DataFrame:
+    """All features of prices and of the market, for every bar. What goes through Arrow comes first, while rows are narrow."""
+    df = returns(macd(bars))
+    for step in (volume, volume_volatility, trend, bollinger, atr, year_range, rsi, rsi_divergence, candle, return_scores, gap_fill, volume_spike, balance_slope, calendar, consecutive_days, range_expansion, regimes, volatility_shape):
+        df = step(df)
+    return against_market(df, index)
+
+
+def core_rows(df: DataFrame) -> DataFrame:
+    return df.na.drop(subset=list(CORE))
 
 
 def features(bars: DataFrame, index: DataFrame) -> DataFrame:
-    """The price block in one plan; rows without the core features go."""
-    df = returns(bars)
-    for step in (volume, trend, bollinger, atr, year_range, rsi, rsi_divergence, candle, return_scores, gap_fill, volume_spike, balance_slope, calendar, consecutive_days, range_expansion, regimes, volatility_shape):
-        df = step(df)
-    df = interactions(against_market(macd(df), index))
-    return df.na.drop(subset=["log_return_1d", "volatility_20d", "volume_ratio", "price_vs_sma20", "rsi"])
+    """The price block with its interactions; rows without the core features go."""
+    return core_rows(interactions(price_block(bars, index)))

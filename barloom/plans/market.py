@@ -245,13 +245,3 @@ def top_of_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["top_quintile_pick"] = top_of_last_day
 ORACLES["top_quintile_pick"] = RANKED + " SELECT ticker, CAST(date AS VARCHAR) AS date, round(m5, 6) AS momentum_5d, CAST(rk AS BIGINT) AS rank FROM s WHERE rk <= greatest(1, floor(n * 0.2)) AND date = (SELECT max(date) FROM s)"
-
-
-def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole price block in one plan."""
-    b = bars(spark, sf_dir)
-    df = prices.features(b, market(b))
-    return df.select("ticker", "date", *[F.round(f.name, DIGITS).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema if f.name not in ("ticker", "date")])
-
-
-QUERIES["feature_matrix"] = feature_matrix
