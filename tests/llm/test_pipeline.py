@@ -178,3 +178,29 @@ def test_many_alike_rows_share_the_mix(spark, monkeypatch):
     for key in {(r.doc_id, r.size) for r in plan}:
         want = sum(r.epochs + (r.size > 0 and 2 * r.cut_words >= r.size) for r in plan if (r.doc_id, r.size) == key)
         assert sum((r.doc_id, len(r.text.split())) == key for r in got) == want
+
+
+def test_every_name_of_the_operators_may_be_a_column(spark, tmp_path):
+    """Documents with a string column for each name that the subpackage makes keep all values through the four stages."""
+    import pathlib
+    import re as regex
+
+    import barloom.llm
+
+    made = set()
+    for file in pathlib.Path(barloom.llm.__file__).parent.glob("*.py"):
+        made |= set(regex.findall(r"[\"'](_?[A-Za-z][A-Za-z0-9_]{0,30})[\"']", file.read_text()))
+    names = sorted({n.lower() for n in made} - {"doc_id", "text", "lang", "source", "n_chars"})
+    assert len(names) > 150 and {"n_words", "kept", "_words", "base", "tokens", "k"} <= set(names)
+    texts = [f"Some words of document {i} that are like no others, {' '.join(f'w{(i * 37 + j * j) % 97}' for j in range(80))}." for i in range(12)]
+    texts[3] += " password = hunter2hunter2"
+    rows = [(i, t, "en", f"s{i % 2}", len(t), *[f"{n} {i}" for n in names]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        found = docs.collect()
+        assert found and all(r[n] == f"{n} {r.doc_id}" for r in found for n in names), name
