@@ -65,6 +65,32 @@ def composite(columns: list[str], composite: str = "composite", blended: str = "
     return F.coalesce(F.col(composite), F.col(blended), mean, F.lit(0.0))
 
 
+#: Aggregates that are no sources of their own.
+AGGREGATES = ("blended_sentiment", "composite_sentiment", "sentiment_confidence")
+
+
+def sentiment_series(documents: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Documents of a name and day -> one a day, the last by ``order``: composite score and number of news.
+
+    The score is ``composite_sentiment``, else ``blended_sentiment``, else the mean of the other columns that end in ``_sentiment``, else that of
+    the map ``sources``, else 0. The number is ``news_count``, else the sum of the volumes of ``ARTICLES`` as far as they are there, else 1.
+    Columns that a table lacks count as missing.
+    """
+    have = documents.columns
+    number = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
+    known = lambda a: F.filter(a, lambda x: x.isNotNull())
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(a), F.lit(0))
+    array = lambda names: known(F.array(*[number(c) for c in names])) if names else F.array().cast("array<double>")
+    own = array([c for c in have if c.endswith("_sentiment") and c not in AGGREGATES])
+    nested = known(F.map_values("sources")) if "sources" in have else F.array().cast("array<double>")
+    score = F.coalesce(number("composite_sentiment"), number("blended_sentiment"), mean(own), mean(nested), F.lit(0.0))
+    volumes = array([f"{s}_volume" for s in ARTICLES])
+    news = F.coalesce(number("news_count").cast("long"), F.when(F.size(volumes) > 0, F.aggregate(volumes, F.lit(0.0), lambda x, y: x + y)).cast("long"), F.lit(1))
+    each = documents.select(*keys, F.col(order).alias("_order"), score.alias("composite_sentiment"), news.alias("news_count"))
+    last = F.max_by(F.struct("composite_sentiment", "news_count"), F.struct("_order", "composite_sentiment", "news_count"))
+    return each.groupBy(*keys).agg(last.alias("r")).select(*keys, "r.*")
+
+
 def insider_sentiment(transactions: DataFrame, keys: list[str], buys: tuple[str, ...], sells: tuple[str, ...]) -> DataFrame:
     """Net over gross value, a purchase before a sale; confidence from five transactions."""
     value = F.abs("shares") * F.when(fill("price", 0.0) > 0, F.col("price")).otherwise(1.0)
@@ -93,12 +119,23 @@ def short_interest_tier(pct: Column) -> Column:
     return F.when(pct >= 20, -0.8).when(pct >= 10, -0.5).when(pct >= 5, -0.2).when(pct >= 2, 0.2).when(pct.isNotNull(), 0.5)
 
 
-def filing_confidence(filings: DataFrame, keys: list[str], types: int = 4) -> DataFrame:
-    """Filings (score, form, length) -> confidence from their number, variety, agreement, length and signal."""
-    dev, mean = fill(F.stddev_samp("score"), 0.0), fill(F.avg("score"), 0.0)
-    quality = fill(F.avg(F.least(F.col("length") / 1000, F.lit(1.0))), 0.0)
-    parts = 0.25 * F.least(F.count("*") / 8, F.lit(1.0)) + 0.2 * F.least(F.count_distinct("form") / types, F.lit(1.0)) + 0.25 * F.greatest(F.lit(0.0), 1 - dev / 0.5) + 0.2 * quality + 0.1 * F.least(F.abs(mean) / 0.3, F.lit(1.0))
-    return filings.groupBy(*keys).agg(parts.alias("confidence"), mean.alias("score"))
+#: Quality of forms.
+FORM_QUALITY = {"10-K": 1.0, "10-Q": 0.9, "8-K": 0.7, "DEF 14A": 0.6, "SD": 0.4, "4": 0.3, "144": 0.2}
+OTHER_FORM = 0.5
+
+
+def filing_confidence(filings: DataFrame, keys: list[str], quality: dict[str, float] = FORM_QUALITY) -> DataFrame:
+    """Filings (score, form, length) -> confidence from the number of those with a score, their share of all, agreement, form and length, and signal.
+
+    Eight scores count fully, as do 1,000 characters and a mean of 0.3. Without a score the mean and the confidence's part of it are 0,
+    and form and length are as good as half.
+    """
+    told = F.col("score").isNotNull()
+    n, dev, mean = F.count("score"), fill(F.stddev_samp("score"), 0.0), fill(F.avg("score"), 0.0)
+    of_form = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quality.items() for x in kv]), F.col("form")), F.lit(OTHER_FORM))
+    good = fill(F.avg(F.when(told, (of_form + F.least(fill("length", 0) / 1000, F.lit(1.0))) / 2)), OTHER_FORM)
+    parts = 0.25 * F.least(n / 8, F.lit(1.0)) + 0.2 * n / F.count("*") + 0.25 * F.greatest(F.lit(0.0), 1 - dev / 0.5) + 0.2 * good + 0.1 * F.least(F.abs(mean) / 0.3, F.lit(1.0))
+    return filings.groupBy(*keys).agg(clip(parts, 0, 1).alias("confidence"), mean.alias("score"))
 
 
 def decayed_mean(comments: DataFrame, keys: list[str], days: Column) -> DataFrame:

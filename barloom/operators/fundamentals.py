@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import fill, ratio
 
 FACT = "struct<units:map<string,array<struct<val:double,start:string,end:string,filed:string,form:string,frame:string,fy:int,fp:string>>>>"
+#: Fixed value: names of frames of one quarter.
+QUARTER_FRAME = r"^CY(\d{4})Q([1-4])$"
 FORMS = ("10-K", "10-Q", "DEF 14A", "S-8", "8-K", "4")
 
 
@@ -20,18 +22,18 @@ def facts(companies: DataFrame) -> DataFrame:
 
 
 def normalise(f: DataFrame) -> DataFrame:
-    """Dates, duration, fiscal year and quarter: as given, else by the frame's name, else by the end date."""
-    start, end = F.try_to_date("start"), F.try_to_date("end")
-    year, quarter = F.regexp_extract("frame", r"^CY(\d{4})", 1), F.regexp_extract("frame", r"^CY\d{4}Q([1-4])", 1)
-    f = f.withColumns({"start": start, "end": end, "filed": F.try_to_date("filed")})
-    fy = F.coalesce("fy", F.nullif(year, F.lit("")).try_cast("int"), F.year("end"))
-    q = F.coalesce(F.nullif(F.regexp_extract("fp", r"^Q([1-4])$", 1), F.lit("")), F.nullif(quarter, F.lit(""))).try_cast("int")
-    return f.withColumns({"days": F.datediff("end", "start"), "year": fy, "quarter": q})
+    """Dates, duration (NULL unless the end is after the start), fiscal year and quarter: as given, else by the frame's name; a yearly report's value of a quarter is the fourth's."""
+    f = f.withColumns({"start": F.try_to_date("start"), "end": F.try_to_date("end"), "filed": F.try_to_date("filed")})
+    f = f.withColumn("days", F.when(F.col("end") > F.col("start"), F.datediff("end", "start")))
+    part = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit("")).try_cast("int")
+    fy, frame_q = F.coalesce("fy", part("frame", QUARTER_FRAME, 1)), part("frame", QUARTER_FRAME, 2)
+    last = F.when((F.col("form") == "10-K") & (F.upper("fp") == "FY") & is_quarter(), 4)
+    return f.withColumns({"year": fy, "quarter": F.coalesce(part(F.upper("fp"), r"^Q([1-4])$", 1), frame_q, last)})
 
 
 def is_quarter():
     """55 to 125 days; without a duration, a frame of one quarter."""
-    return F.when(F.col("days").isNull(), F.coalesce(F.rlike("frame", F.lit(r"^CY\d{4}Q[1-4]$")), F.lit(False))).otherwise(F.col("days").between(55, 125))
+    return F.when(F.col("days").isNull(), F.coalesce(F.rlike("frame", F.lit(QUARTER_FRAME)), F.lit(False))).otherwise(F.col("days").between(55, 125))
 
 
 def is_annual():
@@ -47,22 +49,51 @@ def best_unit(f: DataFrame, unit: str = "USD") -> DataFrame:
     return f.withColumn("_u", F.dense_rank().over(w)).where("_u = 1").drop("_u")
 
 
+#: The facts of each metric, the preferred one first.
+METRICS = {
+    "revenue": ("RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "RevenuesNetOfInterestExpense", "SalesRevenueNet"),
+    "grossProfit": ("GrossProfit",), "operatingIncome": ("OperatingIncomeLoss",), "netIncome": ("NetIncomeLoss", "ProfitLoss"), "assets": ("Assets",),
+    "liabilities": ("Liabilities",), "equity": ("StockholdersEquity",), "operatingCashFlow": ("NetCashProvidedByUsedInOperatingActivities",),
+}
+
+
+def yearly():
+    """Values of yearly reports that span a year or are instants."""
+    return F.coalesce((F.col("form") == "10-K") | (F.upper("fp") == "FY"), F.lit(False)) & is_annual() & F.col("val").isNotNull()
+
+
 def latest_annual(f: DataFrame) -> DataFrame:
     """The newest yearly value of each fact: by end, then filing date."""
     w = W.partitionBy("symbol", "fact").orderBy(F.desc("end"), F.desc("filed"), F.desc("val"))
-    return f.where(is_annual()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return f.where(yearly()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def annual_metrics(f: DataFrame, metrics: dict[str, tuple[str, ...]] = METRICS) -> DataFrame:
+    """(symbol, metric, ...): of all facts of a metric the newest yearly value by end, then filing date, then preference; equal ones by value."""
+    listed = F.create_map(*[x for m, names in metrics.items() for i, n in enumerate(names) for x in (F.lit(n), F.struct(F.lit(m).alias("metric"), F.lit(i).alias("place")))])
+    named = f.where(yearly()).withColumn("_m", F.try_element_at(listed, F.col("fact"))).where("_m IS NOT NULL").withColumns({"metric": F.col("_m.metric"), "_place": F.col("_m.place")})
+    w = W.partitionBy("symbol", "metric").orderBy(F.desc_nulls_last("end"), F.desc_nulls_last("filed"), "_place", F.desc("val"))
+    return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_m", "_place")
 
 
 def best_quarters(f: DataFrame, priority: dict[str, int]) -> DataFrame:
-    """One value for each symbol, year and quarter: the candidate of the highest score, then the later end, filing and value."""
+    """One value for each symbol and quarter, or end date where the quarter isn't known: the candidate of the highest score, then the later end and filing, then the preferred fact and the greater value.
+
+    Only facts with a priority are candidates, values of whole years are none. A quarter's length counts 50, its frame 20, a stated quarter 15,
+    a quarterly report 10 or a yearly one 6, a filing date 2, and each fact one for every fact behind it.
+    """
     p = F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])
-    rank = fill(F.element_at(p, F.col("fact")), 99)
+    place = F.try_element_at(p, F.col("fact"))
+    points = lambda c, n: F.when(c, n).otherwise(0)
     score = (
-        F.when(F.col("quarter").isNotNull(), 50).otherwise(0) + F.when(F.col("form") == "10-Q", 20).when(F.col("form") == "10-K", 6).otherwise(2)
-        + F.when(F.col("days").between(80, 100), 15).otherwise(0) + F.when(F.col("frame").isNotNull(), 10).otherwise(0) - rank
+        points(F.col("days").between(55, 125), 50) + points(F.rlike("frame", F.lit(QUARTER_FRAME)), 20) + points(F.rlike(F.upper("fp"), F.lit("^Q[1-4]$")), 15)
+        + F.when(F.col("form") == "10-Q", 10).when(F.col("form") == "10-K", 6).otherwise(0) + points(F.col("filed").isNotNull(), 2) + F.greatest(F.lit(0), len(priority) - place)
     )
-    w = W.partitionBy("symbol", "year", "quarter").orderBy(score.desc(), F.desc("end"), F.desc("filed"), F.desc("val"))
-    return f.where(is_quarter() & F.col("quarter").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    known = F.when(F.col("year").isNotNull() & F.col("quarter").isNotNull(), F.concat_ws("-Q", F.col("year").cast("string"), F.col("quarter").cast("string")))
+    f = f.where(place.isNotNull() & F.col("val").isNotNull() & (fill(F.upper("fp"), "") != "FY") & is_quarter())
+    f = f.withColumns({"period": F.coalesce(known, F.date_format("end", "yyyy-MM-dd"), "frame"), "score": score, "_place": place}).where("period IS NOT NULL")
+    w = W.partitionBy("symbol", "period").orderBy(F.desc("score"), F.desc_nulls_last("end"), F.desc_nulls_last("filed"), "_place", F.desc("val"))
+    return f.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_place")
 
 
 def derived_q4(quarters: DataFrame, annual: DataFrame, keys: list[str]) -> DataFrame:

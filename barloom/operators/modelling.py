@@ -140,3 +140,29 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
     """Features by share of gain, best first."""
     gains = model.stages[-1].featureImportances.toArray()
     return sorted(((c, float(g)) for c, g in zip(features, gains, strict=True)), key=lambda x: (-x[1], x[0]))
+
+
+def compare_variants(df: DataFrame, labels: dict[str, str], variants: dict[str, list[str]], rounds: int = 20, depth: int = 5) -> DataFrame:
+    """(window, variant, n, accuracy, mae, rmse): models of each window with the features of each variant, on the same held-out rows.
+
+    df has ``part`` (see ``split_in_time``) and a label of each window. Rows without the label are left out of that window. A window without
+    training or test rows has no result.
+    """
+    from functools import reduce
+
+    from barloom.operators.evaluation import errors
+
+    out = []
+    for window, label in labels.items():
+        known = df.where(F.col(label).isNotNull())
+        used = list(dict.fromkeys(c for features in variants.values() for c in features))
+        train, test = known.where("part = 'train'").select(label, *used).persist(), known.where("part = 'test'")
+        models = {} if train.isEmpty() else {name: boosted_trees(train, features, label, rounds=rounds, depth=depth) for name, features in variants.items()}
+        train.unpersist()
+        for name, model in models.items():
+            scored = model.transform(test)
+            out.append(scored.select(F.lit(window).alias("window"), F.lit(name).alias("variant"), "prediction", F.col(label).alias("realised")))
+    if not out:
+        empty = df.limit(0).select(F.lit("").alias("window"), F.lit("").alias("variant"), F.lit(0.0).alias("prediction"), F.lit(0.0).alias("realised"))
+        return errors(empty, ["window", "variant"])
+    return errors(reduce(DataFrame.union, out), ["window", "variant"])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import bands, clip, fill, half_up, ratio
+from barloom.functions.columns import bands, clean, clip, fill, half_up, ratio
+from barloom.functions.windows import rolling
 
 
 def sentiment_distribution(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,6 +84,77 @@ def completeness(flags: dict[str, float]) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def report_completeness(raw: list[Column], technicals: Column, factors: Column, full: int = 10) -> Column:
+    """Mean completeness of what is there: shares of raw feeds, and numbers of technicals and of factors against ``full``; 0 without any.
+
+    A part is absent where all raw flags, or a number, are NULL; a number of 0 is absent too.
+    """
+    some = F.coalesce(*raw).isNotNull()
+    feeds = F.when(some, sum((F.when(c, 1.0).otherwise(0.0) for c in raw[1:]), F.when(raw[0], 1.0).otherwise(0.0)) / len(raw))
+    known = F.filter(F.array(feeds, *[F.when(n > 0, F.least(n / full, F.lit(1.0))) for n in (technicals, factors)]), lambda x: x.isNotNull())
+    return fill(F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0)), 0.0)
+
+
+#: The least mean confidence of each tier.
+QUALITIES = [(0.35, "HIGH"), (0.20, "GOOD"), (0.10, "MODERATE")]
+
+
+def model_quality(windows: list[Column]) -> Column:
+    """Tier of the mean confidence of the windows that have a finite one."""
+    known = F.filter(F.array(*[clean(c) for c in windows]), lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
+    return F.coalesce(bands(mean, QUALITIES, "LOW"), F.lit("UNKNOWN"))
+
+
+def top_with_default(df: DataFrame, keys: list[str], x: str, k: int, tie: str) -> DataFrame:
+    """The k rows of each group with the greatest value, a missing one being 0."""
+    w = W.partitionBy(*keys).orderBy(fill(x, 0).desc(), tie)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page of rows, from 1 on, with the number of all and whether more follow. A page behind the last has no rows."""
+    total = df.agg(F.count("*")).scalar()
+    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return rows.withColumn("total", total).withColumn("has_more", F.col("total") > number * size)
+
+
+def technical_levels(bars: DataFrame) -> DataFrame:
+    """Bars -> distances in percent from means over 20, 50 and 200 rows and from the extremes of 252, width and place of the bands of two deviations, volume against its mean of 20.
+
+    Means need all their rows; extremes take what there is. NULL where a mean is missing or 0.
+    """
+    mean = lambda c, n: rolling(F.avg, c, n, n)
+    percent = lambda base: (ratio("close", base) - 1) * 100
+    df = bars.withColumns({"_m": mean("close", 20), "_d": rolling(F.stddev_samp, "close", 20, 20), "_r": ratio("volume", mean("volume", 20))})
+    upper, lower = F.col("_m") + 2 * F.col("_d"), F.col("_m") - 2 * F.col("_d")
+    edge = (upper - lower) * 0.2
+    return df.withColumns({
+        "from_sma20": percent("_m"), "from_sma50": percent(mean("close", 50)), "from_sma200": percent(mean("close", 200)),
+        "from_high": percent(rolling(F.max, "high", 252, 1)), "from_low": percent(rolling(F.min, "low", 252, 1)),
+        "band_width": ratio(upper - lower, "close") * 100,
+        "band_place": F.when(upper.isNotNull(), F.when(F.col("close") > upper - edge, "upper").when(F.col("close") < lower + edge, "lower").otherwise("middle")),
+        "volume_ratio": F.col("_r"), "volume_label": F.when(F.col("_r") > 1.2, "above average").when(F.col("_r") < 0.8, "below average").when(F.col("_r").isNotNull(), "normal"),
+    }).drop("_m", "_d", "_r")
+
+
+def holdout_summary(models: DataFrame, window: str) -> DataFrame:
+    """Models of each window -> how many have held-out rows; of these the medians of error, baseline, hits and correlation, shares that beat the baseline and are ready, and how many beat the last value.
+
+    A window without such models has the median error of all of them and no other figure. Missing hits count 0.5, a missing correlation 0;
+    a model that isn't compared with the last value is taken by its baseline. Medians are exact: a window's distinct values meet in one task.
+    """
+    held = F.coalesce("has_holdout", F.lit(False))
+    of = lambda x: F.when(held, x)
+    share = lambda c: F.avg(of(F.when(c, 1.0).otherwise(0.0)))
+    beats_last = F.coalesce("beats_last_baseline", "beats_baseline")
+    return models.groupBy(window).agg(
+        F.count("*").alias("models"), F.count_if(held).alias("held"), F.coalesce(F.median(of(F.col("eval_rmse"))), F.median("eval_rmse")).alias("rmse"),
+        F.median(of(F.col("baseline_rmse"))).alias("baseline"), F.median(of(fill("hit_rate", 0.5))).alias("hits"), F.median(of(fill("correlation", 0.0))).alias("correlation"),
+        share(F.col("beats_baseline")).alias("win_rate"), F.count_if(held & beats_last).alias("wins_last"), share(F.col("production_ready")).alias("ready_rate"),
+    )
+
+
 def outlook(price: Column, changes: list[Column]) -> Column:
     """Outlook of the first window that has a prediction, by its change in percent of the price; no price or no change is 0."""
     change = F.coalesce(*changes)
@@ -163,6 +235,40 @@ def session_of(ts: Column, holidays: tuple[str, ...] = HOLIDAYS) -> Column:
     return F.when(shut | F.date_format(local, "yyyy-MM-dd").isin(*holidays) if holidays else shut, "closed").otherwise(open_)
 
 
+#: Sessions and the minutes of the day in New York at which they start and end.
+SESSIONS = (("pre", 240, 570), ("regular", 570, 960), ("after", 960, 1200))
+#: Days that are looked ahead for a session.
+LOOK_AHEAD = 10
+
+
+def next_session(ts: Column, holidays: tuple[str, ...] = HOLIDAYS, days: int = LOOK_AHEAD) -> tuple[Column, Column, Column]:
+    """Name and start of the next session, today's included, and the end of the present one, as times in New York; NULL if none is near, or none is open."""
+    local = F.from_utc_timestamp(ts, "America/New_York")
+    today = F.to_date(local)
+    shut = lambda d: (F.weekday(d) >= 5) | (F.date_format(d, "yyyy-MM-dd").isin(*holidays) if holidays else F.lit(False))
+    at = lambda d, minutes: d.cast("timestamp") + F.make_dt_interval(mins=F.lit(minutes))
+    open_days = F.filter(F.sequence(today, F.date_add(today, days - 1)), lambda d: ~shut(d))
+    starts = F.flatten(F.transform(open_days, lambda d: F.array(*[F.struct(at(d, a).alias("time"), F.lit(name).alias("name")) for name, a, _ in SESSIONS])))
+    following = F.try_element_at(F.filter(starts, lambda s: s["time"] > local), F.lit(1))
+    close = F.lit(None).cast("timestamp")
+    for _, a, b in reversed(SESSIONS):
+        close = F.when((local >= at(today, a)) & (local < at(today, b)), at(today, b)).otherwise(close)
+    return following["name"], following["time"], F.when(~shut(today), close)
+
+
+#: Symbols, and bounds of days and of symbols in a request.
+SYMBOL, DAYS, BATCH = "^[A-Z0-9.\\-]{1,6}$", (1, 2520), 10
+
+
+def request_verdict(tickers: Column, days: Column) -> tuple[Column, Column]:
+    """Symbols as they are looked up, and the first rule that a request breaks: empty, many, invalid, duplicate, days, or ok."""
+    plain = F.transform(tickers, lambda x: F.upper(F.trim(x)))
+    bad = F.exists(plain, lambda x: F.coalesce(~F.rlike(x, F.lit(SYMBOL)), F.lit(True)))
+    n = fill(F.size(tickers), 0)
+    verdict = F.when(n <= 0, "empty").when(n > BATCH, "many").when(bad, "invalid").when(F.size(F.array_distinct(plain)) < n, "duplicate").when(fill(~days.between(*DAYS), True), "days").otherwise("ok")
+    return F.when(verdict == "ok", plain), verdict
+
+
 def watch_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """Best and worst name, volume, active, rising and falling names."""
     return df.groupBy(*keys).agg(

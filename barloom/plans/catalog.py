@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.plans import adapters, gauges, learned, market, more, reports
+from barloom.plans import adapters, gauges, learned, market, more, panels, reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (market, adapters, reports, more, gauges, learned):
+for _part in (market, adapters, reports, more, gauges, learned, panels):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from barloom.plans import catalog, gauges, learned, more
+from barloom.plans import catalog, gauges, learned, more, panels
 
 SMALL = "/root/testdata/sf0.001"
 SHOWN = ("ohlcv_panel", "rsi", "regime_score", "asof_earnings", "sentiment_blend", "psi", "sankey_nodes", "event_sessions", "xs_rank_quintile", "walk_forward_labels")
@@ -22,7 +22,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted({*SHOWN, "portfolio_exits", *more.ORACLES, *gauges.ORACLES, *(set(learned.ORACLES) - {"feature_matrix"})}))
+@pytest.mark.parametrize("name", sorted({*SHOWN, "portfolio_exits", *more.ORACLES, *gauges.ORACLES, *panels.ORACLES, "filing_confidence", *(set(learned.ORACLES) - {"feature_matrix"})}))
 def test_query_agrees_with_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
