@@ -87,6 +87,17 @@ def ticker_id(ticker: str | Column) -> Column:
     return F.conv(F.substring(F.sha2(col(ticker), 256), 1, 6), 16, 10).cast("long")
 
 
+#: Funds of the sectors and their numbers.
+SECTOR_IDS = {"XLK": 0, "XLF": 1, "XLE": 2, "XLV": 3, "XLP": 4, "XLY": 5, "XLI": 6, "XLC": 7, "XLU": 8, "XLRE": 9, "XLB": 10}
+DEFAULT_SECTOR = "XLF"
+
+
+def sector_id(fund: str | Column) -> Column:
+    """Number of a sector's fund; unknown and missing ones have the default's."""
+    table = F.create_map(*[F.lit(x) for kv in SECTOR_IDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.upper(col(fund))), F.lit(SECTOR_IDS[DEFAULT_SECTOR]))
+
+
 def bands(x: Column, limits: list[tuple[float, str]], rest: str) -> Column:
     """The label of the first limit that x reaches, from the greatest down; ``rest`` below all, NULL for NULL."""
     out = None

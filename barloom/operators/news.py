@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.functions import text
+from barloom.functions.columns import fill
+
 #: Categories and their sectors.
 SECTORS = {
     "technology": "Technology", "tech": "Technology", "business": "Finance", "finance": "Finance", "healthcare": "Healthcare", "health": "Healthcare",
@@ -51,23 +54,37 @@ def page(df: DataFrame, order: list[Column], number: int, limit: int) -> DataFra
     return df.orderBy(*order).offset((number - 1) * limit).limit(limit)
 
 
-def filtered(df: DataFrame, sentiment: str | None = None, start: str | None = None, end: str | None = None, sector: str | None = None, search: str | None = None, tickers: list[str] | None = None) -> DataFrame:
-    """Articles by label, days, sector, text in title or snippet, and first ticker."""
+def filtered(df: DataFrame, sentiment: str | None = None, start: str | None = None, end: str | None = None, sector: str | None = None, search: str | None = None, tickers: list[str] | None = None, tag: str | None = None) -> DataFrame:
+    """Articles by label, moments (a day alone is its midnight), sectors (several with commas), text in title or snippet, first ticker, and part of the category's name; without case.
+
+    An article that lacks the column's value is left out by its filter.
+    """
+    inside = lambda c, part: F.contains(F.lower(c), F.lit(part.lower()))
     if sentiment:
         df = df.where(F.lower("sentiment") == sentiment.lower())
     if start:
-        df = df.where(F.to_date("published_at") >= F.lit(start).cast("date"))
+        df = df.where(F.col("published_at") >= F.lit(start).cast("timestamp"))
     if end:
-        df = df.where(F.to_date("published_at") <= F.lit(end).cast("date"))
+        df = df.where(F.col("published_at") <= F.lit(end).cast("timestamp"))
+    if tag:
+        df = df.where(inside("industry", tag))
     if sector:
-        df = df.where(sector_of(F.col("industry")) == sector)
+        df = df.where(F.lower(sector_of(F.col("industry"))).isin(*[x.strip().lower() for x in sector.split(",")]))
     if search:
-        df = df.where(F.contains(F.lower("title"), F.lit(search.lower())) | F.contains(F.lower(F.coalesce("snippet", F.lit(""))), F.lit(search.lower())))
+        df = df.where(inside("title", search) | inside(F.coalesce("snippet", F.lit("")), search))
     if tickers:
-        df = df.where(F.try_element_at("tickers", F.lit(1)).isin(tickers))
+        df = df.where(F.upper(F.try_element_at("tickers", F.lit(1))).isin(*[t.strip().upper() for t in tickers]))
     return df
 
 
+def top_posts(posts: DataFrame, keys: list[str], tie: str, k: int = 2) -> DataFrame:
+    """Posts (title, body, score) -> with label and signals for and against; the k best by score of each label that takes a side. Posts without a word have none and go."""
+    content = F.concat_ws(" ", "title", "body")
+    df = posts.where(F.trim(content) != "").withColumns({"label": text.post_label(content), "bullish": text.hits(content, text.BULLISH), "bearish": text.hits(content, text.BEARISH)})
+    w = W.partitionBy(*keys, "label").orderBy(fill("score", 0).desc(), tie)
+    return df.where("label <> 'neutral'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def search_symbols(df: DataFrame, query: str, symbol: str, name: str) -> DataFrame:
     q = F.lit(query.upper())
     return df.where(F.contains(F.upper(symbol), q) | F.contains(F.upper(name), q))

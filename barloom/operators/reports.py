@@ -280,3 +280,25 @@ def watch_alerts(df: DataFrame, keys: list[str], above: float, below: float) ->
     """Prices beyond limits, and volumes above 1.5 times the list's mean."""
     mean = F.avg("volume").over(W.partitionBy(*keys))
     return df.withColumns({"price_alert": F.when(F.col("close") >= above, "above").when(F.col("close") <= below, "below"), "volume_alert": fill(F.col("volume") > 1.5 * mean, False)})
+
+
+#: Fixed value: how many times the list's mean a volume must exceed.
+SPIKE = 1.5
+
+
+def triggered(alerts: DataFrame, stocks: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """Alerts (keys, symbol, type, value as text, triggered) against lists of stocks (keys, symbol, price, volume) -> with ``triggered`` anew.
+
+    Prices must be beyond the value, a volume above ``SPIKE`` times its list's mean, a report's moment less than a day ago and at most one
+    ahead. An alert whose stock isn't listed stays as it is; one of an unknown type, or with a value that can't be read, isn't triggered.
+    """
+    listed = stocks.select(*keys, "symbol", F.col("price").alias("_price"), F.col("volume").alias("_volume"), F.avg("volume").over(W.partitionBy(*keys)).alias("_mean"), F.lit(True).alias("_listed"))
+    value = F.col("value").try_cast("double")
+    ahead = (F.unix_micros(F.col("value").try_cast("timestamp")) - F.unix_micros(now)) / 86_400_000_000
+    kind = F.col("type")
+    hit = (
+        F.when(kind == "price_above", F.col("_price") > value).when(kind == "price_below", F.col("_price") < value)
+        .when(kind == "volume_spike", F.col("_volume") > SPIKE * F.col("_mean")).when(kind == "earnings", (ahead > -1) & (ahead <= 1))
+    )
+    met = alerts.join(listed, [*keys, "symbol"], "left")
+    return met.withColumn("triggered", F.when(F.col("_listed"), fill(hit, False)).otherwise(F.col("triggered"))).select(*alerts.columns)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import blends, evaluation, fundamentals, modelling, panels, prices, reports
+from barloom.functions.columns import SECTOR_IDS, sector_id
+from barloom.functions.windows import exponential_mean
+from barloom.operators import adapters, blends, evaluation, fundamentals, modelling, news, panels, prices, reports
 from barloom.operators.asof import densify
 from barloom.plans.adapters import as_text, r6
+from barloom.plans.adapters import reports as reports_of
 from barloom.plans.market import BRANDS, OVER
-from barloom.plans.reports import PROB, WATCH, probabilities, watched
-from barloom.sources.tables import bars, market, table
+from barloom.plans.reports import PROB, WATCH, articles, probabilities, watched
+from barloom.sources.tables import bars, market, table, unexpired
 
 QUERIES, ORACLES = {}, {}
 
@@ -300,6 +303,78 @@ def request_verdicts(spark, sf_dir):
     return r.select("l_orderkey", verdict.alias("verdict"), F.array_join(tickers, ",").alias("tickers"))
 
 
+@query("news_filters", """SELECT doc_id FROM documents WHERE lang = 'en' AND 1700000000 + doc_id * 60 BETWEEN epoch(TIMESTAMP '2023-11-14 22:30:00') AND epoch(TIMESTAMP '2023-11-18') AND doc_id % 3 < 2 AND upper(lang || doc_id % 4) IN ('EN0', 'EN3') AND contains(lower(text), 'a')""")
+def news_filters(spark, sf_dir):
+    """All filters at once: label, moments, tag and sectors, first ticker, and whole texts as snippets."""
+    i = F.col("doc_id")
+    a = articles(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("snippet")), "doc_id").withColumns({
+        "sentiment": F.upper("provider"), "industry": F.element_at(F.array(F.lit("Health Care"), F.lit("health"), F.lit("tech")), (i % 3 + 1).cast("int")), "tickers": F.array(F.concat("provider", (i % 4).cast("string")), F.lit("EN0")),
+    })
+    return news.filtered(a, sentiment="EN", start="2023-11-14 22:30:00", end="2023-11-18", sector="energy, HEALTHCARE", search="A", tickers=["en0", " EN3 "], tag="HEALTH").select("doc_id")
+
+
+@query("top_posts", """WITH d AS (SELECT doc_id, source, n_chars, lower(text) AS t FROM documents WHERE trim(text) <> ''), h AS (SELECT doc_id, source, n_chars, len(list_filter(['buy', 'moon', 'rocket', 'bull', 'calls', 'up', 'green', 'gains', 'hodl'], lambda x: contains(t, x))) AS u, len(list_filter(['sell', 'crash', 'bear', 'puts', 'down', 'red', 'loss', 'dump', 'short'], lambda x: contains(t, x))) AS d FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, u > d ORDER BY n_chars DESC, doc_id) AS n FROM h WHERE u <> d) SELECT source, CASE WHEN u > d THEN 'bullish' ELSE 'bearish' END AS label, CAST(n AS INT) AS place, doc_id, CAST(u AS INT) AS bullish, CAST(d AS INT) AS bearish FROM r WHERE n <= 2""")
+def top_posts(spark, sf_dir):
+    """Documents as posts of their source, by length."""
+    posts = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit("").alias("title"), F.col("text").alias("body"), F.col("n_chars").alias("score"))
+    return news.top_posts(posts, ["source"], "doc_id").select("source", "label", "place", "doc_id", "bullish", "bearish")
+
+
+@query("unexpired_reads", """WITH r AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 3 > 0 THEN ts + INTERVAL 6 HOUR END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type LIKE 'c%k' OR event_type LIKE 'p%') SELECT user_id, event_id FROM r WHERE n = 1 AND (x IS NULL OR x >= TIMESTAMP '2024-01-30')""")
+def unexpired_reads(spark, sf_dir):
+    """Events as stored documents of users, two in three with an expiry."""
+    ts = F.col("ts").cast("timestamp")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", ts.alias("ts"), F.concat(F.lit("fmp_"), "event_type").alias("endpoint"), F.when(F.col("event_id") % 3 > 0, ts + F.make_dt_interval(hours=F.lit(6))).alias("expires_at"))
+    return unexpired(e, "user_id", "ts", F.lit("2024-01-30").cast("timestamp"), "fmp_(c.*k$|p)").select("user_id", "event_id")
+
+
+@query("sector_ids", f"SELECT DISTINCT p_brand AS ticker, CAST(coalesce(map {{{', '.join(f'{k!r}: {v}' for k, v in SECTOR_IDS.items())}}}[['XLK', 'XLE', 'xlre', 'NONE', NULL][CAST(p_brand[7] AS INT)].upper()], 1) AS INT) AS sector_id FROM part")
+def sector_ids(spark, sf_dir):
+    """Brands by the fund of their first digit, one unknown; digits behind it have none."""
+    fund = F.try_element_at(F.array(F.lit("XLK"), F.lit("XLE"), F.lit("xlre"), F.lit("NONE"), F.lit(None).cast("string")), F.substring("p_brand", 7, 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker"), sector_id(fund).alias("sector_id")).distinct()
+
+
+SPAN = 12
+_Q = repr(1 - 2 / (SPAN + 1))
+_UP = "OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
+
+
+@query("exponential_means", BRANDS + f""", i AS (SELECT ticker, date, close, (row_number() {OVER})::DOUBLE AS i FROM p), h AS (SELECT *, avg(close) FILTER (i <= {SPAN}) OVER (PARTITION BY ticker) AS head FROM i)
+SELECT ticker, CAST(date AS VARCHAR) AS date, round(sum(close * pow({_Q}, -i)) {_UP} / sum(pow({_Q}, -i)) {_UP}, 5) AS adjusted, round(CASE WHEN i >= {SPAN} THEN pow({_Q}, i - {SPAN}) * head + coalesce((1 - {_Q}) * pow({_Q}, i) * sum(CASE WHEN i > {SPAN} THEN close * pow({_Q}, -i) END) {_UP}, 0) END, 5) AS seeded FROM h""")
+def exponential_means(spark, sf_dir):
+    """Means with weights that add up to one, and those that start from a plain mean."""
+    df = exponential_mean(bars(spark, sf_dir).select("ticker", "date", "close"), "ticker", "date", {"adjusted": ("close", SPAN, 1)}, adjust=True)
+    df = exponential_mean(df, "ticker", "date", {"seeded": ("close", SPAN, 1)}, seeded=True)
+    return df.select("ticker", as_text(), F.round("adjusted", 5).alias("adjusted"), F.round("seeded", 5).alias("seeded"))
+
+
+FUNDS = {"pe": (30.0, 0.0), "pb": (8.0, -4.0), "dividend_yield": (12.0, -6.0), "roe": (100.0, -150.0), "beta": (3.0, -4.0)}
+
+
+@query("fundamentals_block", BRANDS + ", o AS (SELECT 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 99991 AS eps FROM orders GROUP BY ALL), a AS (SELECT p.ticker, p.date, eps FROM p ASOF LEFT JOIN o ON p.ticker = o.ticker AND p.date >= o.date) SELECT ticker, CAST(date AS VARCHAR) AS date, "
+       + ", ".join(f"round(lag(CASE WHEN eps IS NOT NULL THEN greatest({adapters.BOUNDS[c][0]}::DOUBLE, least({adapters.BOUNDS[c][1]}::DOUBLE, eps * {k} + {d})) END) {OVER}, 6) + 0.0::DOUBLE AS fund_{c}" for c, (k, d) in FUNDS.items()) + " FROM a")
+def fundamentals_block(spark, sf_dir):
+    """Days of orders as documents of fundamentals, some beyond their bounds."""
+    docs = reports_of(spark, sf_dir).select("ticker", "date", *[(F.col("eps") * k + d).alias(c) for c, (k, d) in FUNDS.items()])
+    df = adapters.fundamental_features(bars(spark, sf_dir).select("ticker", "date"), docs)
+    return df.select("ticker", as_text(), *r6(*[f"fund_{c}" for c in FUNDS]))
+
+
+@query("triggered_alerts", WATCH + """, a AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, 'Brand#' || (1 + o_custkey % 5) || (1 + o_orderkey % 6) AS ticker, o_orderkey % 5 AS t, o_custkey % 5 - 2 AS n FROM orders), m AS (SELECT *, avg(volume) OVER (PARTITION BY date) AS mean FROM w)
+SELECT o_orderkey, CASE WHEN m.ticker IS NULL THEN o_orderkey % 2 = 0 ELSE coalesce(CASE t WHEN 0 THEN close > 1500 WHEN 1 THEN close < 1200 WHEN 2 THEN volume > 1.5 * mean WHEN 3 THEN n - 0.5 > -1 AND n - 0.5 <= 1 END, false) END AS triggered FROM a LEFT JOIN m ON a.date = m.date AND a.ticker = m.ticker""")
+def triggered_alerts(spark, sf_dir):
+    """Orders as alerts on a brand that may not be listed on the day; reports come twelve hours before or after a midnight."""
+    i, c, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    moment = F.date_format(F.date_add(day, (c % 5 - 2).cast("int")).cast("timestamp") - F.make_dt_interval(hours=F.lit(12)), "yyyy-MM-dd HH:mm:ss")
+    types = F.element_at(F.array(*[F.lit(x) for x in ("price_above", "price_below", "volume_spike", "earnings", "other")]), (i % 5 + 1).cast("int"))
+    alerts = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("date"), F.concat(F.lit("Brand#"), 1 + c % 5, 1 + i % 6).alias("symbol"), types.alias("type"),
+                                                    F.when(i % 5 == 0, "1500").when(i % 5 == 1, "1200").when(i % 5 == 3, moment).alias("value"), (i % 2 == 0).alias("triggered"))
+    stocks = watched(spark, sf_dir).select("date", F.col("ticker").alias("symbol"), F.col("close").alias("price"), "volume")
+    return reports.triggered(alerts, stocks, ["date"], F.col("date").cast("timestamp")).select("o_orderkey", "triggered")
+
+
 @query("variant_errors")
 def variant_errors(spark, sf_dir):
     """The price block with and without the market's part, each a model of two horizons, on the same held-out rows."""

@@ -109,6 +109,14 @@ def fresh(df: DataFrame, key: str, ts: str, now: Column, seconds: int) -> DataFr
     return df.where(F.col(ts) <= now).groupBy(key).agg((F.max(ts) >= now - F.make_dt_interval(secs=F.lit(seconds))).alias("fresh"))
 
 
+def unexpired(df: DataFrame, key: str, ts: str, now: Column, pattern: str | None = None, endpoint: str = "endpoint", expires: str = "expires_at") -> DataFrame:
+    """The newest row of each key whose endpoint matches, where it hasn't expired: an expired one hides older rows. Without an expiry it doesn't expire, without a time it is the oldest."""
+    found = df.where(F.rlike(endpoint, F.lit(pattern))) if pattern else df
+    rest = [c for c in df.columns if c != key]
+    newest = latest(found.select(key, *rest), key, [F.desc_nulls_last(ts), *[F.desc_nulls_last(c) for c in rest if c != ts]])
+    return newest.where(F.col(expires).isNull() | (F.col(expires) >= now)) if expires in df.columns else newest
+
+
 #: The change of a score that is worth storing, how far back it is compared, how long rows are kept.
 LEAST_CHANGE, COMPARED_SECONDS, KEPT_DAYS = 0.05, 3600, 30
 

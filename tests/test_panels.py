@@ -6,7 +6,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import blends, fundamentals, modelling, panels, reports
+from barloom.functions.columns import SECTOR_IDS, sector_id
+from barloom.operators import blends, fundamentals, modelling, news, panels, reports
+from barloom.sources.tables import unexpired
 
 D = dt.date(2024, 1, 1)
 
@@ -165,3 +167,46 @@ def test_variants(spark):
     assert set(got) == {("w", "with"), ("w", "without")} and got["w", "with"].n == got["w", "without"].n == 100
     assert got["w", "with"].rmse < 0.5 * got["w", "without"].rmse
     assert modelling.compare_variants(df.limit(0), {"w": "y"}, {"with": ["told"]}).count() == 0
+
+
+def test_article_filters(spark):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(1, "Bullish", t(0), "Tech", "Alpha", None, ["aapl", "X"]), (2, "bullish", t(9), "Health Care", None, "beta", ["X", "AAPL"]), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, sentiment string, published_at timestamp, industry string, title string, snippet string, tickers array<string>").coalesce(1)
+    ids = lambda **by: [r.i for r in news.filtered(df, **by).collect()]
+    assert ids() == [1, 2, 3] and ids(sentiment="BULLISH") == [1, 2]
+    assert ids(start="2024-01-01") == [1, 2] and ids(end="2024-01-01") == [1] and ids(start="2024-01-01 01:00:00", end="2024-01-02") == [2]
+    assert ids(sector="technology") == [1] and ids(sector="Energy, healthcare") == [2] and ids(tag="CARE") == [2]
+    assert ids(search="ALPHA") == [1] and ids(search="Beta") == [2] and ids(tickers=["AAPL"]) == [1] and ids(tickers=["x "]) == [2]
+    assert news.filtered(df.limit(0), sentiment="x").count() == 0
+
+
+def test_top_posts(spark):
+    rows = [(1, "buy moon", None, 5), (2, "buy", "rocket", 9), (3, "up", "", None), (4, "buy", "sell", 99), (5, "crash", None, 1), (6, None, None, 7), (7, " ", "", 7), (8, "bull", None, 9)]
+    got = news.top_posts(spark.createDataFrame(rows, "i int, title string, body string, score int"), [], "i").collect()
+    assert sorted((r.label, r.place, r.i, r.bullish, r.bearish) for r in got) == [("bearish", 1, 5, 0, 1), ("bullish", 1, 2, 2, 0), ("bullish", 2, 8, 1, 0)]
+
+
+def test_expired_rows_hide_older_ones(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    rows = [("a", 1, t(1), "fmp_x", t(9)), ("a", 2, t(2), "fmp_x", t(3)), ("b", 3, t(1), "fmp_y", None), ("b", 4, t(2), "other", t(1)), ("c", 5, None, "fmp_x", t(9)), ("c", 6, t(1), "fmp_x", t(5)), ("d", 7, t(1), None, None)]
+    df = spark.createDataFrame(rows, "k string, i int, ts timestamp, endpoint string, expires_at timestamp")
+    assert sorted(r.i for r in unexpired(df, "k", "ts", F.lit(t(5)), "^fmp").collect()) == [3, 6]
+    assert sorted(r.i for r in unexpired(df.drop("expires_at"), "k", "ts", F.lit(t(5))).collect()) == [2, 4, 6, 7]
+
+
+def test_sector_ids(spark):
+    df = spark.createDataFrame([("XLK",), ("xlb",), ("ABC",), (None,)], "f string").coalesce(1)
+    assert [r.s for r in df.select(sector_id("f").alias("s")).collect()] == [0, 10, 1, 1] and sorted(SECTOR_IDS.values()) == list(range(11))
+
+
+def test_alerts_of_lists(spark):
+    stocks = spark.createDataFrame([("l", "a", 10.0, 100.0), ("l", "b", 5.0, 10.0), ("m", "a", 1.0, None)], "list string, symbol string, price double, volume double")
+    rows = [
+        ("l", "a", "price_above", "9.5", None, True), ("l", "a", "price_above", "10", True, False), ("l", "b", "price_below", "5.5", None, True), ("l", "b", "price_below", "x", None, False),
+        ("l", "a", "volume_spike", None, None, True), ("l", "b", "volume_spike", None, True, False), ("m", "a", "volume_spike", None, None, False), ("l", "z", "price_above", "1", True, True), ("l", "z", "price_above", "1", None, None),
+        ("l", "a", "earnings", "2024-01-02 12:00:00", None, True), ("l", "a", "earnings", "2024-01-02 12:00:01", None, False), ("l", "a", "earnings", "2023-12-31 12:00:01", None, True), ("l", "a", "earnings", "2023-12-31 12:00:00", None, False), ("l", "a", "other", "1", True, False),
+    ]
+    alerts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, list string, symbol string, type string, value string, triggered boolean, want boolean")
+    got = reports.triggered(alerts, stocks, ["list"], F.lit(dt.datetime(2024, 1, 1, 12))).collect()
+    assert len(got) == len(rows) and all(r.triggered == r.want for r in got), [r for r in got if r.triggered != r.want]
