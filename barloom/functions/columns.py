@@ -69,11 +69,30 @@ def scaled_number(s: str | Column) -> Column:
     return F.regexp_replace(s, r"[TBMK]$", "").try_cast("double") * scale
 
 
+def two_decimals(x: Column) -> Column:
+    """Text of a number with two decimals. Its exact binary value is rounded, halves to even, as C does; Java rounds the shortest decimal that reads back.
+
+    From 2^53 up there are no fractions, and Java's text is taken.
+    """
+    x = x.cast("double")
+    a = F.abs(x)
+    whole = F.floor(a)
+    # The fraction in units of 2^-52: whole from 1 up; below, ``over`` is what is left of it.
+    fine = (a - whole) * float(1 << 52)
+    over = fine - F.floor(fine)
+    cents = F.floor(fine) * 100
+    down = F.shiftright(cents, 52)
+    beyond = (cents.bitwiseAND((1 << 52) - 1) - (1 << 51)).cast("double") + over * 100
+    total = whole * 100 + down + F.when((beyond > 0) | ((beyond == 0) & (down % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise(""), F.call_function("div", total, F.lit(100)).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    return F.when(a < float(1 << 53), text).when(x.isNotNull(), F.format_string("%.2f", x))
+
+
 def human_money(x: str | Column) -> Column:
     """$ with T, B or M, two decimals; smaller amounts plain."""
     x = col(x)
     a = F.abs(x)
-    show = lambda d, u: F.concat(F.lit("$"), F.format_string("%.2f", x / d), F.lit(u))
+    show = lambda d, u: F.concat(F.lit("$"), two_decimals(x / d), F.lit(u))
     return F.when(a >= 1e12, show(1e12, "T")).when(a >= 1e9, show(1e9, "B")).when(a >= 1e6, show(1e6, "M")).otherwise(show(1.0, ""))
 
 
