@@ -56,6 +56,15 @@ def gaussian_cdf(mean: Column, deviation: Column, low: float = 0.15, high: float
     return clip(0.5 * (1 + erf(ratio(mean, deviation * F.sqrt(F.lit(2.0))))), low, high)
 
 
+def mean_above(x: str | Column, limit: int) -> Column:
+    """Aggregate: whether the mean is above a limit. Sums are exact decimals, so that a mean at the limit doesn't depend on the order of rows; values that are
+    no decimals of 26 digits, 12 of them behind the point, are left to the plain mean."""
+    x = col(x)
+    exact = x.try_cast("decimal(26, 12)")
+    whole = F.count_if(x.isNotNull() & (exact.isNull() | (exact.cast("double") != x))) == 0
+    return F.when(whole, F.try_sum(exact - F.lit(limit)) > 0).otherwise(F.avg(x) > limit)
+
+
 def half_up(x: Column) -> Column:
     """Rounding to an integer with halves towards plus infinity."""
     return F.floor(x + 0.5)

@@ -165,7 +165,7 @@ def batch_confidence(spark, sf_dir):
 
 @query("best_window", """SELECT user_id, arg_max(w, struct_pack(a := trade, b := r, c := w)) AS best_window FROM (SELECT user_id, event_type AS w, avg(value) > 50 AS trade, max(value) AS r FROM events GROUP BY 1, 2) GROUP BY 1""")
 def best_window(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("window")).agg((F.avg("value") > 50).alias("trade"), F.max("value").alias("normalized_return"))
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("window")).agg(columns.mean_above("value", 50).alias("trade"), F.max("value").alias("normalized_return"))
     return modelling.best_window(e, ["user_id"])
 
 
