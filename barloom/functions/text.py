@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +21,8 @@ BEARISH = ("sell", "crash", "bear", "puts", "down", "red", "loss", "dump", "shor
 def hits(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words occur anywhere in a text, in any case, also within other words."""
     low = F.lower(text)
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
+    # A plain sum: within a lambda the text would be lower-cased again for each word.
+    return reduce(add, [F.contains(low, F.lit(w)).cast("int") for w in words])
 
 
 def keyword_score(text: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:
