@@ -91,11 +91,14 @@ def split_words(texts: list[bytes], lang: str, seed: int) -> Words:
     inside = np.zeros(len(chars) + 2, np.int8)
     inside[1:-1] = (chars != 32) & (chars != 10)
     change = np.diff(inside)
-    start, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    # A shard is far below 2^31 bytes, so that places and numbers of words take 32 bits; a single longer text takes 64.
+    place = np.int32 if len(chars) < 1 << 31 else np.int64
+    start, end = np.flatnonzero(change == 1).astype(place), np.flatnonzero(change == -1).astype(place)
+    del inside, change
     piece = np.cumsum(chars == 10, dtype=np.int32)[start] if len(start) else np.zeros(0, np.int32)
     code = np.full(len(start), xxh64_intdigest(lang.encode(), seed), np.uint64)
     length = end - start
-    active, k = np.flatnonzero(length <= LONG_WORD), 0
+    active, k = np.flatnonzero(length <= LONG_WORD).astype(place), 0
     while len(active):
         code[active] = (code[active] ^ chars[start[active] + k]) * _PRIME
         k += 1
@@ -122,20 +125,24 @@ class Automaton:
 
     def __init__(self, code: np.ndarray, piece: np.ndarray, depth: int):
         self.codes, first, at, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        none = np.full(len(count), -1)
-        self.levels = [Level(np.arange(len(count)), none, none, count, first)]
-        ends, word, many = np.arange(len(code)), at, len(count)
+        place = np.int32 if len(code) < 1 << 31 else np.int64
+        none, at = np.full(len(count), -1, place), at.astype(place)
+        self.levels = [Level(np.arange(len(count), dtype=place), none, none, count, first)]
+        ends, word, many = np.arange(len(code), dtype=place), at, len(count)
         for _ in range(1, depth):
             # Sequences one longer: those whose next word is in the same piece.
             on = np.flatnonzero(piece[np.minimum(ends + 1, len(piece) - 1)] == piece[ends]) if len(ends) else ends
             on = on[ends[on] + 1 < len(piece)]
             before, ends_now = at[on], ends[on] + 1
             key = before.astype(np.int64) * many + word[ends_now]
+            del on
             _, first, now, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            del key, _
+            now = now.astype(place)
             # The suffix of a sequence ends where it ends, one level up.
-            level_at = np.full(len(code), -1)
+            level_at = np.full(len(code), -1, place)
             level_at[ends] = at
-            self.levels.append(Level(word[ends_now][first], before[first], level_at[ends_now][first], count, ends_now[first]))
+            self.levels.append(Level(word[ends_now[first]], before[first], level_at[ends_now[first]], count, ends_now[first]))
             ends, at = ends_now, now
 
     def states(self, k: int) -> tuple[np.ndarray, np.ndarray]:

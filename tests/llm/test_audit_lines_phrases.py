@@ -250,3 +250,20 @@ def test_queries_have_the_columns_of_their_contracts(spark):
     row = queries.op12_line_dedup(spark, sf).orderBy("doc_id").first()
     assert row.n_dropped or row.kept_sha256 == hashlib.sha256((spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id = {row.doc_id}").first().text or "").encode()).hexdigest()
     assert queries.op13_collocations(spark, sf).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_a_shard_takes_little_memory():
+    """The check of round 3 stopped op13 at an executor's memory: an automaton's peak, against the bytes of its shard."""
+    import tracemalloc
+
+    import numpy as np
+
+    from barloom.llm.collocations import Automaton, split_words
+
+    text = " ".join(f"w{x}" for x in np.random.default_rng(1).zipf(1.3, 400_000) % 50_000).encode()
+    tracemalloc.start()
+    words = split_words([text], "en", 0)
+    Automaton(words.code, words.piece, 3)
+    peak = tracemalloc.get_traced_memory()[1] / len(words.code)
+    tracemalloc.stop()
+    assert peak < 140, peak
