@@ -378,11 +378,12 @@ def triggered_alerts(spark, sf_dir):
 @query("variant_errors")
 def variant_errors(spark, sf_dir):
     """The price block with and without the market's part, each a model of two horizons, on the same held-out rows."""
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir).persist()  # a row a name and day; sales are read once
     df = prices.against_market(prices.candle(prices.rsi(prices.trend(prices.volume(prices.returns(b))))), market(b))
     df = modelling.split_in_time(df, 5)
     for w, n in (("next_day", 1), ("7_day", 5)):
         df = evaluation.realised(df, n).withColumnRenamed("realised", w)
+    df = df.persist()
     own = ["volatility_20d", "rsi", "price_vs_sma20", "momentum_5d", "volume_ratio", "clv"]
     out = modelling.compare_variants(df.where("log_return_1d IS NOT NULL"), {"next_day": "next_day", "7_day": "7_day"}, {"with_market": [*own, "rel_strength_spy", "spy_vol_20d"], "without_market": own}, rounds=5, depth=3)
     return out.select("window", "variant", "n", *r6("accuracy", "mae", "rmse"))
