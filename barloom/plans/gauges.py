@@ -116,7 +116,7 @@ def out_of_sample_start(spark, sf_dir):
 def platt_calibration(spark, sf_dir):
     """Raw score: a row's move; outcome: whether the next one rises. Fitted on the validation rows, shown on the test's."""
     df = modelling.split_in_time(gauges.series_target(prices.returns(bars(spark, sf_dir)), 1).where("log_return_1d IS NOT NULL AND y IS NOT NULL"), 1)
-    df = df.withColumn("up", (F.col("y") > 0).cast("double"))
+    df = df.withColumn("up", (F.col("y") > 0).cast("double")).persist()  # the fit and the result read sales once
     slope, intercept = gauges.platt(df.where("part = 'validation'"), "log_return_1d", "up")
     return df.where("part = 'test'").select("ticker", as_text(), gauges.sigmoid(F.col("log_return_1d"), slope, intercept).alias("probability"))
 
