@@ -13,6 +13,8 @@ Everything is DataFrame functions. Texts are read once; what is stored has only
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ LEAST_BELIEF, CHECKED = 0.9, 0.9
 SETTLED = 1e-4
 #: Values of a pattern from which its edges are dealt over ``SALTS`` keys; the most such patterns, and found values, that are broadcast.
 HOT, SALTS, BROADCAST_ROWS = 10_000, 32, 100_000
+#: Numbers of a text that are added up one by one; the sums of so many at a time are added up after them.
+BLOCK = 256
 MENTION = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
 
 
@@ -65,23 +69,40 @@ def _spaced(s: Column) -> Column:
     return F.translate(s, "\t\n\r", "   ")
 
 
+def _bound(x: Column, made: Callable[[Column], Column]) -> Column:
+    """What ``made`` makes of ``x``, which is computed once however often it stands there."""
+    return F.element_at(F.transform(F.array(x), lambda v: made(v)), 1)
+
+
+def _running(numbers: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each number ``merge`` over zero and all those before it. Appending copies an array, so blocks are merged, then what is in them."""
+
+    def before(a: Column, start: Column) -> Column:
+        step = lambda done, x: F.struct(merge(done["at"], x).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out"))
+        return F.aggregate(a, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda done: done["out"])
+
+    last = lambda a: F.floor(F.greatest(F.size(a) - 1, F.lit(0)) / BLOCK).cast("int")
+    blocks = _bound(numbers, lambda a: F.transform(F.sequence(F.lit(0), last(a)), lambda i: F.slice(a, i * BLOCK + 1, BLOCK)))
+    return _bound(blocks, lambda b: F.flatten(F.zip_with(b, before(F.transform(b, lambda a: F.aggregate(a, F.lit(0), merge)), F.lit(0)), before)))
+
+
 def mentions(text: Column, kind: int, pattern: str, hint: Column, valid: bool = True) -> Column:
     """Matches of a pattern with their places in code points and the words on both sides, up to the next match; empty where ``hint`` is false.
 
     The text between matches comes from splitting by the same pattern, so lengths add up to places.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    around = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("before"), m.alias("m"))), F.slice(gaps, 2, F.size(found)), lambda x, g: F.struct(x["before"].alias("before"), x["m"].alias("m"), g.alias("after")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["before"])
-        end = start + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.substring_index(_spaced(x["before"]), " ", -NEAR).alias("left"), F.substring_index(_spaced(x["after"]), " ", NEAR).alias("right"))
-        keep = _valid(kind, x["m"]) if valid else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+    def one(x: Column, m: Column, i: Column) -> Column:
+        before, after = F.get(x["gaps"], i), F.get(x["gaps"], i + 1)
+        start = F.get(x["at"], i) + F.length(before)
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), F.substring_index(_spaced(before), " ", -NEAR).alias("left"), F.substring_index(_spaced(after), " ", NEAR).alias("right"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MENTION).alias("out"))
-    return F.when(hint, F.aggregate(around, start, step, lambda a: a["out"])).otherwise(F.array().cast(MENTION))
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    lengths = lambda x: F.transform(x["found"], lambda m, i: F.length(F.get(x["gaps"], i)) + F.length(m))
+    placed = _bound(both, lambda x: F.struct(x["gaps"].alias("gaps"), x["found"].alias("found"), _running(lengths(x), lambda a, b: a + b).alias("at")))
+    made = _bound(placed, lambda x: F.transform(x["found"], lambda m, i: one(x, m, i)))
+    made = F.filter(made, lambda m: _valid(kind, m["value"])) if valid else made
+    return F.when(hint, made).otherwise(F.array()).cast(MENTION)
 
 
 def fixed(text: Column) -> Column:
@@ -95,13 +116,25 @@ def fixed(text: Column) -> Column:
     )
 
 
+def apart(others: Column, base: Column) -> Column:
+    """Those of ``others``, which are in order and apart, that no mention of ``base`` overlaps.
+
+    In order of the mentions' starts and the others' ends, the furthest end so far tells whether a mention reaches into one.
+    """
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("is_base"), b["end"].alias("to"), F.lit(-1).alias("place")))
+    ends = F.transform(others, lambda c, i: F.struct(c["end"].alias("at"), F.lit(0).alias("is_base"), c["start"].alias("to"), i.alias("place")))
+    reach = lambda x: _running(F.transform(x, lambda e: e["to"] * e["is_base"]), lambda a, b: F.greatest(a, b))
+    met = _bound(F.array_sort(F.concat(starts, ends)), lambda x: F.zip_with(x, reach(x), lambda e, r: F.struct(e.alias("e"), r.alias("r"))))
+    return F.transform(F.filter(met, lambda m: (m["e"]["is_base"] == 0) & (m["r"] <= m["e"]["to"])), lambda m: F.get(others, m["e"]["place"]))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs with ``text`` -> without it, with ``base`` and ``others``: mentions of the fixed patterns, and candidates that none of them overlaps."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.drop("base", "others").withColumns({"base": fixed(text), "others": mentions(text, 4, CANDIDATE, F.rlike(text, F.lit(CANDIDATE_HINT)), valid=False)})
-    free = lambda x: lambda c: (F.length(c["value"]) >= LEAST_LENGTH) & ~F.exists(x["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    pairs = F.transform(F.array(F.struct("base", "others")), lambda x: F.filter(x["others"], free(x)))
-    return found.withColumn("others", F.element_at(pairs, 1)).drop("text")
+    pair = F.struct("base", F.filter("others", lambda c: F.length(c["value"]) >= LEAST_LENGTH).alias("others"))
+    free = _bound(pair, lambda x: F.when(F.size(x["base"]) > 0, apart(x["others"], x["base"])).otherwise(x["others"]))
+    return found.withColumn("others", free).drop("text")
 
 
 def _patterns(m: Column) -> Column:

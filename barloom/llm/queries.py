@@ -32,8 +32,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    of = [F.size(F.filter("base", lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
-    return found.select("doc_id", *of, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+    # A lambda of one argument: Spark would bind a second one, default or not, to the place in the array.
+    of = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, pii.KINDS[:4]), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
