@@ -67,5 +67,17 @@ def test_small_samples_change_nothing(spark, monkeypatch):
     assert got.keys() == want.keys() and all(a == want[i] or abs(a - want[i]) < 1e-9 for i, a in got.items())
 
 
+def test_passes_change_nothing(spark, monkeypatch):
+    """Any number of passes gives the same scores; the setting that removes shuffle files is as before."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(2)
+    for passes, rows in ((1, 1_000_000), (3, 50)):
+        monkeypatch.setattr(lm, "PASSES", passes)
+        monkeypatch.setattr(lm, "ROWS", rows)
+        before = spark.conf.get(lm.CLEANUP, None)
+        got = {r.doc_id: r.log_score for r in lm.score(docs).collect()}
+        assert spark.conf.get(lm.CLEANUP, None) == before
+        assert all((a is None) == (got[i] is None) and (a is None or abs(got[i] - a) < 1e-9) for i, a in enumerate(plain(TEXTS, 2)))
+
+
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
