@@ -17,7 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -73,7 +74,7 @@ FALSE_DISCOVERIES = 0.01
 #: Decoys that the fitted tail starts from, and those that its slope reaches to.
 TAIL_FROM, TAIL_TO = 10, 100
 #: Bytes of text that decoys are made from at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
 MARK = "[SECRET]"
 
 
@@ -145,14 +146,14 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _table(code: int) -> np.ndarray:
-    """Byte -> place in the alphabet, 255 for none. Case is ignored where the alphabet has one case alone."""
-    out = np.full(256, 255, np.uint8)
+def _table(code: int) -> tuple[bytes, bytes]:
+    """Byte -> place in the alphabet, and the bytes that have none. Case is ignored where the alphabet has one case alone."""
+    out = [255] * 256
     for c, i in PLACES[code].items():
         out[ord(c)] = i
         if c.swapcase() not in PLACES[code]:
             out[ord(c.swapcase())] = i
-    return out
+    return bytes(out), bytes(c for c in range(256) if out[c] == 255)
 
 
 TABLES = {code: _table(code) for code in READ_AS}
@@ -160,78 +161,104 @@ TABLES = {code: _table(code) for code in READ_AS}
 ONE_SIDE, TWO_SIDES = (np.array([-NormalDist().inv_cdf(10 ** (-k / STEPS) / 3 / sides) for k in range(1, MOST_STEPS + 1)]) for sides in (1, 2))
 
 
-def _steps(counts: np.ndarray, high: np.ndarray, changes: np.ndarray, serial: np.ndarray, n: int) -> np.ndarray:
-    """Steps of ``battery`` for many pieces of n characters."""
-    size = counts.shape[1]
-    chi, df = (counts.astype(np.int64) ** 2).sum(1) * size / n - n, size - 1
-    z = (np.cbrt(np.maximum(chi, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    out = np.searchsorted(ONE_SIDE, z, "right")
+def _by_number(step: Callable[[np.ndarray], np.ndarray], most: int) -> np.ndarray:
+    """Steps of the numbers from 0 to ``most``, or to one with the last step, which all greater ones share."""
+    upto = 1024
+    while True:
+        out = step(np.arange(min(upto, most + 1))).astype(np.uint8)
+        if upto > most or out[-1] == MOST_STEPS:
+            return out
+        upto *= 2
+
+
+@cache
+def _chi_steps(n: int, size: int) -> np.ndarray:
+    """Sum of the squares of n characters' counts -> step of ``battery``'s first test."""
+    df = size - 1
+
+    def step(squares: np.ndarray) -> np.ndarray:
+        chi = squares * size / n - n
+        return np.searchsorted(ONE_SIDE, (np.cbrt(np.maximum(chi, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)), "right")
+
+    return _by_number(step, n * n)
+
+
+@cache
+def _run_steps(n: int) -> np.ndarray:
+    """n times the characters above the middle, plus the changes -> step of the second."""
+    high, changes = np.divmod(np.arange(n * (n + 1)), n)
     mean = 2 * high * (n - high) / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
-    mixed = var > 0
-    z = np.where(mixed, np.abs(1 + changes - mean) / np.sqrt(np.where(mixed, var, 1)), 0)
-    runs = np.where((high == 0) | (high == n), _step(min(1.0, 3 * 2.0 ** (1 - n))), np.searchsorted(TWO_SIDES, z, "right"))
-    z = np.abs(serial) / ((size * size - 1) / 12 * math.sqrt(n - 1))
-    return np.maximum(np.maximum(out, runs), np.searchsorted(TWO_SIDES, z, "right"))
-
-
-def _pieces(x: np.ndarray, first: np.ndarray, many: np.ndarray, length: int, size: int, sizes: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of letters, the first of each text and their number -> (length class, steps) of all pieces of ``length``, its double and so on."""
-    whole = many // length
-    owner = np.repeat(np.arange(len(many)), whole)
-    start = first[owner] + length * (np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole))
-    own = len(start)
-    if length == LEAST:  # what is left at a text's end is part of a last piece
-        rest = (many >= length) & (many % length > 0)
-        start = np.concatenate((start, (first + many)[rest] - length))
-    if not len(start):
-        return
-    piece = x[start[:, None] + np.arange(length)]
-    counts = np.bincount((piece + size * np.arange(len(piece))[:, None]).ravel(), minlength=size * len(piece)).reshape(-1, size)
-    above, off = 2 * piece.astype(np.int16) >= size, piece - np.float32((size - 1) / 2)
-    high, changes, serial = above.sum(1), (above[:, 1:] != above[:, :-1]).sum(1), (off[:, 1:] * off[:, :-1]).sum(1, dtype=np.float64)
-    ends = [off[:own, 0], off[:own, -1]]
-    yield sizes[length], _steps(counts, high, changes, serial, length)
-    while 2 * length in sizes and own:
-        # The pieces of a text are joined two by two, an odd one at its end is left.
-        place = np.arange(own) - np.repeat(np.cumsum(whole) - whole, whole)
-        a = np.flatnonzero((place % 2 == 0) & (np.append(owner[1:], -1) == owner))
-        if not len(a):
-            return
-        b = a + 1
-        left, right = ends[1][a], ends[0][b]
-        counts, high = counts[a] + counts[b], high[a] + high[b]
-        changes = changes[a] + changes[b] + ((left >= 0.0) != (right >= 0.0))
-        serial = serial[a] + serial[b] + left * right
-        ends, owner, whole, length, own = [ends[0][a], ends[1][b]], owner[a], whole // 2, 2 * length, len(a)
-        yield sizes[length], _steps(counts, high, changes, serial, length)
-
-
-def decoys(texts: list[str]) -> list[tuple[int, int, int, int]]:
+    z = np.where(var > 0, np.abs(1 + changes - mean) / np.sqrt(np.where(var > 0, var, 1)), 0)
+    return np.where((high == 0) | (high == n), _step(min(1.0, 3 * 2.0 ** (1 - n))), np.searchsorted(TWO_SIDES, z, "right")).astype(np.uint8)
+
+
+@cache
+def _serial_steps(n: int, size: int) -> np.ndarray:
+    """Four times the serial sum without its sign -> step of the third."""
+    return _by_number(lambda s: np.searchsorted(TWO_SIDES, s / 4 / ((size * size - 1) / 12 * math.sqrt(n - 1)), "right"), (n - 1) * (size - 1) ** 2)
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums up to each place: that of any stretch is the difference of two."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def _pieces(x: np.ndarray, many: np.ndarray, size: int, sizes: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of letters, text by text, and their number in each -> (length class, steps of ``battery``) of all pieces of each length in ``sizes``."""
+    first = np.cumsum(many) - many
+    above, off = 2 * x.astype(np.int16) >= size, 2 * x.astype(np.int16) - (size - 1)
+    # Two neighbours that change or multiply stand at the place of the first.
+    high, changes, serial = _sums(above), _sums(above[1:] != above[:-1]), _sums(off[1:] * off[:-1])
+    for length in (LEAST, 24, 32):
+        n, counts, before = length, None, None
+        while n in sizes:
+            whole = many // n
+            ahead = np.cumsum(whole) - whole
+            nth = np.arange(whole.sum()) - np.repeat(ahead, whole)
+            start = np.repeat(first, whole) + n * nth
+            if n == LEAST:  # what is left at a text's end is part of a last piece
+                start = np.concatenate((start, (first + many)[(many >= n) & (many % n > 0)] - n))
+            if not len(start):
+                break
+            if counts is None:
+                piece = np.ndarray(len(x) - n + 1, f"V{n}", x, 0, (1,))[start].view(np.uint8).reshape(-1, n)
+                counts = np.bincount((piece + size * np.arange(len(piece))[:, None]).ravel(), minlength=size * len(piece)).reshape(-1, size).astype(np.float32)
+            else:  # a piece is two of those of half its length
+                left = np.repeat(before, whole) + 2 * nth
+                counts = counts.take(left, 0) + counts.take(left + 1, 0)
+            # Exact: no sum is above 256 * 256.
+            squares, last = np.einsum("ij,ij->i", counts, counts).astype(np.int64), start + n - 1
+            chi, far = _chi_steps(n, size), _serial_steps(n, size)
+            steps = np.maximum(chi[np.minimum(squares, len(chi) - 1)], _run_steps(n)[n * (high[last + 1] - high[start]) + changes[last] - changes[start]])
+            yield sizes[n], np.maximum(steps, far[np.minimum(np.abs(serial[last] - serial[start]), len(far) - 1)])
+            n, before = 2 * n, ahead
+
+
+def decoys(texts: list[str], long: list[bool] | None = None) -> list[tuple[int, int, int, int]]:
     """(encoding, length class, step, count) of what prose looks like in each encoding: the letters and digits of all text that are in its alphabet.
 
-    Candidates are left out, as they are what is tested. Pieces are as long as the longest candidate of the class before,
-    so no candidate of their class is shorter.
+    Candidates are left out, as they are what is tested; ``long`` tells the texts that may have any. Pieces are as long as
+    the longest candidate of the class before, so no candidate of their class is shorter.
     """
     total: Counter = Counter()
-    raw = [CANDIDATE.sub(" ", t).encode("ascii", "replace") for t in texts]
+    raw = [(CANDIDATE.sub(" ", t) if hint else t).encode("ascii", "replace") for t, hint in zip(texts, long or [True] * len(texts), strict=True)]
     sizes = {n: k for k, n in enumerate((LEAST, *LENGTHS))}
     begin = 0
     while begin < len(raw):
         end, n = begin, 0
         while end < len(raw) and (end == begin or n + len(raw[end]) <= AT_ONCE):
             n, end = n + len(raw[end]), end + 1
-        blob, upto = np.frombuffer(b"".join(raw[begin:end]), np.uint8), np.cumsum([0, *map(len, raw[begin:end])])
         for code in READ_AS:
-            x = TABLES[code][blob]
-            held = x != 255
-            place = np.concatenate(([0], np.cumsum(held)))[upto]
-            x = x[held]
-            for length in (LEAST, 24, 32):
-                for k, steps in _pieces(x, place[:-1], np.diff(place), length, len(PLACES[code]), sizes):
-                    for step, many in enumerate(np.bincount(steps).tolist()):
-                        if many:
-                            total[code, k, step] += many
+            own = [t.translate(*TABLES[code]) for t in raw[begin:end]]
+            # A text without a whole piece has no part in any.
+            own = [t for t in own if len(t) >= LEAST]
+            for k, steps in _pieces(np.frombuffer(b"".join(own), np.uint8), np.array([*map(len, own)], np.int64), len(PLACES[code]), sizes) if own else ():
+                for step, many in enumerate(np.bincount(steps).tolist()):
+                    if many:
+                        total[code, k, step] += many
         begin = end
     return [(*key, n) for key, n in total.items()]
 
@@ -258,7 +285,7 @@ def scan(docs: DataFrame, keep_text: bool = True, null: bool = True) -> DataFram
             found = [
                 [base_spans(t) if hint else [] for t, hint in zip(texts, fixed, strict=True)],
                 [candidates(t) if hint else [] for t, hint in zip(texts, long, strict=True)],
-                [decoys([t for t in texts if t]) if null and not k else [] for k in range(len(texts))],
+                [decoys([t or "" for t in texts], long) if null and not k else [] for k in range(len(texts))],
             ]
             arrays = [pa.array([[dict(zip([f.name for f in s.value_type], x, strict=True)) for x in row] for row in rows], s) for rows, s in zip(found, shapes, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *arrays], [*names, "base", "tokens", "decoys"])

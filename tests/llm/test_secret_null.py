@@ -2,6 +2,7 @@
 
 import random
 import string
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -42,6 +43,40 @@ def test_decoys_cover_all_text():
     assert {scans.NAMES[c] for c, _, _ in got} == {scans.NAMES[c] for c in scans.READ_AS} and got == want
 
 
+def test_decoys_at_the_ends_of_the_scale(monkeypatch):
+    """One character alone, two in turn, halves and random ones of each alphabet, over several blocks: as the battery says."""
+    rng = random.Random(8)
+    texts = [" ".join(t) for t in ("a" * 300, "9" * 256, "aZ" * 150, "a" * 128 + "z" * 128, "AbC+/-_" * 40, "0" * 19, "7" * 20)]
+    texts += [" ".join(rng.choices(alphabet, k=n)) for _, alphabet in scans.ENCODINGS for n in (20, 47, 96, 515)]
+    want = Counter()
+    for t in texts:
+        for code in scans.READ_AS:
+            chars = scans.SETS[code]
+            own = "".join(c for c in (t.lower() if "A" not in chars else t.upper() if "a" not in chars else t) if c in chars)
+            for k, n in enumerate((scans.LEAST, *scans.LENGTHS)):
+                pieces = [own[i : i + n] for i in range(0, len(own) - n + 1, n)]
+                pieces += [own[-n:]] * (k == 0 and len(own) > n and len(own) % n > 0)
+                want.update((code, k, scans._step(scans.battery(x, code))) for x in pieces)
+    assert {step for *_, step in want} >= {0, scans.MOST_STEPS}
+    for block in (1, 3000, scans.AT_ONCE):
+        monkeypatch.setattr(scans, "AT_ONCE", block)
+        for long in (None, [False] * len(texts)):
+            assert {(code, k, step): n for code, k, step, n in scans.decoys(texts, long)} == want
+
+
+def test_decoys_cost(monkeypatch):
+    """Deviations are worked out once for each length and alphabet, not for each piece; memory is a block's, however long a batch is."""
+    rng = random.Random(4)
+    texts = [prose(rng, 800) for _ in range(200)]
+    tracemalloc.start()
+    want = sorted(scans.decoys(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for name in ("cbrt", "sqrt", "searchsorted"):
+        monkeypatch.setattr(scans.np, name, lambda *_: pytest.fail("worked out anew"))
+    assert sorted(scans.decoys(texts)) == want and peak < 25 * sum(map(len, texts))
+
+
 @pytest.mark.parametrize("size", [60, 240])
 def test_one_token_among_many_candidates(spark, size):
     """Found at either size, and no path with it."""
