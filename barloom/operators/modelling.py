@@ -121,24 +121,30 @@ def best_window(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by("window", F.struct("trade", "normalized_return", F.col("window"))).alias("best_window"))
 
 
+def told_apart(features: list[str]) -> list:
+    """Stages before trees: flags tell missing values apart (NULL or NaN), which are set to the median; the vector has all values, then their flags."""
+    from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+
+    filled, flags = [f"{c}_filled" for c in features], [f"{c}_missing" for c in features]
+    told = ", ".join(f"CAST(`{c}` IS NULL OR isnan(`{c}`) AS DOUBLE) AS `{f}`" for c, f in zip(features, flags, strict=True))
+    return [SQLTransformer(statement=f"SELECT *, {told} FROM __THIS__"), Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=[*filled, *flags], outputCol="vector")]
+
+
 def boosted_trees(train: DataFrame, features: list[str], label: str, weight: str | None = None, classify: bool = False, rounds: int = 20, depth: int = 5):
     """A fitted pipeline: missing values are told apart by flags and set to the median, then gradient-boosted trees."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    filled = [f"{c}_filled" for c in features]
     trees = (GBTClassifier if classify else GBTRegressor)(featuresCol="vector", labelCol=label, maxIter=rounds, maxDepth=depth, seed=7)
     if weight:
         trees = trees.setWeightCol(weight)
-    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="vector"), trees]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=[*told_apart(features), trees]).fit(train)
 
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
-    """Features by share of gain, best first."""
-    gains = model.stages[-1].featureImportances.toArray()
+    """Features by share of gain, best first. What the flag of its missing values gains is a feature's own."""
+    gains = model.stages[-1].featureImportances.toArray().reshape(-1, len(features)).sum(axis=0)
     return sorted(((c, float(g)) for c, g in zip(features, gains, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
