@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -148,26 +151,39 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
     return sorted(((c, float(g)) for c, g in zip(features, gains, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
-def compare_variants(df: DataFrame, labels: dict[str, str], variants: dict[str, list[str]], rounds: int = 20, depth: int = 5) -> DataFrame:
+def compare_variants(df: DataFrame, labels: dict[str, str], variants: dict[str, list[str]], **options) -> DataFrame:
     """(window, variant, n, accuracy, mae, rmse): models of each window with the features of each variant, on the same held-out rows.
 
     df has ``part`` (see ``split_in_time``) and a label of each window. Rows without the label are left out of that window. A window without
-    training or test rows has no result.
+    training or test rows has no result. Boosting ends where a window's validation rows ask for it; a window without them takes the rounds of
+    ``boosted_trees``. Models are fitted side by side.
     """
     from functools import reduce
 
+    from barloom.operators import trees
     from barloom.operators.evaluation import errors
 
+    known = {window: df.where(F.col(label).isNotNull()) for window, label in labels.items()}
+    used, held = list(dict.fromkeys(c for features in variants.values() for c in features)), F.col("part") == "validation"
+    rows = {window: known[window].where("part IN ('train', 'validation')").select(held.alias("_held"), label, *used).persist() for window, label in labels.items()}
+    counts = {window: {r["_held"]: r["count"] for r in r.groupBy("_held").count().collect()} for window, r in rows.items()}
+
+    def fit(job: tuple[str, str]):
+        window, name = job
+        seen = rows[window].coalesce(1 + sum(counts[window].values()) // trees.TASK_ROWS)
+        if True in counts[window]:
+            return trees.fit_with_stop(seen, variants[name], labels[window], "_held", **options)
+        return boosted_trees(seen, variants[name], labels[window], **options)
+
+    jobs = [(window, name) for window in labels if False in counts[window] for name in variants]
+    with ThreadPool(max(1, len(jobs))) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), jobs)
+    for r in rows.values():
+        r.unpersist()
     out = []
-    for window, label in labels.items():
-        known = df.where(F.col(label).isNotNull())
-        used = list(dict.fromkeys(c for features in variants.values() for c in features))
-        train, test = known.where("part = 'train'").select(label, *used).persist(), known.where("part = 'test'")
-        models = {} if train.isEmpty() else {name: boosted_trees(train, features, label, rounds=rounds, depth=depth) for name, features in variants.items()}
-        train.unpersist()
-        for name, model in models.items():
-            scored = model.transform(test)
-            out.append(scored.select(F.lit(window).alias("window"), F.lit(name).alias("variant"), "prediction", F.col(label).alias("realised")))
+    for (window, name), model in zip(jobs, models, strict=True):
+        scored = model.transform(known[window].where("part = 'test'"))
+        out.append(scored.select(F.lit(window).alias("window"), F.lit(name).alias("variant"), "prediction", F.col(labels[window]).alias("realised")))
     if not out:
         empty = df.limit(0).select(F.lit("").alias("window"), F.lit("").alias("variant"), F.lit(0.0).alias("prediction"), F.lit(0.0).alias("realised"))
         return errors(empty, ["window", "variant"])

@@ -385,5 +385,5 @@ def variant_errors(spark, sf_dir):
         df = evaluation.realised(df, n).withColumnRenamed("realised", w)
     df = df.persist()
     own = ["volatility_20d", "rsi", "price_vs_sma20", "momentum_5d", "volume_ratio", "clv"]
-    out = modelling.compare_variants(df.where("log_return_1d IS NOT NULL"), {"next_day": "next_day", "7_day": "7_day"}, {"with_market": [*own, "rel_strength_spy", "spy_vol_20d"], "without_market": own}, rounds=5, depth=3)
+    out = modelling.compare_variants(df.where("log_return_1d IS NOT NULL"), {"next_day": "next_day", "7_day": "7_day"}, {"with_market": [*own, "rel_strength_spy", "spy_vol_20d"], "without_market": own})
     return out.select("window", "variant", "n", *r6("accuracy", "mae", "rmse"))
