@@ -214,7 +214,7 @@ def fit_with_stop(rows: DataFrame, features: list[str], label: str, held: str, w
 
     Rounds after the best one are cut, so that ``model.stages[-1].getNumTrees`` is what the held rows asked for. Spark's own stop has no patience: it
     takes the first round that gains less than its tolerance, or none. So rounds are fitted and judged in one job for all of them; where the
-    stop isn't among them, twice as many are, up to ``rounds``.
+    stop isn't among them, half as many more are, up to ``rounds``, from the first one on, as Spark can't continue a fit.
     """
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.regression import GBTRegressor
@@ -225,7 +225,7 @@ def fit_with_stop(rows: DataFrame, features: list[str], label: str, held: str, w
     train, judge = seen.where(~F.col(held)), seen.where(held)
     fitted, stopped = 0, False
     while fitted < rounds and not stopped:
-        fitted = min(rounds, 2 * max(fitted, patience))
+        fitted = min(rounds, max(fitted + fitted // 2, 2 * patience))
         trees = GBTRegressor(featuresCol="vector", labelCol=label, maxIter=fitted, maxDepth=depth, stepSize=step, seed=7)
         if weight:
             trees = trees.setWeightCol(weight)
